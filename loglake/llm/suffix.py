@@ -276,13 +276,19 @@ def intervals(docs: DataFrame) -> DataFrame:
         return both.filter("hot is null").drop("hot"), both.filter("hot").drop("hot")
 
     cool, hot = divided(todo)
-    cool_2, hot_2 = divided(cut(_split(hot, SPLIT), "split"))
+    # most parts of a hot group's surroundings are alike: those are covered, and one of each goes on
+    parts = cut(_split(hot, SPLIT).withColumn("h", F.md5("ctx")), "split")
+    whole_part = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "s")
+    parts = cut(parts.join(parts.groupBy("g", "h").agg(F.sum("n").alias("all_n"), F.min(whole_part).alias("rep")), ["g", "h"]), "split")
+    alike_parts = parts.filter("n = 1 and all_n > 1").select("doc_id", "th", "s", (F.col("s") + F.length("ctx")).alias("e"))
+    one_each = parts.filter(whole_part.eqNullSafe(F.col("rep"))).withColumn("n", F.least("all_n", F.lit(2)).cast("int")).drop("h", "all_n", "rep")
+    cool_2, hot_2 = divided(one_each)
     few = cool.unionAll(cool_2)
     indexed = few.select("g", "n", "ctx", "doc_id", "th", "s").repartition(n, "g").sortWithinPartitions("g").mapInArrow(_index, f"{ROW}, s int, e int")
     windows = _split(hot_2, 1).select(F.md5("ctx").alias("h"), "n", "doc_id", "th", "s")
     twice = windows.groupBy("h").agg(F.sum("n").alias("all_n")).filter("all_n > 1").select("h")
     single = windows.filter("n = 1").join(twice, "h").select("doc_id", "th", "s", (F.col("s") + LENGTH).alias("e"))
-    return once.unionAll(alike).unionAll(copies).unionAll(indexed).unionAll(single)
+    return once.unionAll(alike).unionAll(copies).unionAll(indexed).unionAll(alike_parts).unionAll(single)
 
 
 def dedup(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
