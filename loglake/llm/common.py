@@ -6,7 +6,11 @@ import atexit
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +77,15 @@ def fold(doc_id: Column, n: int) -> Column:
 
 def pieces(total: float, each: float, least: int = 1) -> int:
     return max(least, math.ceil(total / each))
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``most`` bytes of ``column``, a row at least."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+            yield b.slice(at, to - at)
+            at = to

@@ -23,12 +23,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.llm.common import cut, table, tasks
+from loglake.llm.common import cut, slices, table, tasks
 
 LENGTH = 200
 ANCHOR = 32
-SEGMENT = 1 << 20  # window starts that are hashed at a time
-INDEX_BYTES = 1 << 20  # text of one index, about
+SEGMENT = 1 << 19  # window starts that are hashed at a time
+INDEX_BYTES = 1 << 19  # text of one index, about
 HOT_GROUP = 1000  # surroundings of one anchor that an index takes; more are split by their common bytes
 SPLIT = 21  # starts that a split group's members share
 _BYTE_HASH = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,7 +71,7 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["ah", "ch", "doc_id", "th", "p", "s", "e", "n"]
-    for b in batches:
+    for b in slices(batches, "text", 8 << 20):
         raw = [(t.as_py() or "").encode() for t in b["text"]]
         th = np.array([np.uint32(xxhash.xxh32_intdigest(x)).astype(np.int32) for x in raw], np.int32)
         ids, data = b["doc_id"], np.frombuffer(b"".join(raw), np.uint8)
@@ -199,7 +199,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, schema)], schema=schema)
 
     size = 0
-    for b in batches:
+    for b in slices(batches, "ctx", 1 << 19):
         for row in zip(*(b[c].to_pylist() for c in ("g", "n", "ctx", "doc_id", "th", "s"))):
             if size >= INDEX_BYTES and row[0] != held[-1][0]:
                 yield solve(held)
@@ -215,7 +215,7 @@ def _packed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in slices(batches, "__text"):
             raw = [None if t is None else t.encode() for t in b["__text"].to_pylist()]
             th = pa.array([int(np.uint32(xxhash.xxh32_intdigest(x or b"")).astype(np.int32)) for x in raw], pa.int32())
             z = pa.array([None if x is None else c.compress(x) for x in raw], pa.binary())
@@ -228,7 +228,7 @@ def _packed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     d = zstandard.ZstdDecompressor()
-    for b in batches:
+    for b in slices(batches, "z", 1 << 20):
         out: list[tuple] = []
         for doc, th, z, wants in zip(*(b[c].to_pylist() for c in ("doc_id", "th", "z", "wants"))):
             raw = d.decompress(z) if z else b""
@@ -300,7 +300,7 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in slices(batches, "z", 1 << 20):
             out: list[list] = [[], [], [], [], []]
             for z, spans in zip(b["z"].to_pylist(), b["spans"].to_pylist()):
                 raw = d.decompress(z) if z else b""
