@@ -1,3 +1,389 @@
-"""Queries of the log operators."""
-def queries(): return {}
-def oracle_sql(): return {}
+"""Named queries over the driver's tables, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loglake.functions.core import FIELDS, bounded_message, normalize, number, template_signature
+from loglake.operators import query as Q
+from loglake.operators import rollup as R
+from loglake.operators import search as S
+from loglake.operators import storage as K
+from loglake.sources import wire as W
+from loglake.sources.adapters import events_as_logs, table
+
+DAY = 86_400_000_000_000
+T0 = 1_704_067_200_000_000_000  # 2024-01-01
+NOON, DAY5, DAY6 = T0 + DAY // 2, T0 + 4 * DAY, T0 + 5 * DAY
+
+
+LOGS = f"""logs AS (SELECT *, 9223372036854775808::UBIGINT AS flip FROM (SELECT epoch_us(ts) * 1000 AS timestamp_ns, event_id,
+ event_type || ' user ' || user_id || ' took ' || CAST(round(value * 100) AS BIGINT) || 'us k=' || (props::JSON->>'$.k') AS message,
+ CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' ELSE 'info' END AS level, '/' || event_type AS path, user_id::VARCHAR AS trace_id,
+ CAST(round(value * 100) AS BIGINT)::VARCHAR AS latency_ms, (200 + 100 * (event_id % 4))::VARCHAR AS status,
+ lpad(lower(to_hex(epoch_us(ts)::UBIGINT * 1000 + 9223372036854775808::UBIGINT)), 16, '0') || lpad(lower(to_hex(event_id)), 16, '0') AS doc_id FROM events))"""
+SIG = r"""array_to_string(list_transform(list_filter(regexp_split_to_array({0}, '[\s\v\x{{85}}\p{{Z}}]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_full_match(x, '[0-9a-fA-F]{{8,}}') THEN '<HEX>' WHEN regexp_matches(x, '[0-9]') THEN '<NUM>' ELSE translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END), ' ')"""
+KEY = """'[' || '{{"key":"latency_ms","value":"' || latency_ms || '"}},{{"key":"level","value":"' || level || '"}},{{"key":"path","value":"' || path || '"}},{{"key":"status","value":"' || status || '"}},{{"key":"trace_id","value":"' || trace_id || '"}}]'""".replace("{{", "{").replace("}}", "}")
+
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, logs: bool = True):
+    def keep(f):
+        _Q[name] = f
+        if sql:
+            _SQL[name] = (f"WITH {LOGS} " if logs else "") + sql
+        return f
+
+    return keep
+
+
+def _simple(name: str, f: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    query(name, sql)(lambda spark, d: f(events_as_logs(spark, d)))
+
+
+COLS = ("timestamp_ns", "message", "doc_id")
+SEL = "SELECT timestamp_ns, message, doc_id FROM logs WHERE "
+for _name, _labels, _start, _end in (
+    ("select_range", {}, T0, DAY5), ("select_range_empty", {}, 0, 5), ("select_one_field", {"level": "error"}, T0, DAY6),
+    ("select_multi_field", {"level": "info", "status": "300", "path": "/click"}, T0, T0 + 40 * DAY), ("select_missing_field", {"nothing": "x"}, T0, DAY6), ("range_negative_start", {}, -(1 << 62), T0 + DAY),
+):
+    _cond = "".join(f" AND {k} = '{v}'" for k, v in _labels.items()) if "nothing" not in _labels else " AND false"
+    _simple(_name, lambda x, a=_start, b=_end, c=_labels: Q.select_logs(x, a, b, c).select(*COLS), f"{SEL}timestamp_ns >= {_start} AND timestamp_ns < {_end}{_cond}")
+
+_EDGE = "(SELECT max(timestamp_ns) FROM logs)"
+
+
+@query("range_end_exclusive", f"{SEL}timestamp_ns < {_EDGE}")
+def _(spark, d):
+    logs = events_as_logs(spark, d)
+    return Q.select_logs(logs, 0, logs.agg(F.max("timestamp_ns")).first()[0]).select(*COLS)
+
+
+@query("point_lookup", f"{SEL}event_id = 17")
+def _(spark, d):
+    logs = events_as_logs(spark, d)
+    return Q.point_lookup(logs, logs.filter(F.col("doc_id").endswith(f"{17:016x}")).first()["doc_id"]).select(*COLS)
+
+
+_simple("doc_id_order", lambda x: x.select("doc_id", "timestamp_ns"), "SELECT doc_id, timestamp_ns FROM logs")
+_simple("allowlist_projection", lambda x: normalize(x.select("timestamp_ns", "message", "fields"), ("level", "path")).select("timestamp_ns", "stream_key"),
+        """SELECT timestamp_ns, '[{"key":"level","value":"' || level || '"},{"key":"path","value":"' || path || '"}]' AS stream_key FROM logs""")
+query("bounded_message", "SELECT doc_id, CASE WHEN len(text) > 240 THEN left(text, 240) || '…' ELSE text END AS message, len(text) > 240 AS truncated FROM documents", False)(
+    lambda spark, d: table(spark, d, "documents").select("doc_id", bounded_message(F.col("text")).alias("message"), (F.char_length("text") > 240).alias("truncated"))
+)
+_simple("logql_selector", lambda x: Q.query_lines(x, '{level="error", status="200"}', T0, DAY6).select(*COLS), f"{SEL}timestamp_ns >= {T0} AND timestamp_ns < {DAY6} AND level = 'error' AND status = '200'")
+_simple("logql_line_filter", lambda x: Q.query_lines(x, '{level="error"} |= "user 8"', T0, T0 + 40 * DAY).select(*COLS), f"{SEL}level = 'error' AND contains(message, 'user 8')")
+_simple("logql_empty_selector", lambda x: Q.query_lines(x, '{} |= "k=3"', T0, DAY6).select(*COLS), f"{SEL}timestamp_ns < {DAY6} AND contains(message, 'k=3')")
+_simple("query_range_streams", lambda x: Q.query_range(x, '{level="error"}', T0, T0 + 40 * DAY).drop("values"),
+        f"SELECT {KEY} AS stream_key, count(*) AS n, min(timestamp_ns) AS first_ns, max(timestamp_ns) AS last_ns FROM logs WHERE level = 'error' GROUP BY 1")
+query("template_signature", f"SELECT doc_id, md5({SIG.format('text')}) AS sig FROM documents", False)(lambda spark, d: table(spark, d, "documents").select("doc_id", F.md5(template_signature(F.col("text"))).alias("sig")))
+_simple("template_counts", lambda x: x.groupBy("template_sig").agg(F.count("*").alias("n")), f"SELECT {SIG.format('message')} AS template_sig, count(*) AS n FROM logs GROUP BY 1")
+query("template_hex_vs_num", f"SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'É <HEX>' ELSE 'É <NUM>' END AS sig FROM logs")(
+    lambda spark, d: table(spark, d, "events").select("event_id", template_signature(F.concat(F.lit("É "), F.lpad(F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 0, 8).otherwise(7), F.lit("1")))).alias("sig"))
+)
+_simple("list_streams_exact", lambda x: Q.list_streams(x, T0, T0 + 3 * DAY),
+        f"SELECT field, count(*) AS distinct_values, array_to_string(list_sort(list(value))[1:10], ',') AS samples FROM (SELECT DISTINCT field, value FROM (SELECT unnest(['level','status','trace_id','latency_ms','path']) AS field, unnest([level, status, trace_id, latency_ms, path]) AS value FROM logs WHERE timestamp_ns < {T0 + 3 * DAY})) GROUP BY 1")
+
+
+@query("list_streams_hll", "SELECT count(DISTINCT trace_id) AS exact, true AS within FROM logs")
+def _(spark, d):
+    logs = events_as_logs(spark, d)
+    estimate = R.cardinality(R.hll(R.samples(logs, ("trace_id",))))
+    exact = logs.agg(F.countDistinct("f_trace_id").alias("exact"))
+    return exact.crossJoin(F.broadcast(estimate)).select("exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.03 * F.col("exact") + 1).alias("within"))
+
+
+_ANOM = "SELECT template_sig, current, baseline, kind, example FROM (SELECT *, CASE WHEN baseline = 0 THEN 'new' WHEN current / baseline >= {ratio} THEN 'volume_spike' END AS kind FROM (SELECT {sig} AS template_sig, count(*) FILTER ({c}) AS current, count(*) FILTER ({b}) AS baseline, arg_min(message, (timestamp_ns, doc_id)) FILTER ({c}) AS example FROM logs GROUP BY 1)) WHERE current > 0 AND kind IS NOT NULL"
+for _name, _a, _b, _base, _ratio in (("anomalies_new", NOON, NOON + 7_200_000_000_000, (NOON - 600_000_000_000, NOON), 3.0), ("anomalies_spike", DAY5, DAY6, (T0, T0 + DAY // 4), 3.0), ("anomalies_default_baseline", DAY5, DAY6, None, 1.0)):
+    _lo, _hi = _base or (_a - (_b - _a), _a)
+    _w = "WHERE timestamp_ns >= {} AND timestamp_ns < {}"
+    _simple(_name, lambda x, a=_a, b=_b, base=_base, r=_ratio: Q.find_anomalies(x, a, b, base, r).select("template_sig", "current", "baseline", "kind", "example"), _ANOM.format(ratio=_ratio, sig=SIG.format("message"), c=_w.format(_a, _b), b=_w.format(_lo, _hi)))
+
+_STREAM = "level = 'info'"
+for _name, _n, _pick in (("context_window", 5, 40), ("context_edges", 3, 0)):
+
+    @query(_name, f"SELECT timestamp_ns, doc_id, message, is_anchor FROM (SELECT *, doc_id = a AS is_anchor, max(rn) FILTER (doc_id = a) OVER () AS place FROM (SELECT l.timestamp_ns, l.doc_id, l.message, a, row_number() OVER (ORDER BY l.timestamp_ns, l.doc_id) AS rn FROM logs l, (SELECT doc_id AS a, timestamp_ns AS t, level AS v FROM logs ORDER BY timestamp_ns, doc_id LIMIT 1 OFFSET {_pick}) WHERE level = v AND l.timestamp_ns >= t - {DAY} AND l.timestamp_ns < t + {DAY})) WHERE abs(rn - place) <= {_n}")
+    def _(spark, d, n=_n, pick=_pick):
+        logs = normalize_level(events_as_logs(spark, d))
+        key = logs.orderBy("timestamp_ns", "doc_id").offset(pick).limit(1).first()["doc_id"]
+        return Q.get_context(logs, key, n, DAY)
+
+
+def normalize_level(logs: DataFrame) -> DataFrame:
+    """Streams by level alone."""
+    return logs.withColumn("stream_key", F.col("f_level"))
+
+
+_TR = {t: f"date_trunc('{t}', make_timestamp(timestamp_ns // 1000))" for t in R.TIERS}
+
+
+def _tier(rows: DataFrame, tier: str) -> DataFrame:
+    for t in R.TIERS[1 : R.TIERS.index(tier) + 1]:
+        rows = R.merge_up(rows, t)
+    return rows
+
+
+for _t in R.TIERS:
+    _simple(f"rollup_exact_{_t}", lambda x, t=_t: _tier(R.exact(R.samples(x, ("level", "status"))), t).select(F.unix_micros("bucket_start").alias("bucket_us"), "field", "value", "cnt"),
+            f"SELECT epoch_us({_TR[_t]}) AS bucket_us, field, value, count(*) AS cnt FROM (SELECT timestamp_ns, unnest(['level','status']) AS field, unnest([level, status]) AS value FROM logs) GROUP BY ALL")
+
+
+@query("merge_up_equals_direct", f"SELECT count(*) AS buckets, 0::BIGINT AS different FROM (SELECT DISTINCT {_TR['month']}, level FROM logs)")
+def _(spark, d):
+    s = R.samples(events_as_logs(spark, d), ("level",))
+    direct = R.exact(s.withColumn("bucket_start", F.date_trunc("month", "bucket_start"))).withColumnRenamed("cnt", "direct")
+    both = _tier(R.exact(s), "month").join(direct, ["bucket_start", "field", "value"], "full")
+    return both.agg(F.count("*").alias("buckets"), F.count(F.when(~F.col("cnt").eqNullSafe(F.col("direct")), 1)).alias("different"))
+
+
+for _t, _span in (("minute", 3_600_000_000_000), ("hour", DAY), ("day", 31 * DAY), ("month", 60 * DAY)):
+
+    @query(f"agg_count_{_t}_tier", f"SELECT level AS value, count(*) AS cnt FROM logs WHERE epoch_us({_TR[_t]}) * 1000 >= {T0} AND epoch_us({_TR[_t]}) * 1000 < {T0 + _span} GROUP BY 1")
+    def _(spark, d, t=_t, span=_span):
+        minute = R.exact(R.samples(events_as_logs(spark, d), ("level",)))
+        return R.aggregate({(t, "exact"): _tier(minute, t)}, "level", T0, T0 + span)
+
+
+@query("agg_cardinality", "SELECT count(DISTINCT latency_ms) AS exact, true AS within FROM logs")
+def _(spark, d):
+    logs = events_as_logs(spark, d)
+    estimate = R.aggregate({("month", "hll"): _tier(R.hll(R.samples(logs, ("latency_ms",))), "month")}, "latency_ms", T0, T0 + 60 * DAY, "cardinality")
+    return logs.agg(F.countDistinct("f_latency_ms").alias("exact")).crossJoin(F.broadcast(estimate)).select("exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.03 * F.col("exact")).alias("within"))
+
+
+_simple("agg_topk_exact", lambda x: R.aggregate({("day", "exact"): _tier(R.exact(R.samples(x, ("path",))), "day")}, "path", T0, T0 + 30 * DAY, "topk", k=3), f"SELECT path AS value, count(*) AS cnt FROM logs WHERE timestamp_ns < {T0 + 30 * DAY} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+
+
+@query("agg_topk_heavy", "SELECT level AS value, true AS within FROM logs GROUP BY 1")
+def _(spark, d):
+    s = R.samples(events_as_logs(spark, d), ("level",))
+    exact = R.counts(R.exact(s)).withColumnRenamed("cnt", "exact")
+    return R.approximate_top_k(s).join(exact, "value").select("value", (F.abs(F.col("cnt") - F.col("exact")) <= 0.01 * F.col("exact")).alias("within"))
+
+
+_BIN = f"CASE WHEN abs(v) <= {R.LEAST} THEN 0 WHEN v > 0 THEN (ceil(ln(abs(v)) / {__import__('math').log(R.GAMMA)!r}) + 100000)::INT ELSE -(ceil(ln(abs(v)) / {__import__('math').log(R.GAMMA)!r}) + 100000)::INT END"
+_simple("ddsketch_bins", lambda x: _tier(R.ddsketch(R.samples(x, ("latency_ms",))), "hour").select(F.unix_micros("bucket_start").alias("bucket_us"), "bin", "cnt"), f"SELECT epoch_us({_TR['hour']}) AS bucket_us, {_BIN} AS bin, count(*) AS cnt FROM (SELECT timestamp_ns, latency_ms::DOUBLE AS v FROM logs) GROUP BY ALL")
+for _q in (50, 95, 99):
+    _simple(f"agg_quantile_p{_q}", lambda x, q=_q / 100: R.aggregate({("month", "ddsketch"): _tier(R.ddsketch(R.samples(x, ("latency_ms",))), "month")}, "latency_ms", T0, T0 + 60 * DAY, "quantile", q=q).select(F.round("value", 6).alias("value")),
+            f"SELECT round(2 * pow({R.GAMMA!r}, bin - 100000) / {R.GAMMA + 1!r}, 6) AS value FROM (SELECT bin, sum(c) OVER (ORDER BY bin) AS upto, sum(c) OVER () AS n FROM (SELECT {_BIN} AS bin, count(*) AS c FROM (SELECT latency_ms::DOUBLE AS v FROM logs) GROUP BY 1)) WHERE upto > floor({_q / 100} * (n - 1)) ORDER BY bin LIMIT 1")
+
+
+@query("ddsketch_error_bound", "SELECT true AS within FROM (SELECT 1)")
+def _(spark, d):
+    logs = events_as_logs(spark, d)
+    value = R.quantile(R.ddsketch(R.samples(logs, ("latency_ms",))), 0.99)
+    exact = logs.agg(F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY cast(f_latency_ms AS DOUBLE))").alias("exact"))
+    return value.crossJoin(F.broadcast(exact)).select((F.abs(F.col("value") - F.col("exact")) <= 0.011 * F.col("exact")).alias("within"))
+
+
+_simple("ddsketch_non_numeric_dropped", lambda x: x.select(number(F.when(F.col("f_status") == "200", F.col("f_level")).when(F.col("f_status") == "300", F.concat(F.lit(" "), "f_latency_ms")).otherwise(F.col("f_latency_ms"))).alias("v")).agg(F.count("v").alias("kept"), F.count("*").alias("n")),
+        "SELECT count(*) FILTER (status IN ('400', '500')) AS kept, count(*) AS n FROM logs")
+
+_BM = """, w AS (SELECT doc_id, bucket, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM c),
+p AS (SELECT doc_id, bucket, dl, term, count(*) AS tf FROM (SELECT doc_id, bucket, len(w) AS dl, unnest(w) AS term FROM w) WHERE term IN ({terms}) GROUP BY ALL),
+f AS (SELECT bucket, count(*) AS n, avg(len(w)) AS avgdl FROM w GROUP BY 1), df AS (SELECT bucket, term, count(*) AS df FROM p GROUP BY ALL),
+s AS (SELECT bucket, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM p JOIN df USING (bucket, term) JOIN f USING (bucket) GROUP BY ALL)
+"""
+_DOCS = "WITH c AS (SELECT doc_id, 0 AS bucket, text FROM documents)"
+
+
+def _terms(words: str) -> str:
+    return ", ".join(f"'{w}'" for w in words.split())
+
+
+for _name, _words in (("bm25_single_corpus", "licensed"), ("bm25_multi_term", "licensed tion heit"), ("bm25_no_match", "nonexistentword")):
+
+    @query(_name, _DOCS + _BM.format(terms=_terms(_words)) + "SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 10", False)
+    def _(spark, d, words=_words):
+        postings, facts = S.build_index(S.corpus(table(spark, d, "documents"), None))
+        return S.bm25(postings, facts, words, 10, per_bucket=False).select("doc_id", "score")
+
+
+_WIDE = DAY
+_EV = f"WITH {LOGS}, c AS (SELECT doc_id, timestamp_ns - timestamp_ns % {_WIDE} AS bucket, message AS text FROM logs)"
+
+
+@query("bm25_bucketed", _EV + _BM.format(terms=_terms("error purchase")) + "SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 10", False)
+def _(spark, d):
+    postings, facts = S.build_index(S.corpus(events_as_logs(spark, d), _WIDE))
+    return S.bm25(postings, facts, "error purchase", 10).select("doc_id", "score")
+
+
+_A, _B = T0 + DAY // 2, T0 + DAY + DAY // 4
+for _name, _exact, _labels, _off in (("bm25_exact_range", True, None, 0), ("bm25_bucket_granular", False, None, 0), ("search_logs_label_filter", True, {"status": "300"}, 0), ("search_logs_page2", True, None, 5)):
+    _c = (f"timestamp_ns >= {_A} AND timestamp_ns < {_B}" if _exact else "true") + (" AND status = '300'" if _labels else "")
+
+    @query(_name, _EV.replace("AS text FROM logs)", f"AS text FROM logs WHERE timestamp_ns < {T0 + 2 * DAY})") + _BM.format(terms=_terms("error user")) + f"SELECT doc_id, score, timestamp_ns, message FROM s JOIN logs USING (doc_id) WHERE {_c} ORDER BY score DESC, doc_id LIMIT 5 OFFSET {_off}", False)
+    def _(spark, d, exact=_exact, labels=_labels, off=_off):
+        return S.search_logs(events_as_logs(spark, d), "error user", _A, _B, 5, off, labels, _WIDE, exact)
+
+
+_KNN = "SELECT e.vec_id AS doc_id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) + 0.0 AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q ORDER BY distance, doc_id LIMIT {k}"
+
+
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, list[float]]:
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return v, v.filter("doc_id = 7").first()["embedding"]
+
+
+def _hits(spark: SparkSession, d: str, k: int) -> DataFrame:
+    postings, facts = S.build_index(S.corpus(table(spark, d, "documents"), None))
+    return S.bm25(postings, facts, "licensed tion heit", k, per_bucket=False)
+
+
+query("knn_cosine", _KNN.format(k=10), False)(lambda spark, d: S.knn(*_vectors(spark, d), 10))
+_HY = _DOCS + _BM.format(terms=_terms("licensed tion heit")) + f", t AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rn FROM (SELECT * FROM s ORDER BY score DESC, doc_id LIMIT 20)), v AS (SELECT doc_id, row_number() OVER (ORDER BY distance, doc_id) AS rn FROM ({_KNN.format(k=20)})) SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rn)), 6) AS score FROM (SELECT * FROM t UNION ALL SELECT * FROM v) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"
+query("hybrid_search", _HY, False)(lambda spark, d: S.hybrid(_hits(spark, d, 20), *_vectors(spark, d), 10))
+query("hybrid_fallback_text", _DOCS + _BM.format(terms=_terms("licensed tion heit")) + "SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 10", False)(lambda spark, d: S.hybrid(_hits(spark, d, 20), None, None, 10))
+query("rrf_fusion", "SELECT c AS doc_id, round(sum(1.0::DOUBLE / (60 + rn)), 6) AS score FROM (SELECT c_custkey AS c, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rn FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50) UNION ALL SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 50)) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", False)(
+    lambda spark, d: S.rrf([(c.orderBy(*o).limit(50), o) for c in [table(spark, d, "customer").withColumnRenamed("c_custkey", "doc_id")] for o in ([F.desc("c_acctbal"), F.col("doc_id")], [F.col("doc_id")])], 20)
+)
+
+# wire formats: bodies made from the events, decoded again
+_DEC = "SELECT timestamp_ns, message, level, path FROM logs"
+
+
+def _decoded(rows: DataFrame) -> DataFrame:
+    return rows.select("timestamp_ns", "message", F.col("fields")["level"].alias("level"), F.col("fields")["path"].alias("path"))
+
+
+def _bodies(spark: SparkSession, d: str, body) -> DataFrame:
+    logs = events_as_logs(spark, d).select("timestamp_ns", "message", F.map_filter("fields", lambda k, _: k.isin("level", "path")).alias("fields"), "doc_id")
+    return logs.select(body.alias("line"), F.pmod(F.xxhash64("doc_id"), F.lit(50)).alias("request"))
+
+
+_ISO = F.concat(F.date_format(F.timestamp_micros(F.expr("timestamp_ns div 1000")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+_DOC = F.to_json(F.struct(F.col("message"), _ISO.alias("@timestamp"), F.col("fields")["level"].alias("level"), F.col("fields")["path"].alias("path"), F.array(F.lit(1)).alias("skipped")))
+
+
+@query("native_decode", _DEC)
+def _(spark, d):
+    b = _bodies(spark, d, F.struct("timestamp_ns", "message", "fields")).groupBy("request").agg(F.to_json(F.collect_list("line")).alias("body"))
+    return _decoded(W.native(b))
+
+
+@query("loki_json_decode", _DEC)
+def _(spark, d):
+    line = F.struct(F.col("fields").alias("stream"), F.array(F.array(F.col("timestamp_ns").cast("string"), F.col("message"))).alias("values"))
+    b = _bodies(spark, d, line).groupBy("request").agg(F.to_json(F.struct(F.collect_list("line").alias("streams"))).alias("body"))
+    return _decoded(W.loki_json(b))
+
+
+@query("es_bulk_decode", _DEC)
+def _(spark, d):
+    b = _bodies(spark, d, F.concat(F.lit('{"delete":{"_id":"1"}}\n\n{"index":{}}\n'), _DOC)).groupBy("request").agg(F.array_join(F.collect_list("line"), "\n").alias("body"))
+    return _decoded(W.es_bulk(b))
+
+
+query("es_import_lossy", _DEC)(lambda spark, d: _decoded(W.es_import(_bodies(spark, d, _DOC).select(F.col("line").alias("doc")), FIELDS)))
+query("es_import_preserve", "SELECT timestamp_ns, message, level, '{\"path\":\"' || path || '\",\"skipped\":\"[1]\"}' AS meta FROM logs")(
+    lambda spark, d: W.es_import(_bodies(spark, d, _DOC).select(F.col("line").alias("doc")), ("level",), True).select("timestamp_ns", "message", F.col("fields")["level"].alias("level"), F.col("fields")["_meta"].alias("meta"))
+)
+query("syslog_decode", "SELECT timestamp_ns, message, '13' AS facility, 'notice' AS level, 'app' AS app_name, true AS no_procid FROM logs")(
+    lambda spark, d: W.syslog(_bodies(spark, d, F.concat(F.lit("<109>1 "), _ISO, F.lit(' host app - ID [a x="]"][b y="2"] '), F.col("message"))).select("line")).select(
+        "timestamp_ns", "message", *[F.col("fields")[k].alias(k) for k in ("facility", "level", "app_name")], F.col("fields")["procid"].isNull().alias("no_procid"))
+)
+
+
+@query("otlp_flatten", "SELECT timestamp_ns, message, level, path, 'checkout' AS service FROM logs")
+def _(spark, d):
+    own = F.array(F.struct(F.lit("path").alias("key"), F.col("fields")["path"].alias("value")))
+    ns = F.col("timestamp_ns").cast("decimal(20,0)")
+    record = F.struct(F.lit(0).cast("decimal(20,0)").alias("time_unix_nano"), ns.alias("observed_time_unix_nano"), F.lit(0).alias("severity_number"), F.upper(F.col("fields")["level"]).alias("severity_text"), F.col("message").alias("body"), own.alias("attributes"), F.lit("").alias("trace_id"), F.lit("").alias("span_id"))
+    attributes = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in (("service", "checkout"), ("path", "low"))])
+    b = _bodies(spark, d, record).groupBy("request").agg(F.array(F.struct(F.struct(attributes.alias("attributes")).alias("resource"), F.array(F.struct(F.collect_list("line").alias("log_records"))).alias("scope_logs"))).alias("resource_logs"))
+    rows = W.otlp(b)
+    return rows.select("timestamp_ns", "message", *[F.col("fields")[k].alias(k) for k in ("level", "path", "service")])
+
+
+# the life of stored rows
+_NOW = T0 + 20 * DAY
+_simple("ttl_live_rows", lambda x: K.live(K.expire(x, 7 * DAY), _NOW).select(*COLS), f"{SEL}timestamp_ns + {7 * DAY} > {_NOW}")
+
+
+def _work(spark: SparkSession) -> str:
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="loglake-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared}/storage-{uuid.uuid4().hex}"
+
+
+@query("compaction_survivors", f"SELECT (timestamp_ns + {7 * DAY}) // {DAY} AS death_bucket, count(*) AS n FROM logs WHERE timestamp_ns + {7 * DAY} > {_NOW} GROUP BY 1")
+def _(spark, d):
+    path = _work(spark)
+    K.compact(K.expire(events_as_logs(spark, d), 7 * DAY), path, _NOW)
+    return spark.read.parquet(path).groupBy(F.col("death_bucket").cast("long").alias("death_bucket")).agg(F.count("*").alias("n"))
+
+
+def _archived(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    root, first = _work(spark), T0 // DAY
+    K.append(events_as_logs(spark, d).select(*COLS, "f_level"), f"{root}/local")
+    for _ in range(2):  # the second time changes nothing
+        K.archive(spark, f"{root}/local", f"{root}/archive", f"{root}/manifest", first, T0)
+    return tuple(spark.read.parquet(f"{root}/{x}") for x in ("local", "archive", "manifest"))
+
+
+@query("archive_union_read", f"{SEL}timestamp_ns < {T0 + 2 * DAY}")
+def _(spark, d):
+    local, archived, _ = _archived(spark, d)
+    return Q.time_range(K.read_through(local, archived), T0, T0 + 2 * DAY).select(*COLS)
+
+
+@query("prune_then_read", f"SELECT count(*) FILTER (timestamp_ns >= {T0 + DAY}) AS local_rows, count(*) AS all_rows FROM logs")
+def _(spark, d):
+    local, archived, manifest = _archived(spark, d)
+    left = K.prune(local, manifest, T0 + 100, 50)
+    return K.read_through(left, archived).agg(F.count("*").alias("all_rows")).crossJoin(F.broadcast(left.agg(F.count("*").alias("local_rows"))))
+
+
+@query("stream_rollup_minute", f"SELECT epoch_us({_TR['minute']}) AS bucket_us, level AS value, count(*) AS cnt FROM logs WHERE epoch_us({_TR['minute']}) < (SELECT max(epoch_us({_TR['minute']})) FROM logs) GROUP BY ALL")
+def _(spark, d):
+    """Run the streaming rollup to the end of its input; the last open minute is not emitted in append mode."""
+    from loglake.streaming.ingest import minute_counts
+
+    root = _work(spark)
+    events_as_logs(spark, d).select("timestamp_ns", "f_level").coalesce(1).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema("timestamp_ns long, f_level string").parquet(f"{root}/in")
+    run = minute_counts(stream, "level").writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out")
+    run.awaitTermination()
+    out = spark.read.schema("bucket_start timestamp, field string, value string, cnt long").parquet(f"{root}/out")
+    return out.select(F.unix_micros("bucket_start").alias("bucket_us"), "value", "cnt")
+
+
+@query("stream_ingest", "SELECT timestamp_ns, message, level FROM logs")
+def _(spark, d):
+    from loglake.streaming.ingest import write_logs
+
+    root = _work(spark)
+    events_as_logs(spark, d).select("timestamp_ns", "message", "fields").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema("timestamp_ns long, message string, fields map<string,string>").parquet(f"{root}/in")
+    write_logs(stream, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("timestamp_ns", "message", F.col("f_level").alias("level"))
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error templates of a day against the day before, beside the hour tier's p99 latency of that day."""
+    logs = events_as_logs(spark, sf_dir)
+    tables = {("hour", "ddsketch"): _tier(R.ddsketch(R.samples(logs, ("latency_ms",))), "hour")}
+    p99 = R.aggregate(tables, "latency_ms", DAY5, DAY6, "quantile", q=0.99).withColumnRenamed("value", "p99_latency_ms")
+    counts = logs.filter((F.col("timestamp_ns") >= DAY5 - DAY) & (F.col("timestamp_ns") < DAY6)).groupBy("template_sig").agg(
+        F.count(F.when(F.col("timestamp_ns") >= DAY5, 1)).alias("today"), F.count(F.when(F.col("timestamp_ns") < DAY5, 1)).alias("day_before")
+    )
+    return counts.crossJoin(F.broadcast(p99)).orderBy(F.desc("today"), "template_sig")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
