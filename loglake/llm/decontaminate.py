@@ -103,11 +103,14 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Data
     before, after = (lambda i: F.get("__hit", i - 1)), (lambda i: F.get("__hit", i + 1))
     starts = F.filter("__hit", lambda p, i: F.coalesce(before(i) != p - 1, F.lit(True)))
     ends = F.filter("__hit", lambda p, i: F.coalesce(after(i) != p + 1, F.lit(True)))
-    joined = joined.withColumn("__runs", F.arrays_zip(starts.alias("start"), ends.alias("end")))
     ws = F.array_remove(F.split("text", NOT_WORD_ANY_CASE), "")
     seps = F.split("text", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    kept = F.transform(ws, lambda w, i: F.when(F.exists("__runs", lambda s: (s["start"] <= i) & (i <= s["end"])), F.lit("")).otherwise(F.concat(w, F.get(seps, i + 1))))
-    text = F.when(F.col("__hit").isNull(), F.col("text")).otherwise(F.concat(F.get(seps, F.lit(0)), F.array_join(kept, "")))
+    pieces_of = F.transform(F.arrays_zip(ws.alias("w"), F.slice(seps, F.lit(2), F.size(ws)).alias("s")), lambda x: F.concat(x["w"], x["s"]))
+    lefts, rights = F.concat(F.array(F.lit(-1)), ends), F.concat(starts, F.array(F.size(ws)))
+    gaps = F.arrays_zip(lefts.alias("left"), rights.alias("right"))  # words between the runs of hit words
+    between = lambda ps: F.transform(gaps, lambda g: F.array_join(F.slice(ps, g["left"] + 2, g["right"] - g["left"] - 1), ""))
+    kept = F.get(F.transform(F.array(pieces_of), lambda ps: F.array_join(between(ps), "")), F.lit(0))  # the lambda holds the pieces: they are made once
+    text = F.when(F.col("__hit").isNull(), F.col("text")).otherwise(F.concat(F.get(seps, F.lit(0)), kept))
     return joined.withColumn("text", text).select(*docs.columns)
 
 
