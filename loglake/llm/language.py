@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-Each language gets a zstandard raw-content dictionary of its own texts. A text is compressed whole with each of them;
+Each language gets a zstandard raw-content dictionary of its own texts. A text is lower-cased and compressed whole with each;
 the smallest output names the language, and the margin to the second is the score. Narrow margins are rejected.
 
 Defined cases: a null text, an empty one and one without a letter are ``und`` with score 0; without any language to
@@ -22,18 +22,22 @@ from loglake.llm.common import fold, table
 
 FOLDS = 5
 DICTIONARY_BYTES = 64 << 10  # of each language's dictionary
-SAMPLE_TEXTS = 100  # of each language, at most
+SAMPLE_TEXTS = 1000  # of each language, at most
+SALTS = 256
 MARGIN = 0.02
-LEVEL = 3
+LEVEL = 12  # from here on the compressor weighs matches against each other, and the sizes of short texts differ clearly
 LETTER = re.compile(r"[^\W\d_]")
 
 
 def learn(docs: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, sample_texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
     """A dictionary for each language, from at most ``sample_texts`` texts outside fold 0 that a hash of their ids chooses."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), FOLDS) != 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    # a text longer than the dictionary can fill gives its first part to the sample only
-    rows = known.select("lang", "doc_id", F.substring("text", 1, dictionary_bytes // 8).alias("text")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample_texts)
+    # a text longer than its share of the dictionary gives that share's first part to the sample
+    rows = known.select("lang", "doc_id", F.lower(F.substring("text", 1, dictionary_bytes // 64)).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    rows = rows.withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):  # a language's first texts are found in parts, so that none gathers in one task
+        order = Window.partitionBy(*keys).orderBy("h", "doc_id", "text")
+        rows = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample_texts)
     out: dict[str, list[bytes]] = {}
     for r in rows.orderBy("lang", "rank").select("lang", "text").collect():
         out.setdefault(r["lang"], []).append(r["text"].encode())
@@ -58,7 +62,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
                     names.append("und")
                     scores.append(0.0)
                     continue
-                raw = text.encode()
+                raw = text.lower().encode()
                 sizes = sorted((len(c.compress(raw)), lang) for lang, c in packers)
                 second = sizes[1][0] if len(sizes) > 1 else max(len(raw), sizes[0][0])
                 names.append(sizes[0][1])
