@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglake.functions.core import FIELDS, bounded_message, normalize, number, template_signature
@@ -257,8 +257,12 @@ def _bodies(spark: SparkSession, d: str, body) -> DataFrame:
     return logs.select(body.alias("line"), F.pmod(F.xxhash64("doc_id"), F.lit(50)).alias("request"))
 
 
-_ISO = F.concat(F.date_format(F.timestamp_micros(F.expr("timestamp_ns div 1000")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
-_DOC = F.to_json(F.struct(F.col("message"), _ISO.alias("@timestamp"), F.col("fields")["level"].alias("level"), F.col("fields")["path"].alias("path"), F.array(F.lit(1)).alias("skipped")))
+def _iso() -> Column:  # columns need a session: none is made at import
+    return F.concat(F.date_format(F.timestamp_micros(F.expr("timestamp_ns div 1000")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+
+
+def _doc() -> Column:
+    return F.to_json(F.struct(F.col("message"), _iso().alias("@timestamp"), F.col("fields")["level"].alias("level"), F.col("fields")["path"].alias("path"), F.array(F.lit(1)).alias("skipped")))
 
 
 @query("native_decode", _DEC)
@@ -276,16 +280,16 @@ def _(spark, d):
 
 @query("es_bulk_decode", _DEC)
 def _(spark, d):
-    b = _bodies(spark, d, F.concat(F.lit('{"delete":{"_id":"1"}}\n\n{"index":{}}\n'), _DOC)).groupBy("request").agg(F.array_join(F.collect_list("line"), "\n").alias("body"))
+    b = _bodies(spark, d, F.concat(F.lit('{"delete":{"_id":"1"}}\n\n{"index":{}}\n'), _doc())).groupBy("request").agg(F.array_join(F.collect_list("line"), "\n").alias("body"))
     return _decoded(W.es_bulk(b))
 
 
-query("es_import_lossy", _DEC)(lambda spark, d: _decoded(W.es_import(_bodies(spark, d, _DOC).select(F.col("line").alias("doc")), FIELDS)))
+query("es_import_lossy", _DEC)(lambda spark, d: _decoded(W.es_import(_bodies(spark, d, _doc()).select(F.col("line").alias("doc")), FIELDS)))
 query("es_import_preserve", "SELECT timestamp_ns, message, level, '{\"path\":\"' || path || '\",\"skipped\":\"[1]\"}' AS meta FROM logs")(
-    lambda spark, d: W.es_import(_bodies(spark, d, _DOC).select(F.col("line").alias("doc")), ("level",), True).select("timestamp_ns", "message", F.col("fields")["level"].alias("level"), F.col("fields")["_meta"].alias("meta"))
+    lambda spark, d: W.es_import(_bodies(spark, d, _doc()).select(F.col("line").alias("doc")), ("level",), True).select("timestamp_ns", "message", F.col("fields")["level"].alias("level"), F.col("fields")["_meta"].alias("meta"))
 )
 query("syslog_decode", "SELECT timestamp_ns, message, '13' AS facility, 'notice' AS level, 'app' AS app_name, true AS no_procid FROM logs")(
-    lambda spark, d: W.syslog(_bodies(spark, d, F.concat(F.lit("<109>1 "), _ISO, F.lit(' host app - ID [a x="]"][b y="2"] '), F.col("message"))).select("line")).select(
+    lambda spark, d: W.syslog(_bodies(spark, d, F.concat(F.lit("<109>1 "), _iso(), F.lit(' host app - ID [a x="]"][b y="2"] '), F.col("message"))).select("line")).select(
         "timestamp_ns", "message", *[F.col("fields")[k].alias(k) for k in ("facility", "level", "app_name")], F.col("fields")["procid"].isNull().alias("no_procid"))
 )
 
