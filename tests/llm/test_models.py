@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 import tiktoken
 from conftest import fold_of
 
@@ -30,7 +31,9 @@ def test_edited_counts_equal_counts_of_the_edited_text(spark, small):
     assert sorted(got) == sorted(want)
 
 
-def test_recall_of_neighbours(spark):
+@pytest.mark.parametrize("part_rows", [neighbours.PART_ROWS, 100])  # one part at this size, and 32 parts that queries are routed to
+def test_recall_of_neighbours(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(neighbours, "PART_ROWS", part_rows)
     sf = "/root/testdata/sf0.1"
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding").filter("embedding is not null").toPandas()
     x, ids = np.array(rows["embedding"].tolist(), float), rows["vec_id"].to_numpy()
