@@ -85,21 +85,24 @@ def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     up = one.alias("m").join(heads, same("m", "p", "parent", "id"), "left")
     # up: the message 2^k above, how many messages and how much score lie from here to below it
     up = cut(up.select("m.conv", "m.id", F.col("p.id").alias("above"), F.lit(1).alias("depth"), F.coalesce("m.score", F.lit(0.0)).cast("double").alias("sum")), "up")
-    levels = [up.select("conv", "id", "above")]
-    while not up.filter("above is not null").isEmpty():
-        nxt = up.alias("a").join(up.alias("b"), same("a", "b", "above", "id"), "left")
-        up = nxt.select("a.conv", "a.id", F.col("b.above").alias("above"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"), (F.col("a.sum") + F.coalesce("b.sum", F.lit(0.0))).alias("sum"))
-        up = cut(up, "up")
-        levels.append(up.select("conv", "id", "above"))
+    # a message at its root is settled; only the others are joined on, so that a few long branches cost few rows
+    settled, rising = up.filter("above is null"), up.filter("above is not null")
+    levels = [rising.select("conv", "id", "above")]
+    while not rising.isEmpty():
+        nxt = rising.alias("a").join(settled.unionAll(rising).alias("b"), same("a", "b", "above", "id"))
+        nxt = cut(nxt.select("a.conv", "a.id", F.col("b.above").alias("above"), (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.sum") + F.col("b.sum")).alias("sum")), "up")
+        settled, rising = settled.unionAll(nxt.filter("above is null")), nxt.filter("above is not null")
+        levels.append(rising.select("conv", "id", "above"))
         if len(levels) > 40:
             raise ValueError("the parents of a conversation form a cycle")
+    up = settled
     parents = one.filter("parent is not null").select("conv", F.col("parent").alias("id")).distinct()
     leaves = up.alias("u").join(parents.alias("p"), same("u", "p", "id", "id"), "left_anti").select("conv", F.col("id").alias("leaf"), "sum")
     best = Window.partitionBy("conv").orderBy(F.col("sum").desc(), "leaf")
     walk = leaves.withColumn("rank", F.row_number().over(best)).filter(F.lit(True) if branches is None else F.col("rank") <= branches)
     walk = walk.select("conv", "leaf", "rank", F.col("leaf").alias("id"))
     for level in reversed(levels):
-        more = walk.alias("w").join(level.filter("above is not null").alias("l"), same("w", "l", "id", "id"))
+        more = walk.alias("w").join(level.alias("l"), same("w", "l", "id", "id"))
         walk = cut(walk.unionAll(more.select("w.conv", "w.leaf", "w.rank", F.col("l.above").alias("id"))).distinct(), "walk")
     texts = one.alias("m").join(up.alias("u"), same("m", "u", "id", "id")).select("m.conv", "m.id", "u.depth", "m.role", "m.text")
     return walk.alias("w").join(texts.alias("t"), same("w", "t", "id", "id")).select("w.conv", "w.leaf", "w.rank", "t.depth", "t.role", "t.text")
