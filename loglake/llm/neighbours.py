@@ -10,12 +10,14 @@ take no part, nor do rows with a null vec_id; repeated rows are candidates each;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loglake.llm.common import cut, table
+from loglake.llm.common import cut, table, tasks
 
 K = 20
 QUERIES = 20  # ids that it divides are queries
@@ -23,8 +25,8 @@ SAMPLE = 4096  # vectors that the partition is learned on, at most
 PART_ROWS, MOST_PARTS = 4000, 256
 GRAPH_NEIGHBOURS = 10
 SAMPLE_RECALL = 0.98
-SHARD_ROWS = 1000  # a part's rows are dealt to shards of about this many
-QUERY_BLOCK = 4000
+SLICES = 8  # a block of queries meets the rows in so many tasks
+QUERY_BLOCK = 16_384
 
 
 def graph_parts(x: np.ndarray, parts: int) -> np.ndarray:
@@ -90,6 +92,60 @@ def _valid(vectors: DataFrame) -> DataFrame:
     return rows.filter(fine)
 
 
+class Nearest:
+    """The best ``k`` rows met so far by each query of a block."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, parts: np.ndarray, k: int) -> None:
+        self.ids, self.q, self.parts, self.k = ids, q, parts, k
+        self.low = np.full(len(ids), -np.inf)  # a row under it is not among the best
+        self.best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))  # place of the query, vec_id, score
+
+    def _without_idle_copies(self, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Rows that can be among a query's best: of equal vectors, those of the k + 1 smallest ids, k rows of an id (one may be the query's)."""
+        h = (x * np.cos(np.arange(x.shape[1]))).sum(1)
+        order = np.lexsort((ids, h))
+        near, rows = ids[order], x[order]
+        same = np.r_[False, (rows[1:] == rows[:-1]).all(1)]
+        same_id = same & np.r_[False, near[1:] == near[:-1]]
+        count = np.arange(len(near))
+        of_id = count - np.maximum.accumulate(np.where(same_id, 0, count))
+        new_ids = np.cumsum(~same_id)
+        rank = new_ids - np.maximum.accumulate(np.where(same, 0, new_ids))
+        return order[(of_id < self.k) & (rank <= self.k)]
+
+    def meet(self, part: int, ids: np.ndarray, x: np.ndarray) -> None:
+        """Rank rows of one part for the queries that probe it."""
+        live = self._without_idle_copies(ids, x)
+        ids, x, found = ids[live], x[live], [self.best]
+        asking = np.flatnonzero((self.parts == part).any(1))
+        for i in range(0, len(asking), 256):
+            own = asking[i : i + 256]
+            sims = self.q[own] @ x.T
+            sims[self.ids[own, None] == ids[None, :]] = -np.inf
+            if len(ids) >= self.k:
+                kth = np.partition(sims, -self.k, axis=1)[:, -self.k]
+                self.low[own] = np.maximum(self.low[own], self._slack(kth))
+            a, c = np.nonzero((sims >= self.low[own, None]) & (sims > -np.inf))
+            exact = (x[c] * self.q[own[a]]).sum(1)  # the same sum for equal vectors wherever they lie
+            found.append((own[a], ids[c], exact))
+        query, near, score = map(np.concatenate, zip(*found))
+        order = np.lexsort((near, -score, query))
+        query, near, score = query[order], near[order], score[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query, side="left")
+        last, top = rank == self.k - 1, rank < self.k
+        self.low[query[last]] = np.maximum(self.low[query[last]], self._slack(score[last]))
+        self.best = query[top], near[top], score[top]
+
+    @staticmethod
+    def _slack(score: np.ndarray) -> np.ndarray:
+        """A little less: products of matrices and sums of products can differ in their last digits."""
+        return score - 1e-9 * (1 + np.abs(score))
+
+    def found(self) -> pa.RecordBatch:
+        query, near, score = self.best
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[query], pa.int64()), pa.array(near, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
+
+
 def search(vectors: DataFrame, k: int = K, every: int = QUERIES, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product found for each row whose id ``every`` divides."""
     rows = _valid(vectors)
@@ -112,37 +168,43 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERIES, sample: int = S
             yield b.assign(parts=list(order.astype(np.int32)))
 
     filed = cut(rows.mapInPandas(file, "vec_id long, v array<double>, parts array<int>"), "filed")
-    home = filed.select("vec_id", "v", F.get("parts", F.lit(0)).alias("part"))
-    asks = filed.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("parts").alias("part"))
-    # a part's rows are dealt to shards, its queries to blocks; each block meets each shard
-    of_part = home.groupBy("part").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("shards"))
-    of_part = of_part.join(asks.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("blocks")), "part")
-    home = home.join(F.broadcast(of_part), "part").withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asks = asks.join(F.broadcast(of_part), "part").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-
-    def rank(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(own):
-            ids, x = own["vec_id"].to_numpy(), np.array(own["v"].tolist(), float)
-            by_id = np.argsort(ids, kind="stable")
-            ids, x = ids[by_id], x[by_id]
-            for i in range(0, len(queries), 512):
-                part = queries.iloc[i : i + 512]
-                q, q_ids = np.array(part["q"].tolist(), float), part["query_id"].to_numpy()
-                sims = q @ x.T
-                sims[ids[None, :] == q_ids[:, None]] = -np.inf
-                kth = np.partition(sims, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
-                slack = 1e-9 * (1 + np.abs(kth))
-                for row, low, qi, qid in zip(sims, kth - slack, q, q_ids):
-                    near = np.flatnonzero((row >= low) & (row > -np.inf))
-                    exact = (x[near] * qi).sum(1)  # the same sum for equal vectors wherever they lie
-                    best = np.lexsort((ids[near], -exact))[:k]
-                    out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[near][best], "score": exact[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    keys = ["part", "shard", "block"]
-    a, b = asks.select("query_id", "q", *keys).groupBy(*keys), home.select("vec_id", "v", *keys).groupBy(*keys)
-    found = a.cogroup(b).applyInPandas(rank, "query_id long, vec_id long, score double")
+    asks = filed.filter(F.col("vec_id") % every == 0).withColumn("home", F.get("parts", F.lit(0)))
+    # queries of neighbouring parts share a block; one row for each part, MOST_PARTS at most, comes to the driver
+    before, starts = 0, []
+    for r in asks.groupBy("home").count().orderBy("home").collect():
+        starts.append((r["home"], before, r["count"]))
+        before += r["count"]
+    starts = vectors.sparkSession.createDataFrame(starts, "home int, before long, own long")
+    asks = asks.join(F.broadcast(starts), "home")
+    place = F.col("before") + F.pmod(F.xxhash64("vec_id"), "own")
+    asks = cut(asks.select("vec_id", "v", "parts", F.floor(place / QUERY_BLOCK).alias("block")), "asks")
+    # each block meets every slice of the rows; of a slice it gets the parts that its queries probe
+    probed = asks.select(F.explode("parts").alias("part"), "block").groupBy("part").agg(F.collect_set("block").alias("blocks"))
+    home = filed.select("vec_id", "v", F.get("parts", F.lit(0)).alias("part")).join(F.broadcast(probed), "part")
+    home = home.select(F.explode("blocks").alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(SLICES)).alias("slice"), "part", "vec_id", "v", F.lit(None).cast("array<int>").alias("parts"))
+    queries = asks.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long"))).alias("slice"), F.lit(-1).alias("part"), "vec_id", "v", "parts")
+    met = queries.unionByName(home).repartition(tasks(vectors.sparkSession), "block", "slice").sortWithinPartitions("block", "slice", "part")
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, asked, nearest = None, [], None
+        for b in batches:
+            block, piece, part = (b[c].to_numpy() for c in ("block", "slice", "part"))
+            ids, x = b["vec_id"].to_numpy(), b["v"].flatten().to_numpy().reshape(-1, d)
+            changes = np.flatnonzero((np.diff(block) != 0) | (np.diff(piece) != 0) | (np.diff(part) != 0)) + 1
+            for first, last in zip(np.r_[0, changes], np.r_[changes, len(ids)]):
+                if (block[first], piece[first]) != unit:
+                    if nearest:
+                        yield nearest.found()
+                    unit, asked, nearest = (block[first], piece[first]), [], None
+                if part[first] < 0:
+                    asked.append((ids[first:last], x[first:last], np.array(b["parts"].slice(first, last - first).to_pylist())))
+                elif asked:
+                    nearest = nearest or Nearest(*map(np.concatenate, zip(*asked)), k)
+                    nearest.meet(part[first], ids[first:last], x[first:last])
+        if nearest:
+            yield nearest.found()
+
+    found = met.mapInArrow(rank, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -94,3 +94,20 @@ def test_scores_equal_a_plain_model(spark):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(w in words for w in own), n)
         assert abs(r["score"] - plain_ppm([t.encode() for t in train], (t or "").encode())) < 1e-6, t
         assert r["held_out"] == (fold_of(i, ppm.FOLDS) == ppm.HELD_OUT) and abs(r["base_score"] - base) < 1e-9
+
+
+def test_nearest_keeps_ties_and_copies():
+    """Few distinct vectors, so that most scores tie; ids that repeat; rows met in pieces."""
+    rng, k = np.random.default_rng(3), 5
+    x = rng.integers(-2, 3, (300, 4)).astype(float)
+    ids = rng.permutation(np.r_[np.arange(280), rng.integers(0, 280, 20)])
+    asks = np.flatnonzero(ids % 7 == 0)
+    met = neighbours.Nearest(ids[asks], x[asks], np.tile([0, 1], (len(asks), 1)), k)
+    for n, i in enumerate(range(0, 300, 70)):
+        met.meet(n % 2, ids[i : i + 70], x[i : i + 70])
+    query, near, score = met.best
+    for j, i in enumerate(asks):
+        sims, others = (x * x[i]).sum(1), np.flatnonzero(ids != ids[i])
+        best = others[np.lexsort((ids[others], -sims[others]))[:k]]
+        assert near[query == j].tolist() == ids[best].tolist()
+        assert score[query == j].tolist() == sims[best].tolist()
