@@ -62,6 +62,14 @@ def _blocks(raw: list[bytes]) -> Iterator[slice]:
         yield slice(at, len(raw))
 
 
+def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each one's counts; keys: not empty."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(counts[order], first)
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct strings and words of each chunk, with how often its training documents hold them."""
     names = ["chunk", "gram", "word", "n"]
@@ -76,14 +84,14 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in _blocks(texts):
                 code, first = strings(texts[part])
                 used = np.repeat(train[mine[part]], np.diff(np.r_[first, len(code)]))
-                u, inverse = np.unique(code, return_inverse=True)
-                grams.append(u)
-                counts.append(np.bincount(inverse, used, len(u)))
+                u, n = np.unique(code[used], return_counts=True)
+                other = np.unique(code[~used])
+                grams += [u, other]
+                counts += [n, np.zeros(len(other), np.int64)]
             for i in mine:
                 w = raw[i].lower().split() + [b""]
                 words.update(w) if train[i] else words.update(dict.fromkeys(w, 0))
-            u, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate(counts), len(u)).astype(np.int64)
+            u, n = _totals(np.concatenate(grams), np.concatenate(counts))
             chunks = lambda m: pa.array(np.full(m, c, np.int32))
             yield pa.RecordBatch.from_arrays([chunks(len(u)), pa.array(u), pa.nulls(len(u), pa.string()), pa.array(n)], names)
             ws = [w.decode() for w in words]
@@ -146,15 +154,13 @@ def score(docs: DataFrame) -> DataFrame:
         is_word = model["gram"].isna().to_numpy()
         w = model[is_word]
         known = dict(zip(w["word"].str.encode("utf-8"), zip(w["lp"], w["known"])))
-        g = model[~is_word]
-        keys, lp = g["gram"].to_numpy(np.int64), g["lp"].to_numpy()
-        order = np.argsort(keys)
-        keys, lp = keys[order], lp[order]
+        g = model[~is_word].drop_duplicates("gram")  # a chunk that fills several batches gives a string once a batch
+        keys, lp = pd.Index(g["gram"].to_numpy(np.int64)), g["lp"].to_numpy()
         raw = [t.encode() for t in texts["text"]]
         scores = []
         for part in _blocks(raw):
             code, first = strings(raw[part])
-            scores.append(np.add.reduceat(lp[np.searchsorted(keys, code)], first))
+            scores.append(np.add.reduceat(lp[keys.get_indexer(code)], first))
         facts = []
         for r in raw:
             found = [known[x] for x in r.lower().split() + [b""]]
