@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.llm.common import cut, fold, pieces, table, tasks
+from loglake.llm.common import cut, fold, pieces, table
 
 FOLDS, HELD_OUT = 7, 2
 ORDER = 4  # bytes of the longest context
@@ -137,7 +137,7 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (fold(F.col("doc_id"), FOLDS) != HELD_OUT).alias("train"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = pieces(total, CHUNK_BYTES, tasks(spark))
+    n = pieces(total, CHUNK_BYTES, 2 * spark.sparkContext.defaultParallelism)  # small chunks repeat their strings
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int"))
     found = cut(rows.repartition(n, "chunk").mapInArrow(_gather, "chunk int, gram long, word string, n long"), "strings")
     grams, words = found.filter("gram is not null").select("chunk", "gram", "n"), found.filter("word is not null").select("chunk", "word", "n")
