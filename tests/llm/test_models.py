@@ -79,10 +79,13 @@ def plain_ppm(train, text):
     return total
 
 
-def test_scores_equal_a_plain_model(spark):
+@pytest.mark.parametrize("batch_rows", [10000, 1])  # 1: a chunk fills several batches
+def test_scores_equal_a_plain_model(spark, batch_rows):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
     texts = ["abracadabra", "abra cadabra", "the cat sat", "The cat sat on the mat", "", None, "zebra \x00 é", "cat cat cat", "new words here"]
     rows = [(i, t, "x") for i, t in enumerate(texts * 2)]
     got = {r["doc_id"]: r for r in ppm.score(spark.createDataFrame(rows, "doc_id long, text string, gram string").repartition(3)).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     train = [t or "" for i, t, _ in rows if fold_of(i, ppm.FOLDS) != ppm.HELD_OUT]
     words = Counter(w for t in train for w in [*t.encode().lower().split(), b""])
     n, v = sum(words.values()), len(words)
