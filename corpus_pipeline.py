@@ -23,11 +23,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one that names it, and of repeated rows of that id the least."""
-    found = simhash.near_duplicates(docs).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__group"))
-    leaders = found.filter(F.col("__id").eqNullSafe(F.col("__group"))).select("__id").distinct()
-    kept = docs.select(*COLUMNS).join(leaders, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*COLUMNS)
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each near-duplicate group: the least by id (null ids last), then by a hash of all its columns."""
+    own = F.struct("doc_id", F.md5("text").alias("text"), "lang", "source", "n_chars")
+    docs = docs.select(*COLUMNS, F.md5(F.to_json(own)).alias("__row"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
+    leaders = simhash.near_duplicates(docs, keep=("__row",)).groupBy("root").agg(least.alias("least")).select("least.__row")
+    # rows of one hash are equal, so one of them is enough; ids don't tell rows apart
+    return docs.dropDuplicates(["__row"]).join(leaders, "__row", "left_semi").select(*COLUMNS)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,14 +42,16 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(votes * 2 > len(grams), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (long) of each row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (long) and the columns ``keep`` of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([fingerprint_of(t.as_py(), shingle) for t in b["text"]], pa.int64())], ["doc_id", "fp"])
+            fp = pa.array([fingerprint_of(t.as_py(), shingle) for t in b["text"]], pa.int64())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], fp, *[b[k] for k in keep]], ["doc_id", "fp", *keep])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    return rows.mapInArrow(run, "doc_id long, fp long" + "".join(f", `{k}` {rows.schema[k].dataType.simpleString()}" for k in keep))
 
 
 def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -181,15 +183,15 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id that links reach) of each row."""
-    marked = cut(fingerprints(docs), "fingerprints")
+def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id that links reach), root (a fingerprint, one for each component) and ``keep`` of each row."""
+    marked = cut(fingerprints(docs, keep=keep), "fingerprints")
     fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
     roots = components(links(fps.select("fp")))
     named = cut(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = named.join(least, "root").select("fp", "component_id")
-    return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = named.join(least, "root").select("fp", "component_id", "root")
+    return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id", "root", *keep)
 
 
 def hex_digits(fp: Column) -> Column:
