@@ -5,7 +5,9 @@ vector's part. It files every row, and sends each query to the several parts tha
 are ranked exactly. The number of parts probed is the least with which the sample's own queries find their neighbours.
 
 Defined cases: vectors that are null, zero, hold a null or non-finite component, or have another dimension than most
-take no part, nor do rows with a null vec_id; repeated rows are candidates each; other columns are ignored.
+take no part, nor do rows with a null vec_id; repeated rows are candidates each, but ask once; an id with several
+different vectors asks with each of them, and a candidate row then counts once, with its best score; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -99,6 +101,7 @@ class Nearest:
         self.ids, self.q, self.parts, self.k = ids, q, parts, k
         self.low = np.full(len(ids), -np.inf)  # a row under it is not among the best
         self.best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))  # place of the query, vec_id, score
+        self.kinds = np.empty(0, np.int64)  # of each of the best, a hash of its vector
 
     def _without_idle_copies(self, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Rows that can be among a query's best: of equal vectors, those of the k + 1 smallest ids, k rows of an id (one may be the query's)."""
@@ -113,10 +116,11 @@ class Nearest:
         rank = new_ids - np.maximum.accumulate(np.where(same, 0, new_ids))
         return order[(of_id < self.k) & (rank <= self.k)]
 
-    def meet(self, part: int, ids: np.ndarray, x: np.ndarray) -> None:
+    def meet(self, part: int, ids: np.ndarray, x: np.ndarray, kinds: np.ndarray | None = None) -> None:
         """Rank rows of one part for the queries that probe it."""
+        kinds = np.zeros(len(ids), np.int64) if kinds is None else kinds
         live = self._without_idle_copies(ids, x)
-        ids, x, found = ids[live], x[live], [self.best]
+        ids, x, kinds, found = ids[live], x[live], kinds[live], [(*self.best, self.kinds)]
         asking = np.flatnonzero((self.parts == part).any(1))
         for i in range(0, len(asking), 256):
             own = asking[i : i + 256]
@@ -127,14 +131,14 @@ class Nearest:
                 self.low[own] = np.maximum(self.low[own], self._slack(kth))
             a, c = np.nonzero((sims >= self.low[own, None]) & (sims > -np.inf))
             exact = (x[c] * self.q[own[a]]).sum(1)  # the same sum for equal vectors wherever they lie
-            found.append((own[a], ids[c], exact))
-        query, near, score = map(np.concatenate, zip(*found))
+            found.append((own[a], ids[c], exact, kinds[c]))
+        query, near, score, kinds = map(np.concatenate, zip(*found))
         order = np.lexsort((near, -score, query))
-        query, near, score = query[order], near[order], score[order]
+        query, near, score, kinds = query[order], near[order], score[order], kinds[order]
         rank = np.arange(len(query)) - np.searchsorted(query, query, side="left")
         last, top = rank == self.k - 1, rank < self.k
         self.low[query[last]] = np.maximum(self.low[query[last]], self._slack(score[last]))
-        self.best = query[top], near[top], score[top]
+        self.best, self.kinds = (query[top], near[top], score[top]), kinds[top]
 
     @staticmethod
     def _slack(score: np.ndarray) -> np.ndarray:
@@ -142,8 +146,15 @@ class Nearest:
         return score - 1e-9 * (1 + np.abs(score))
 
     def found(self) -> pa.RecordBatch:
+        """Of equal rows (one id, one vector) the copies are numbered."""
         query, near, score = self.best
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[query], pa.int64()), pa.array(near, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
+        order = np.lexsort((self.kinds, near, query))
+        rows = np.c_[query, near, self.kinds][order]
+        at = np.arange(len(rows))
+        copy = np.empty(len(rows), np.int64)
+        copy[order] = at - np.maximum.accumulate(np.where(np.r_[True, (rows[1:] != rows[:-1]).any(1)][: len(rows)], at, 0))
+        columns = [pa.array(c, pa.int64()) for c in (self.ids[query], near, self.kinds, copy)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(score, pa.float64())], ["query_id", "vec_id", "kind", "copy", "score"])
 
 
 def search(vectors: DataFrame, k: int = K, every: int = QUERIES, sample: int = SAMPLE) -> DataFrame:
@@ -168,7 +179,8 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERIES, sample: int = S
             yield b.assign(parts=list(order.astype(np.int32)))
 
     filed = cut(rows.mapInPandas(file, "vec_id long, v array<double>, parts array<int>"), "filed")
-    asks = filed.filter(F.col("vec_id") % every == 0).withColumn("home", F.get("parts", F.lit(0)))
+    asks = filed.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).withColumn("home", F.get("parts", F.lit(0)))
+    asks = cut(asks, "asking")  # it is read twice, and the two must agree on the parts of repeated rows
     # queries of neighbouring parts share a block; one row for each part, MOST_PARTS at most, comes to the driver
     before, starts = 0, []
     for r in asks.groupBy("home").count().orderBy("home").collect():
@@ -181,14 +193,14 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERIES, sample: int = S
     # each block meets every slice of the rows; of a slice it gets the parts that its queries probe
     probed = asks.select(F.explode("parts").alias("part"), "block").groupBy("part").agg(F.collect_set("block").alias("blocks"))
     home = filed.select("vec_id", "v", F.get("parts", F.lit(0)).alias("part")).join(F.broadcast(probed), "part")
-    home = home.select(F.explode("blocks").alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(SLICES)).alias("slice"), "part", "vec_id", "v", F.lit(None).cast("array<int>").alias("parts"))
-    queries = asks.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long"))).alias("slice"), F.lit(-1).alias("part"), "vec_id", "v", "parts")
+    home = home.select(F.explode("blocks").alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(SLICES)).alias("slice"), "part", "vec_id", "v", F.xxhash64("v").alias("kind"), F.lit(None).cast("array<int>").alias("parts"))
+    queries = asks.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long"))).alias("slice"), F.lit(-1).alias("part"), "vec_id", "v", F.lit(0).cast("long").alias("kind"), "parts")
     met = queries.unionByName(home).repartition(tasks(vectors.sparkSession), "block", "slice").sortWithinPartitions("block", "slice", "part")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, asked, nearest = None, [], None
         for b in batches:
-            block, piece, part = (b[c].to_numpy() for c in ("block", "slice", "part"))
+            block, piece, part, kinds = (b[c].to_numpy() for c in ("block", "slice", "part", "kind"))
             ids, x = b["vec_id"].to_numpy(), b["v"].flatten().to_numpy().reshape(-1, d)
             changes = np.flatnonzero((np.diff(block) != 0) | (np.diff(piece) != 0) | (np.diff(part) != 0)) + 1
             for first, last in zip(np.r_[0, changes], np.r_[changes, len(ids)]):
@@ -200,11 +212,13 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERIES, sample: int = S
                     asked.append((ids[first:last], x[first:last], np.array(b["parts"].slice(first, last - first).to_pylist())))
                 elif asked:
                     nearest = nearest or Nearest(*map(np.concatenate, zip(*asked)), k)
-                    nearest.meet(part[first], ids[first:last], x[first:last])
+                    nearest.meet(part[first], ids[first:last], x[first:last], kinds[first:last])
         if nearest:
             yield nearest.found()
 
-    found = met.mapInArrow(rank, "query_id long, vec_id long, score double")
+    found = met.mapInArrow(rank, "query_id long, vec_id long, kind long, copy long, score double").repartition(tasks(vectors.sparkSession), "query_id")
+    # several vectors of one id can find the same row: it keeps its best score
+    found = found.groupBy("query_id", "vec_id", "kind", "copy").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
