@@ -89,3 +89,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
             yield b.slice(at, to - at)
             at = to
+
+
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Batches sorted by ``keys``, in pieces of one key's values each; a key that fills several batches comes several times in a row."""
+    for b in batches:
+        if b.num_rows:
+            values = [b[k].to_numpy(zero_copy_only=False) for k in keys]
+            changes = np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values])) + 1
+            for first, last in zip(np.r_[0, changes].tolist(), [*changes.tolist(), b.num_rows]):
+                yield tuple(int(v[first]) for v in values), b.slice(first, last - first)

@@ -1,15 +1,19 @@
 """LM scoring by prediction by partial matching over bytes.
 
-Training documents give counts of five-byte strings; their suffixes give the counts of every shorter context, so the
-context trie is a set of tables (one for each order) that joins build. The probability of a byte is taken at the longest
-context that has seen it; each longer context that has not costs an escape (method C: distinct symbols over all), and
-the symbols that it has seen are excluded below it. Each distinct string of the corpus gets its log probability once,
-by joins with the tables; documents are dealt into chunks, and each chunk receives the strings and words that it holds,
-never the whole model.
+Training documents give counts of five-byte strings; the suffixes of those strings are the shorter contexts, so their
+sorted tables are the context trie. The probability of a byte is taken at the longest context that has seen it; each
+longer context that has not costs an escape (method C: distinct symbols over all), and the symbols that it has seen are
+excluded below it.
+
+The texts are cut into chunks. A chunk sends its distinct strings, sorted and packed, to BUCKETS buckets; a bucket holds
+all strings with the same two symbols before the last, so every context of two symbols or more lies whole in one bucket
+(a pair of symbols has at most SYMBOLS^3 strings), and the shorter ones are a table of SYMBOLS^2 numbers that is
+broadcast. A bucket merges the counts, then answers each chunk with the log probabilities of the chunk's own strings;
+no chunk receives the whole model. Words are counted and joined as rows.
 
 Defined cases: a null text is empty: one end and no words; a null doc_id trains (its fold is 0); without any training
-document all counts are zero and bytes are uniform; repeated rows each count and each get a row; other columns are
-ignored.
+document all counts are zero and bytes are uniform; an empty table gives no rows; a text of any length is read in pieces;
+repeated rows each count and each get a row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,155 +25,257 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.llm.common import cut, fold, pieces, table
+from loglake.llm.common import cut, fold, pieces, runs, slices, table, tasks
 
 FOLDS, HELD_OUT = 7, 2
 ORDER = 4  # bytes of the longest context
 SYMBOLS = 257  # bytes, and 256 for either end of a text
 END = 256
-CHUNK_BYTES = 16 << 20
-BLOCK_BYTES = 2 << 20
-
-
-def strings(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Code of each symbol with its ORDER symbols before, text by text, the end included; and each text's first place."""
-    sizes = np.array([len(r) for r in raw], np.int64)
-    data = np.full(int(sizes.sum()) + (ORDER + 1) * len(raw), END, np.int64)
-    starts = np.cumsum(sizes + ORDER + 1) - (sizes + ORDER + 1)
-    inside = np.ones(len(data), bool)
-    for k in range(ORDER):
-        inside[starts + k] = False
-    is_byte = inside.copy()
-    is_byte[starts + ORDER + sizes] = False
-    data[is_byte] = np.frombuffer(b"".join(raw), np.uint8)
-    code = np.zeros(len(data) - ORDER if len(data) else 0, np.int64)
-    for k in range(ORDER + 1):
-        code = code * SYMBOLS + data[k : len(data) - ORDER + k]
-    return code[inside[ORDER:]], np.cumsum(sizes + 1) - (sizes + 1)
-
-
-def _blocks(raw: list[bytes]) -> Iterator[slice]:
-    at, size = 0, 0
+CHUNK_BYTES = 4 << 20  # of text; a longer text is a chunk of its own
+BLOCK = 1 << 20  # symbols that are coded at a time
+BUCKETS = 512
+PART_CHUNKS = 256  # chunks that one task merges or answers, of one bucket
+CHUNKS = "chunk long, kind int, bucket int, grams binary, counts binary, word string, n long, ids array<long>, train array<boolean>, sizes array<int>, data binary"
+STRINGS, WORDS, TEXTS = 0, 1, 2  # kinds of rows, in the order in which a chunk reads them
+
+
+def coded(raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """In blocks: the code of each symbol with its ORDER symbols before, ends included; the texts in the block, and where each begins."""
+    parts: list[tuple[int, int, bytes, int]] = []  # text, symbols of the start before it, bytes, symbols that are coded
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        owner, head, body, count = zip(*parts)
+        head, count, sizes = np.array(head), np.array(count), np.array([len(b) for b in body])
+        start = np.cumsum(count + ORDER) - (count + ORDER)
+        data = np.full(int((count + ORDER).sum()), END, np.int64)
+        shift = start + head - (np.cumsum(sizes) - sizes)
+        data[np.arange(int(sizes.sum())) + np.repeat(shift, sizes)] = np.frombuffer(b"".join(body), np.uint8)
+        code = np.zeros(len(data) - ORDER, np.int64)
+        for k in range(ORDER + 1):
+            code = code * SYMBOLS + data[k : len(data) - ORDER + k]
+        first = np.cumsum(count) - count
+        return code[np.arange(int(count.sum())) + np.repeat(start - first, count)], np.array(owner), first
+
+    room = BLOCK
     for i, r in enumerate(raw):
-        size += len(r) + 1
-        if size >= BLOCK_BYTES:
-            yield slice(at, i + 1)
-            at, size = i + 1, 0
-    if at < len(raw):
-        yield slice(at, len(raw))
+        for at in range(0, len(r) + 1, BLOCK):
+            count = min(BLOCK, len(r) + 1 - at)
+            parts.append((i, ORDER - min(at, ORDER), r[max(at - ORDER, 0) : at + BLOCK], count))
+            room -= count
+            if room <= 0:
+                yield block()
+                parts, room = [], BLOCK
+    if parts:
+        yield block()
 
 
-def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sum of each one's counts; keys: not empty."""
+def totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each one's counts."""
+    if not len(keys):
+        return keys, counts
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     return keys[first], np.add.reduceat(counts[order], first)
 
 
+def pack(x: np.ndarray) -> bytes:
+    return zstandard.compress(np.diff(x, prepend=0).astype(np.int64).tobytes(), 1)
+
+
+def unpack(x: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(x), np.int64))
+
+
+def bucket_of(grams: np.ndarray) -> np.ndarray:
+    pair = grams // SYMBOLS % SYMBOLS**2
+    return (pair * 2_654_435_761 >> 8) % BUCKETS
+
+
+def _rows(schema: pa.Schema, size: int, /, **columns) -> pa.RecordBatch:
+    """A batch of ``size`` rows; columns that aren't given are null."""
+    of = lambda f: pa.nulls(size, f.type) if f.name not in columns else columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type)
+    return pa.RecordBatch.from_arrays([of(f) for f in schema], schema=schema)
+
+
+_CHUNK = pa.schema([
+    ("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("word", pa.string()), ("n", pa.int64()),
+    ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("data", pa.binary()),
+])
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct strings and words of each chunk, with how often its training documents hold them."""
-    names = ["chunk", "gram", "word", "n"]
+    """Of each chunk: its distinct strings by bucket and its words, with how often training documents hold them, and its texts."""
+    for number, b in enumerate(slices(batches, "text", CHUNK_BYTES)):
+        chunk = TaskContext.get().partitionId() << 32 | number
+        train, raw = b["train"].to_numpy(zero_copy_only=False), [t.as_py().encode() for t in b["text"]]
+        grams, counts, words = [], [], Counter()
+        for code, owner, first in coded(raw):
+            label, own = pd.factorize(code)
+            used = np.repeat(train[owner], np.diff(np.r_[first, len(code)]))
+            grams.append(own)
+            counts.append(np.bincount(label[used], minlength=len(own)))
+        for r, used in zip(raw, train):
+            w = r.lower().split() + [b""]  # the empty word is the end
+            words.update(w) if used else words.update(dict.fromkeys(w, 0))
+        own, n = totals(np.concatenate(grams), np.concatenate(counts))
+        to = bucket_of(own)
+        order = np.argsort(to, kind="stable")
+        own, n, to = own[order], n[order], to[order]
+        starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+        cuts = list(zip(starts, np.r_[starts[1:], len(to)]))
+        ids = lambda m: np.full(m, chunk)
+        yield _rows(_CHUNK, len(cuts), chunk=ids(len(cuts)), kind=[STRINGS] * len(cuts), bucket=to[starts], grams=[pack(own[x:y]) for x, y in cuts], counts=[pack(n[x:y]) for x, y in cuts])
+        yield _rows(_CHUNK, len(words), chunk=ids(len(words)), kind=[WORDS] * len(words), word=[w.decode() for w in words], n=list(words.values()))
+        yield _rows(_CHUNK, 1, chunk=[chunk], kind=[TEXTS], ids=[b["doc_id"].to_pylist()], train=[train.tolist()], sizes=[[len(r) for r in raw]], data=[zstandard.compress(b"".join(raw), 3)])
+
+
+_MERGED = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (bucket, part), to one row for each."""
+    held: tuple | None = None
+    for key, b in runs(batches, "bucket", "part"):
+        if held and held[0] != key:
+            yield _rows(_MERGED, 1, bucket=[held[0][0]], part=[held[0][1]], grams=[pack(held[1])], counts=[pack(held[2])])
+            held = None
+        found = [[unpack(x) for x in b[c].to_pylist()] for c in ("grams", "counts")]
+        held = (key, *totals(*(np.concatenate([*([held[1 + i]] if held else []), *found[i]]) for i in (0, 1))))
+    if held:
+        yield _rows(_MERGED, 1, bucket=[held[0][0]], part=[held[0][1]], grams=[pack(held[1])], counts=[pack(held[2])])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        chunk, train = b["chunk"].to_numpy(), b["train"].to_numpy(zero_copy_only=False)
-        raw = [(t.as_py() or "").encode() for t in b["text"]]
-        for c in np.unique(chunk):
-            mine = np.flatnonzero(chunk == c)
-            texts = [raw[i] for i in mine]
-            grams, counts = [], []
-            words: Counter = Counter()
-            for part in _blocks(texts):
-                code, first = strings(texts[part])
-                used = np.repeat(train[mine[part]], np.diff(np.r_[first, len(code)]))
-                u, n = np.unique(code[used], return_counts=True)
-                other = np.unique(code[~used])
-                grams += [u, other]
-                counts += [n, np.zeros(len(other), np.int64)]
-            for i in mine:
-                w = raw[i].lower().split() + [b""]
-                words.update(w) if train[i] else words.update(dict.fromkeys(w, 0))
-            u, n = _totals(np.concatenate(grams), np.concatenate(counts))
-            chunks = lambda m: pa.array(np.full(m, c, np.int32))
-            yield pa.RecordBatch.from_arrays([chunks(len(u)), pa.array(u), pa.nulls(len(u), pa.string()), pa.array(n)], names)
-            ws = [w.decode() for w in words]
-            yield pa.RecordBatch.from_arrays([chunks(len(ws)), pa.nulls(len(ws), pa.int64()), pa.array(ws, pa.string()), pa.array(list(words.values()), pa.int64())], names)
-
-
-def _suffix(j: int) -> Column:
-    return F.col("gram") % F.lit(SYMBOLS ** (j + 1))
-
-
-def log_probabilities(grams: DataFrame) -> DataFrame:
-    """grams: (gram, n), n its count in training. gram and lp: log10 of its last symbol's probability after the others."""
-    own = cut(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    seen = own.filter("n > 0")
-    counts = [cut(seen.groupBy(_suffix(j).alias("key")).agg(F.sum("n").alias("c")), f"counts-{j}") for j in range(ORDER + 1)]
-    nodes = []
-    for j, table_j in enumerate(counts):
-        context = F.expr(f"key div {SYMBOLS}").alias("context")
-        if j == 0:
-            node = table_j.groupBy(context).agg(F.sum("c").alias("t"), F.count("*").alias("d"))
-            node = node.select("context", "t", "d", F.lit(0).cast("long").alias("x"))
-        else:  # x: what the next shorter context holds of the symbols seen here
-            lower = counts[j - 1].select(F.col("key").alias("low"), F.col("c").alias("low_c"))
-            with_low = table_j.withColumn("low", F.col("key") % F.lit(SYMBOLS**j)).join(lower, "low")
-            node = with_low.groupBy(context).agg(F.sum("c").alias("t"), F.count("*").alias("d"), F.sum("low_c").alias("x"))
-        nodes.append(cut(node, f"nodes-{j}"))
-    rows = own.select("gram")
-    for j in range(ORDER + 1):  # orders 0 and 1 have at most 257 and 66,049 rows
-        small = F.broadcast if j < 2 else lambda df: df
-        rows = rows.withColumn("k", _suffix(j)).join(small(counts[j].select(F.col("key").alias("k"), F.col("c").alias(f"c{j}"))), "k", "left").drop("k")
-        rows = rows.withColumn("k", F.expr(f"gram % {SYMBOLS ** (j + 1)} div {SYMBOLS}")).join(small(nodes[j].select(F.col("context").alias("k"), *[F.col(c).alias(f"{c}{j}") for c in "tdx"])), "k", "left").drop("k")
-    lp = -F.log10(SYMBOLS - F.coalesce("d0", F.lit(0)))
-    lp = F.when(F.coalesce("d0", F.lit(0)) >= SYMBOLS, F.lit(0.0)).otherwise(lp)
-    for j in range(ORDER + 1):
-        out_t, out_d = (F.coalesce(f"x{j + 1}", F.lit(0)), F.coalesce(f"d{j + 1}", F.lit(0))) if j < ORDER else (F.lit(0), F.lit(0))
-        t, d, c = F.col(f"t{j}") - out_t, F.col(f"d{j}") - out_d, F.col(f"c{j}")
-        lp = F.when(c.isNotNull(), F.log10(c / (t + d))).when(F.col(f"t{j}").isNull() | (d <= 0), lp).otherwise(F.log10(d / (t + d)) + lp)
-    return rows.select("gram", lp.alias("lp"))
+        for grams, counts in zip(b["grams"], b["counts"]):
+            key, n = totals(unpack(grams.as_py()) % SYMBOLS**2, unpack(counts.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+
+def log_probabilities(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each string's last symbol after the others.
+
+    grams: the sorted strings of a bucket, counts: how often training holds them; pairs: counts of all two-symbol strings.
+    """
+    keys, count = {ORDER: grams[counts > 0]}, {ORDER: counts[counts > 0]}
+    for j in range(ORDER - 1, 1, -1):
+        keys[j], count[j] = totals(keys[j + 1] % SYMBOLS ** (j + 1), count[j + 1])
+    singles, flat = pairs.sum(0), pairs.ravel()
+
+    def at(known: np.ndarray, values: np.ndarray, key: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros(len(key), np.int64)
+        place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        return np.where(known[place] == key, values[place], 0)
+
+    def counted(j: int, key: np.ndarray) -> np.ndarray:
+        return singles[key] if j == 0 else flat[key] if j == 1 else at(keys[j], count[j], key)
+
+    def node(j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each string, of its context of j symbols: all counts, distinct symbols, and what the shorter context holds of those symbols."""
+        context = grams % SYMBOLS ** (j + 1) // SYMBOLS
+        if j < 2:
+            rows = singles[None] if j == 0 else pairs
+            lower = np.zeros(len(rows), np.int64) if j == 0 else (rows > 0) @ singles
+            return rows.sum(1)[context], (rows > 0).sum(1)[context], lower[context]
+        of = keys[j] // SYMBOLS
+        return tuple(at(*totals(of, x), context) for x in (count[j], np.ones(len(of), np.int64), counted(j - 1, keys[j] % SYMBOLS**j)))
+
+    distinct = int((singles > 0).sum())
+    lp = np.full(len(grams), -math.log10(SYMBOLS - distinct) if distinct < SYMBOLS else 0.0)
+    nodes = [node(j) for j in range(ORDER + 1)]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for j, (t, d, _) in enumerate(nodes):
+            c = counted(j, grams % SYMBOLS ** (j + 1))
+            out_d, out_t = nodes[j + 1][1:] if j < ORDER else (0, 0)
+            left, kinds = t - out_t, d - out_d
+            lp = np.where(c > 0, np.log10(c / (left + kinds)), np.where((t == 0) | (kinds <= 0), lp, np.log10(kinds / (left + kinds)) + lp))
+    return lp
+
+
+def _answer(pairs):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (bucket, part, kind): a bucket's counts, then what chunks ask."""
+        key, known, lp = None, None, None
+        for own, b in runs(batches, "bucket", "part"):
+            chunks, asked, at = b["chunk"].to_pylist(), b["grams"], 0
+            if own != key:
+                key, known, at = own, unpack(asked[0].as_py()), 1
+                lp = log_probabilities(known, unpack(b["counts"][0].as_py()), pairs.value)
+            for i in range(at, len(chunks), 256):
+                grams = asked[i : i + 256].to_pylist()
+                lps = [lp[np.searchsorted(known, unpack(g))].tobytes() for g in grams]
+                yield pa.RecordBatch.from_arrays([pa.array(chunks[i : i + 256], pa.int64()), pa.array(grams, pa.binary()), pa.array(lps, pa.binary())], ["chunk", "grams", "lps"])
+
+    return run
+
+
+_SCORED = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _score(scale: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (chunk, kind): strings with log probabilities, words with counts, then the texts."""
+        own, grams, lps, known, index = None, [], [], {}, None
+        for (chunk, kind), b in runs(batches, "chunk", "kind"):
+            if chunk != own:
+                own, grams, lps, known, index = chunk, [], [], {}, None
+            if kind == STRINGS:
+                grams += map(unpack, b["grams"].to_pylist())
+                lps += [np.frombuffer(x, np.float64) for x in b["lps"].to_pylist()]
+            elif kind == WORDS:
+                known.update((w.encode(), (math.log10((c + 1) / scale), c > 0)) for w, c in zip(b["word"].to_pylist(), b["n"].to_pylist()))
+            else:
+                if index is None:
+                    index, lp, grams, lps = pd.Index(np.concatenate(grams)), np.concatenate(lps), [], []
+                for ids, train, sizes, data in zip(*(b[c].to_pylist() for c in ("ids", "train", "sizes", "data"))):
+                    ends, whole = np.cumsum(sizes).tolist(), zstandard.decompress(data)
+                    raw = [whole[e - n : e] for e, n in zip(ends, sizes)]
+                    total, facts = np.zeros(len(raw)), []
+                    for code, owner, first in coded(raw):
+                        np.add.at(total, owner, np.add.reduceat(lp[index.get_indexer(code)], first))
+                    for r in raw:
+                        found = [known[x] for x in r.lower().split()] + [known[b""]]
+                        facts.append((len(found), sum(k for _, k in found), math.fsum(p for p, _ in found)))
+                    n_tokens, n_known, base = zip(*facts)
+                    yield _rows(_SCORED, len(raw), doc_id=ids, train=train, n_tokens=n_tokens, n_known=n_known, base_score=base, score=total)
+
+    return run
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark = docs.sparkSession
+    n = tasks(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (fold(F.col("doc_id"), FOLDS) != HELD_OUT).alias("train"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = pieces(total, CHUNK_BYTES, 2 * spark.sparkContext.defaultParallelism)  # small chunks repeat their strings
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int"))
-    found = cut(rows.repartition(n, "chunk").mapInArrow(_gather, "chunk int, gram long, word string, n long"), "strings")
-    grams, words = found.filter("gram is not null").select("chunk", "gram", "n"), found.filter("word is not null").select("chunk", "word", "n")
-    counted = words.groupBy("word").agg(F.sum("n").alias("c"))
-    counted = cut(counted, "words")
+    found = cut(rows.mapInArrow(_gather, CHUNKS), "chunks")
+    parts = pieces(found.filter(F.col("kind") == TEXTS).count(), PART_CHUNKS)
+    strings = found.filter(F.col("kind") == STRINGS).select("bucket", F.pmod(F.xxhash64("chunk"), F.lit(parts)).alias("part"), "chunk", "grams", "counts")
+    merge = lambda df: df.select(*_MERGED.names).repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_merge, "bucket int, part long, grams binary, counts binary")
+    merged = merge(strings)
+    if parts > 1:  # what the parts have merged is merged again, by bucket
+        merged = merge(merged.withColumn("part", F.lit(0).cast("long")))
+    merged = cut(merged, "counts")
+    pairs = np.zeros(SYMBOLS**2, np.int64)
+    for key, count in merged.mapInArrow(_pairs, "key long, n long").groupBy("key").agg(F.sum("n")).collect():  # SYMBOLS^2 rows at most
+        pairs[key] = count
+    shared = spark.sparkContext.broadcast(pairs.reshape(SYMBOLS, SYMBOLS))
+    model = merged.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("chunk"), "grams", "counts")
+    asked = model.unionByName(strings.select("bucket", "part", F.lit(1).alias("kind"), "chunk", "grams", F.lit(None).cast("binary").alias("counts")))
+    answers = asked.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", "kind").mapInArrow(_answer(shared), "chunk long, grams binary, lps binary")
+    words = found.filter(F.col("kind") == WORDS).select("chunk", "word", "n")
+    counted = cut(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
     facts = counted.filter("c > 0").agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     tokens, kinds = facts["n"] or 0, facts["v"]
-    lps = log_probabilities(grams)
-    base = F.log10((F.col("c") + 1) / F.lit(tokens + (kinds + 1)).cast("double"))
-    model = words.join(counted, "word").select("chunk", F.lit(None).cast("long").alias("gram"), "word", base.alias("lp"), (F.col("c") > 0).alias("known"))
-    model = model.unionAll(grams.join(lps, "gram").select("chunk", "gram", F.lit(None).cast("string").alias("word"), "lp", F.lit(True).alias("known")))
-
-    def run(texts: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        is_word = model["gram"].isna().to_numpy()
-        w = model[is_word]
-        known = dict(zip(w["word"].str.encode("utf-8"), zip(w["lp"], w["known"])))
-        g = model[~is_word].drop_duplicates("gram")  # a chunk that fills several batches gives a string once a batch
-        keys, lp = pd.Index(g["gram"].to_numpy(np.int64)), g["lp"].to_numpy()
-        raw = [t.encode() for t in texts["text"]]
-        scores = []
-        for part in _blocks(raw):
-            code, first = strings(raw[part])
-            scores.append(np.add.reduceat(lp[keys.get_indexer(code)], first))
-        facts = []
-        for r in raw:
-            found = [known[x] for x in r.lower().split() + [b""]]
-            facts.append((len(found), sum(k for _, k in found), math.fsum(p for p, _ in found)))
-        n_tokens, n_known, base = zip(*facts) if facts else ([], [], [])
-        return pd.DataFrame({"doc_id": texts["doc_id"], "train": texts["train"], "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": np.concatenate(scores) if scores else []})
-
-    grouped = rows.groupBy("chunk").cogroup(model.groupBy("chunk"))
-    out = grouped.applyInPandas(run, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    met = answers.withColumn("kind", F.lit(STRINGS)).unionByName(words.join(counted, "word").select("chunk", F.lit(WORDS).alias("kind"), "word", F.col("c").alias("n")), True)
+    met = met.unionByName(found.filter(F.col("kind") == TEXTS).select("chunk", "kind", "ids", "train", "sizes", "data"), True)
+    out = met.repartition(n, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_score(float(tokens + kinds + 1)), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

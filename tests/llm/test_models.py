@@ -3,13 +3,14 @@
 import math
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import tiktoken
 from conftest import fold_of
 
 from loglake.llm import neighbours, ppm, tokens
-from loglake.llm.common import table
+from loglake.llm.common import UPPER, table
 
 
 def test_edited_counts_equal_counts_of_the_edited_text(spark, small):
@@ -114,3 +115,36 @@ def test_nearest_keeps_ties_and_copies():
         best = others[np.lexsort((ids[others], -sims[others]))[:k]]
         assert near[query == j].tolist() == ids[best].tolist()
         assert score[query == j].tolist() == sims[best].tolist()
+
+
+def test_scores_of_edge_tables(spark, monkeypatch):
+    """No rows; no training document; a text of many blocks and a chunk of many parts; nulls and repeated rows; clashing columns."""
+    schema = "doc_id long, text string, train int, kind string, chunk string"
+    assert ppm.score(spark.createDataFrame([], schema)).count() == 0
+    held = [i for i in range(60) if fold_of(i, ppm.FOLDS) == ppm.HELD_OUT]
+    for r in ppm.score(spark.createDataFrame([(i, "ab c" * i, 1, "x", "y") for i in held], schema)).collect():
+        n = len("ab c" * r["doc_id"]) + 1
+        assert r["held_out"] and r["n_known"] == r["train_tokens"] == 0 and abs(r["score"] + n * math.log10(ppm.SYMBOLS)) < 1e-9 * n
+        assert r["n_tokens"] == len(("ab c" * r["doc_id"]).split()) + 1 and r["base_score"] == 0.0
+    monkeypatch.setattr(ppm, "BLOCK", 7)
+    monkeypatch.setattr(ppm, "CHUNK_BYTES", 40)
+    monkeypatch.setattr(ppm, "PART_CHUNKS", 2)
+    texts = ["the cat sat on the mat é " * 30, "a cat", None, "", "the mat", "x" * 100]
+    rows = [(i, t, 1, "x", "y") for i, t in enumerate(texts)] + [(None, "no id", 1, "x", "y")] * 2 + [(1, "a cat", 1, "x", "y")]
+    train = [(t or "").encode() for i, t, *_ in rows if fold_of(i, ppm.FOLDS) != ppm.HELD_OUT]
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, round(r["score"], 6)) for r in ppm.score(spark.createDataFrame(rows, schema).repartition(3)).collect())
+    assert got == sorted((i is None, i or 0, round(plain_ppm(train, (t or "").encode()), 6)) for i, t, *_ in rows)
+
+
+def test_counts_and_base_scores_equal_sql(spark, small):
+    want = duckdb.sql(rf"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') || [''] AS w FROM '{small}/documents.parquet'),
+        t AS (SELECT doc_id, unnest(w) AS w FROM d),
+        ids AS (SELECT unnest({[i for i in range(400) if fold_of(i, ppm.FOLDS) != ppm.HELD_OUT]}) AS doc_id),
+        c AS (SELECT w, count(*) AS c FROM t SEMI JOIN ids USING (doc_id) GROUP BY 1),
+        f AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+        SELECT doc_id, count(*) AS n_tokens, count(c) AS n_known, any_value(n)::BIGINT AS train_tokens, sum(log10((coalesce(c, 0) + 1) / (n + (v + 1))::DOUBLE)) AS base
+        FROM t LEFT JOIN c USING (w), f GROUP BY doc_id""").fetchall()
+    got = ppm.op7_ppm(spark, small).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score").collect()
+    assert max(r["doc_id"] for r in got) < 400
+    assert [(*r[:4], round(r[4], 6)) for r in sorted(map(tuple, got))] == [(*r[:4], round(r[4], 6)) for r in sorted(want)]
