@@ -3,32 +3,38 @@
 The neighbour graph of a bounded sample is cut into balanced parts by repeated bisection; a small classifier learns each
 vector's part. It files every row, and sends each query to the several parts that it finds most probable, whose rows
 are ranked exactly. The number of parts probed is the least with which the sample's own queries find their neighbours.
+There are LEAST_PARTS parts at least, and more as the rows grow; beyond MOST_PARTS of them each part is cut again, by a
+classifier of its own that a sample of its rows teaches. Rows of a part meet its queries in slices and blocks of bounded
+size.
 
 Defined cases: vectors that are null, zero, hold a null or non-finite component, or have another dimension than most
-take no part, nor do rows with a null vec_id; repeated rows are candidates each, but ask once; an id with several
-different vectors asks with each of them, and a candidate row then counts once, with its best score; other columns are
-ignored.
+take no part, nor do rows with a null vec_id; an empty table gives no rows; with fewer than k candidates a query gets
+them all; repeated rows are candidates each, but ask once; an id with several different vectors asks with each of them,
+and a candidate row then counts once, with its best score; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loglake.llm.common import cut, table, tasks
+from loglake.llm.common import cut, runs, table, tasks
 
 K = 20
 QUERIES = 20  # ids that it divides are queries
-SAMPLE = 4096  # vectors that the partition is learned on, at most
-PART_ROWS, MOST_PARTS = 4000, 256
+SAMPLE = 4096  # vectors that a partition is learned on, at most
+LEAST_PARTS, MOST_PARTS = 16, 256
+PART_ROWS = 4000
 GRAPH_NEIGHBOURS = 10
 SAMPLE_RECALL = 0.98
-SLICES = 8  # a block of queries meets the rows in so many tasks
-QUERY_BLOCK = 16_384
+SLICE_ROWS, QUERY_BLOCK = 32_768, 16_384  # rows of a part, and its queries, that meet in one task
 
 
 def graph_parts(x: np.ndarray, parts: int) -> np.ndarray:
@@ -58,13 +64,11 @@ def graph_parts(x: np.ndarray, parts: int) -> np.ndarray:
     return part
 
 
-def fit(x: np.ndarray, parts: int, k: int = K) -> dict:
+def fit(x: np.ndarray, parts: int, k: int = K, recall: float = SAMPLE_RECALL) -> dict:
     """A softmax classifier of the parts, and how many parts to probe."""
     n, d = x.shape
-    scale = np.sqrt((x**2).sum(1).mean()) if n else 1.0
+    scale = np.sqrt((x**2).sum(1).mean())
     w, b = np.zeros((d, parts)), np.zeros(parts)
-    if parts == 1 or n <= k:
-        return {"w": w, "b": b, "scale": scale, "probes": parts}
     part = graph_parts(x, parts)
     hot, xs = np.eye(parts)[part], x / scale
     m, s = [np.zeros_like(w), np.zeros_like(b)], [np.zeros_like(w), np.zeros_like(b)]
@@ -77,16 +81,23 @@ def fit(x: np.ndarray, parts: int, k: int = K) -> dict:
             (w, b)[i][...] -= 0.1 * (m[i] / (1 - 0.9**t)) / (np.sqrt(s[i] / (1 - 0.99**t)) + 1e-9)
     z = xs @ w + b
     home, order = z.argmax(1), np.argsort(-z, axis=1)
+    if n <= k:
+        return {"w": w, "b": b, "scale": scale, "probes": parts}
     q = np.arange(min(n, 512))
     sims = x[q] @ x.T
     sims[q, q] = -np.inf
     best = np.argpartition(-sims, k, axis=1)[:, :k]
     rank = np.argsort(order[q], axis=1)  # rank[i, p]: when query i probes part p
     when = np.take_along_axis(rank, home[best], axis=1)
-    probes = next(m for m in range(1, parts + 1) if (when < m).mean() >= SAMPLE_RECALL or m == parts)
+    probes = next(m for m in range(1, parts + 1) if (when < m).mean() >= recall or m == parts)
     return {"w": w, "b": b, "scale": scale, "probes": min(parts, probes + 1)}
 
 
+def route(model: dict, x: np.ndarray) -> np.ndarray:
+    """For each row the parts that it most probably belongs to, best first, as many as are probed."""
+    return np.argsort(-(x / model["scale"] @ model["w"] + model["b"]), axis=1, kind="stable")[:, : model["probes"]]
+
+
 def _valid(vectors: DataFrame) -> DataFrame:
     e = F.transform("embedding", lambda v: v.cast("double"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("v")).filter("vec_id is not null and v is not null")
@@ -97,11 +108,11 @@ def _valid(vectors: DataFrame) -> DataFrame:
 class Nearest:
     """The best ``k`` rows met so far by each query of a block."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, parts: np.ndarray, k: int) -> None:
-        self.ids, self.q, self.parts, self.k = ids, q, parts, k
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int) -> None:
+        self.ids, self.q, self.k = ids, q, k
         self.low = np.full(len(ids), -np.inf)  # a row under it is not among the best
         self.best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))  # place of the query, vec_id, score
-        self.kinds = np.empty(0, np.int64)  # of each of the best, a hash of its vector
+        self.rows = np.empty(0, np.int64)  # of each of the best, the number of its row
 
     def _without_idle_copies(self, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Rows that can be among a query's best: of equal vectors, those of the k + 1 smallest ids, k rows of an id (one may be the query's)."""
@@ -116,14 +127,13 @@ class Nearest:
         rank = new_ids - np.maximum.accumulate(np.where(same, 0, new_ids))
         return order[(of_id < self.k) & (rank <= self.k)]
 
-    def meet(self, part: int, ids: np.ndarray, x: np.ndarray, kinds: np.ndarray | None = None) -> None:
-        """Rank rows of one part for the queries that probe it."""
-        kinds = np.zeros(len(ids), np.int64) if kinds is None else kinds
+    def meet(self, ids: np.ndarray, x: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Rank rows for the queries."""
+        rows = np.zeros(len(ids), np.int64) if rows is None else rows
         live = self._without_idle_copies(ids, x)
-        ids, x, kinds, found = ids[live], x[live], kinds[live], [(*self.best, self.kinds)]
-        asking = np.flatnonzero((self.parts == part).any(1))
-        for i in range(0, len(asking), 256):
-            own = asking[i : i + 256]
+        ids, x, rows, found = ids[live], x[live], rows[live], [(*self.best, self.rows)]
+        for i in range(0, len(self.ids), 256):
+            own = np.arange(i, min(i + 256, len(self.ids)))
             sims = self.q[own] @ x.T
             sims[self.ids[own, None] == ids[None, :]] = -np.inf
             if len(ids) >= self.k:
@@ -131,14 +141,14 @@ class Nearest:
                 self.low[own] = np.maximum(self.low[own], self._slack(kth))
             a, c = np.nonzero((sims >= self.low[own, None]) & (sims > -np.inf))
             exact = (x[c] * self.q[own[a]]).sum(1)  # the same sum for equal vectors wherever they lie
-            found.append((own[a], ids[c], exact, kinds[c]))
-        query, near, score, kinds = map(np.concatenate, zip(*found))
+            found.append((own[a], ids[c], exact, rows[c]))
+        query, near, score, rows = map(np.concatenate, zip(*found))
         order = np.lexsort((near, -score, query))
-        query, near, score, kinds = query[order], near[order], score[order], kinds[order]
+        query, near, score, rows = query[order], near[order], score[order], rows[order]
         rank = np.arange(len(query)) - np.searchsorted(query, query, side="left")
         last, top = rank == self.k - 1, rank < self.k
         self.low[query[last]] = np.maximum(self.low[query[last]], self._slack(score[last]))
-        self.best, self.kinds = (query[top], near[top], score[top]), kinds[top]
+        self.best, self.rows = (query[top], near[top], score[top]), rows[top]
 
     @staticmethod
     def _slack(score: np.ndarray) -> np.ndarray:
@@ -146,79 +156,116 @@ class Nearest:
         return score - 1e-9 * (1 + np.abs(score))
 
     def found(self) -> pa.RecordBatch:
-        """Of equal rows (one id, one vector) the copies are numbered."""
         query, near, score = self.best
-        order = np.lexsort((self.kinds, near, query))
-        rows = np.c_[query, near, self.kinds][order]
-        at = np.arange(len(rows))
-        copy = np.empty(len(rows), np.int64)
-        copy[order] = at - np.maximum.accumulate(np.where(np.r_[True, (rows[1:] != rows[:-1]).any(1)][: len(rows)], at, 0))
-        columns = [pa.array(c, pa.int64()) for c in (self.ids[query], near, self.kinds, copy)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(score, pa.float64())], ["query_id", "vec_id", "kind", "copy", "score"])
+        columns = [pa.array(c, pa.int64()) for c in (self.ids[query], near, self.rows)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(score, pa.float64())], ["query_id", "vec_id", "row", "score"])
+
+
+def vectors_of(b: pa.RecordBatch, d: int) -> np.ndarray:
+    return b["v"].flatten().to_numpy().reshape(-1, d)
+
+
+def _learn(rows: DataFrame, n: int, sample: int) -> np.ndarray:
+    """At most ``sample`` different vectors, chosen by their hash."""
+    some = rows.filter(F.pmod(F.xxhash64("v"), F.lit(max(1, n // (8 * sample)))) == 0).select("v").dropDuplicates(["v"])
+    learned = some.orderBy(F.xxhash64("v"), "v").limit(sample).collect() or rows.limit(1).collect()
+    return np.array([r["v"] for r in learned], float)
 
 
-def search(vectors: DataFrame, k: int = K, every: int = QUERIES, sample: int = SAMPLE) -> DataFrame:
+def _cut_again(home: DataFrame, asks: DataFrame, n: int, parts: int, inner: int, sample: int, k: int, recall: float, d: int) -> tuple[DataFrame, DataFrame]:
+    """Every part in ``inner`` parts, by a classifier of its own: the same tables, with finer parts."""
+    h = F.pmod(F.xxhash64("v"), F.lit(1 << 30))
+    some = home.filter(h < int((1 << 30) * min(1.0, 4 * sample * parts / n)))
+    order = Window.partitionBy("part").orderBy(F.xxhash64("v"), "v")
+    some = some.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= sample)
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.unique(np.array(rows["v"].tolist(), float), axis=0)
+        return pd.DataFrame({"part": rows["part"][:1], "model": [pickle.dumps(fit(x, inner, k, recall))]})
+
+    models = cut(some.select("part", "v").groupBy("part").applyInPandas(learn, "part int, model binary"), "models")
+    share = lambda kind, df: df.select("part", F.pmod(F.xxhash64("row"), F.lit(inner)).alias("share"), F.lit(kind).alias("kind"), "vec_id", "v", "row", F.lit(None).cast("binary").alias("model"))
+    first = models.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(inner - 1).cast("long"))).alias("share"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("v"), F.lit(None).cast("long").alias("row"), "model")
+    met = first.unionAll(share(1, home)).unionAll(share(2, asks)).repartition(tasks(home.sparkSession), "part", "share").sortWithinPartitions("part", "share", "kind")
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = whole = {"w": np.zeros((d, inner)), "b": np.zeros(inner), "scale": 1.0, "probes": inner}
+        at = None
+        for (part, share, kind), b in runs(batches, "part", "share", "kind"):
+            if (part, share) != at:
+                at, model = (part, share), whole  # a part without a sample is one part inside
+            if kind == 0:
+                model = pickle.loads(b["model"][0].as_py())
+                continue
+            to = route(model, vectors_of(b, d))
+            to = to[:, :1] if kind == 1 else to
+            rows = pa.array(np.repeat(np.arange(b.num_rows), to.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array((part * inner + to).ravel(), pa.int32()), *[b[c].take(rows) for c in ("kind", "vec_id", "v", "row")]], ["part", "kind", "vec_id", "v", "row"])
+
+    finer = cut(met.mapInArrow(refine, "part int, kind int, vec_id long, v array<double>, row long"), "finer")
+    return finer.filter("kind = 1").drop("kind"), finer.filter("kind = 2").drop("kind")
+
+
+def search(vectors: DataFrame, k: int = K, every: int = QUERIES, sample: int = SAMPLE, recall: float = SAMPLE_RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product found for each row whose id ``every`` divides."""
+    spark = vectors.sparkSession
     rows = _valid(vectors)
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
     if sizes is None:
-        return vectors.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d, n = sizes["d"], sizes["count"]
     rows = rows.filter(F.size("v") == d)
-    parts = 1 << min(MOST_PARTS.bit_length() - 1, max(0, (n // PART_ROWS).bit_length()))
-    learned = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
-    model = fit(np.array(learned["v"].tolist(), float).reshape(-1, d), parts, k)
-    shared = vectors.sparkSession.sparkContext.broadcast(model)  # d * MOST_PARTS numbers at most
+    wanted = max(LEAST_PARTS, 1 << (n // PART_ROWS).bit_length())
+    parts = min(MOST_PARTS, wanted)
+    shared = spark.sparkContext.broadcast(fit(_learn(rows, n, sample), parts, k, recall))  # d * MOST_PARTS numbers at most
 
-    def file(batches):
-        m = shared.value
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = TaskContext.get().partitionId() << 32
         for b in batches:
-            x = np.array(b["v"].tolist(), float).reshape(-1, d)
-            order = np.argsort(-(x / m["scale"] @ m["w"] + m["b"]), axis=1, kind="stable")[:, : m["probes"]]
-            yield b.assign(parts=list(order.astype(np.int32)))
-
-    filed = cut(rows.mapInPandas(file, "vec_id long, v array<double>, parts array<int>"), "filed")
-    asks = filed.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).withColumn("home", F.get("parts", F.lit(0)))
-    asks = cut(asks, "asking")  # it is read twice, and the two must agree on the parts of repeated rows
-    # queries of neighbouring parts share a block; one row for each part, MOST_PARTS at most, comes to the driver
-    before, starts = 0, []
-    for r in asks.groupBy("home").count().orderBy("home").collect():
-        starts.append((r["home"], before, r["count"]))
-        before += r["count"]
-    starts = vectors.sparkSession.createDataFrame(starts, "home int, before long, own long")
-    asks = asks.join(F.broadcast(starts), "home")
-    place = F.col("before") + F.pmod(F.xxhash64("vec_id"), "own")
-    asks = cut(asks.select("vec_id", "v", "parts", F.floor(place / QUERY_BLOCK).alias("block")), "asks")
-    # each block meets every slice of the rows; of a slice it gets the parts that its queries probe
-    probed = asks.select(F.explode("parts").alias("part"), "block").groupBy("part").agg(F.collect_set("block").alias("blocks"))
-    home = filed.select("vec_id", "v", F.get("parts", F.lit(0)).alias("part")).join(F.broadcast(probed), "part")
-    home = home.select(F.explode("blocks").alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(SLICES)).alias("slice"), "part", "vec_id", "v", F.xxhash64("v").alias("kind"), F.lit(None).cast("array<int>").alias("parts"))
-    queries = asks.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long"))).alias("slice"), F.lit(-1).alias("part"), "vec_id", "v", F.lit(0).cast("long").alias("kind"), "parts")
-    met = queries.unionByName(home).repartition(tasks(vectors.sparkSession), "block", "slice").sortWithinPartitions("block", "slice", "part")
+            if not b.num_rows:
+                continue
+            to, ids = route(shared.value, vectors_of(b, d)), b["vec_id"].to_numpy()
+            probes = np.where(ids % every == 0, to.shape[1], 1)  # only queries are sent to more than the first
+            chosen = pa.array(to[np.arange(to.shape[1]) < probes[:, None]], pa.int32())
+            row = np.arange(count, count + len(ids))
+            count += len(ids)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(probes)], pa.int32()), chosen)
+            yield pa.RecordBatch.from_arrays([b["vec_id"], b["v"], lists, pa.array(row)], ["vec_id", "v", "parts", "row"])
+
+    filed = cut(rows.mapInArrow(file, "vec_id long, v array<double>, parts array<int>, row long"), "filed")
+    home = filed.select(F.get("parts", F.lit(0)).alias("part"), "vec_id", "v", "row")
+    asks = cut(filed.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]), "asking")  # it is read twice, and the two must agree on the parts of repeated rows
+    asks = asks.select(F.explode("parts").alias("part"), "vec_id", "v", "row")
+    if wanted > MOST_PARTS:
+        home, asks = _cut_again(home, asks, n, parts, min(MOST_PARTS, wanted // MOST_PARTS), sample // 4, k, recall, d)
+    # rows of a part meet its queries in slices and blocks; the facts have a row for each part, MOST_PARTS^2 at most
+    counts = lambda df, most, name: df.groupBy("part").agg(F.ceil(F.count("*") / most).alias(name))
+    facts = F.broadcast(cut(counts(home, SLICE_ROWS, "slices").join(counts(asks, QUERY_BLOCK, "blocks"), "part"), "facts"))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    base = home.join(facts, "part").select("part", F.pmod(F.xxhash64("row"), "slices").alias("slice"), each("blocks").alias("block"), F.lit(1).alias("kind"), "vec_id", "v", "row")
+    queries = asks.join(facts, "part").select("part", each("slices").alias("slice"), F.pmod(F.xxhash64("row"), "blocks").alias("block"), F.lit(0).alias("kind"), "vec_id", "v", "row")
+    keys = ["part", "slice", "block"]
+    met = queries.unionByName(base).repartition(tasks(spark), *keys).sortWithinPartitions(*keys, "kind")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, asked, nearest = None, [], None
-        for b in batches:
-            block, piece, part, kinds = (b[c].to_numpy() for c in ("block", "slice", "part", "kind"))
-            ids, x = b["vec_id"].to_numpy(), b["v"].flatten().to_numpy().reshape(-1, d)
-            changes = np.flatnonzero((np.diff(block) != 0) | (np.diff(piece) != 0) | (np.diff(part) != 0)) + 1
-            for first, last in zip(np.r_[0, changes], np.r_[changes, len(ids)]):
-                if (block[first], piece[first]) != unit:
-                    if nearest:
-                        yield nearest.found()
-                    unit, asked, nearest = (block[first], piece[first]), [], None
-                if part[first] < 0:
-                    asked.append((ids[first:last], x[first:last], np.array(b["parts"].slice(first, last - first).to_pylist())))
-                elif asked:
-                    nearest = nearest or Nearest(*map(np.concatenate, zip(*asked)), k)
-                    nearest.meet(part[first], ids[first:last], x[first:last], kinds[first:last])
+        for (*key, kind), b in runs(batches, *keys, "kind"):
+            if key != unit:
+                if nearest:
+                    yield nearest.found()
+                unit, asked, nearest = key, [], None
+            ids, x = b["vec_id"].to_numpy(), vectors_of(b, d)
+            if kind == 0:
+                asked.append((ids, x))
+            elif asked:
+                nearest = nearest or Nearest(*map(np.concatenate, zip(*asked)), k)
+                nearest.meet(ids, x, b["row"].to_numpy())
         if nearest:
             yield nearest.found()
 
-    found = met.mapInArrow(rank, "query_id long, vec_id long, kind long, copy long, score double").repartition(tasks(vectors.sparkSession), "query_id")
+    found = met.mapInArrow(rank, "query_id long, vec_id long, row long, score double").repartition(tasks(spark), "query_id")
     # several vectors of one id can find the same row: it keeps its best score
-    found = found.groupBy("query_id", "vec_id", "kind", "copy").agg(F.max("score").alias("score"))
+    found = found.groupBy("query_id", "vec_id", "row").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

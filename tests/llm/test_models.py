@@ -32,10 +32,13 @@ def test_edited_counts_equal_counts_of_the_edited_text(spark, small):
     assert sorted(got) == sorted(want)
 
 
-@pytest.mark.parametrize("part_rows", [neighbours.PART_ROWS, 100])  # one part at this size, and 32 parts that queries are routed to
-def test_recall_of_neighbours(spark, monkeypatch, part_rows):
-    monkeypatch.setattr(neighbours, "PART_ROWS", part_rows)
-    sf = "/root/testdata/sf0.1"
+# the parts of this size; more of them; parts that are cut again; 500 vectors
+@pytest.mark.parametrize("sf, part_rows, most", [("sf0.1", neighbours.PART_ROWS, neighbours.MOST_PARTS), ("sf0.1", 50, 256), ("sf0.1", 100, 4), ("sf0.01", neighbours.PART_ROWS, neighbours.MOST_PARTS)])
+def test_recall_of_neighbours(spark, monkeypatch, sf, part_rows, most):
+    for name, value in (("PART_ROWS", part_rows), ("MOST_PARTS", most), ("LEAST_PARTS", min(most, neighbours.LEAST_PARTS))):
+        monkeypatch.setattr(neighbours, name, value)
+    sf, fitted, fit = f"/root/testdata/{sf}", [], neighbours.fit
+    monkeypatch.setattr(neighbours, "fit", lambda x, parts, *a: fitted.append(parts) or fit(x, parts, *a))
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding").filter("embedding is not null").toPandas()
     x, ids = np.array(rows["embedding"].tolist(), float), rows["vec_id"].to_numpy()
     got = {}
@@ -50,7 +53,19 @@ def test_recall_of_neighbours(spark, monkeypatch, part_rows):
         assert sorted(r for r, _, _ in near) == list(range(1, neighbours.K + 1))
         assert all(abs(sims[at[v]] - s) < 1e-9 for _, v, s in near)
         found += len(best & {v for _, v, _ in near})
-    assert found / (len(got) * neighbours.K) >= 0.9
+    assert found / (len(got) * neighbours.K) >= 0.9 and fitted[0] == (most if most < 16 else max(16, 1 << (len(ids) // part_rows).bit_length()))
+
+
+def test_routing_probes_few_parts_of_clustered_vectors():
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(64, 16))[rng.integers(0, 64, 4000)] * 4 + rng.normal(size=(4000, 16))).astype(float)
+    model = neighbours.fit(x[:2000], 16)
+    to, home = neighbours.route(model, x), neighbours.route(model | {"probes": 1}, x)[:, 0]
+    assert model["probes"] <= 8 and np.bincount(home, minlength=16).max() < 4000 / 4
+    sims = x[2000:2100] @ x.T
+    sims[np.arange(100), np.arange(2000, 2100)] = -np.inf
+    best = np.argpartition(-sims, 20, axis=1)[:, :20]
+    assert np.mean([np.isin(home[b], t).mean() for b, t in zip(best, to[2000:2100])]) >= 0.9
 
 
 def plain_ppm(train, text):
@@ -106,9 +121,9 @@ def test_nearest_keeps_ties_and_copies():
     x = rng.integers(-2, 3, (300, 4)).astype(float)
     ids = rng.permutation(np.r_[np.arange(280), rng.integers(0, 280, 20)])
     asks = np.flatnonzero(ids % 7 == 0)
-    met = neighbours.Nearest(ids[asks], x[asks], np.tile([0, 1], (len(asks), 1)), k)
-    for n, i in enumerate(range(0, 300, 70)):
-        met.meet(n % 2, ids[i : i + 70], x[i : i + 70])
+    met = neighbours.Nearest(ids[asks], x[asks], k)
+    for i in range(0, 300, 70):
+        met.meet(ids[i : i + 70], x[i : i + 70])
     query, near, score = met.best
     for j, i in enumerate(asks):
         sims, others = (x * x[i]).sum(1), np.flatnonzero(ids != ids[i])
