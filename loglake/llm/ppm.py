@@ -5,11 +5,11 @@ sorted tables are the context trie. The probability of a byte is taken at the lo
 longer context that has not costs an escape (method C: distinct symbols over all), and the symbols that it has seen are
 excluded below it.
 
-The texts are cut into chunks. A chunk sends its distinct strings, sorted and packed, to BUCKETS buckets; a bucket holds
-all strings with the same two symbols before the last, so every context of two symbols or more lies whole in one bucket
-(a pair of symbols has at most SYMBOLS^3 strings), and the shorter ones are a table of SYMBOLS^2 numbers that is
-broadcast. A bucket merges the counts, then answers each chunk with the log probabilities of the chunk's own strings;
-no chunk receives the whole model. Words are counted and joined as rows.
+The texts are cut into chunks. A chunk sends its distinct strings and words, sorted and packed, to buckets. A bucket of
+strings holds all that have the same two symbols before the last, so every context of two symbols or more lies whole in
+one bucket (a pair of symbols has at most SYMBOLS^3 strings), and the shorter ones are a table of SYMBOLS^2 numbers that
+is broadcast; a bucket of words holds one part in BUCKETS of the vocabulary. Buckets add up the counts, then answer each
+chunk with the log probabilities of its own strings and the counts of its own words; no chunk receives the whole model.
 
 Defined cases: a null text is empty: one end and no words; a null doc_id trains (its fold is 0); without any training
 document all counts are zero and bytes are uniform; an empty table gives no rows; a text of any length is read in pieces;
@@ -19,6 +19,7 @@ repeated rows each count and each get a row; other columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,12 +37,11 @@ FOLDS, HELD_OUT = 7, 2
 ORDER = 4  # bytes of the longest context
 SYMBOLS = 257  # bytes, and 256 for either end of a text
 END = 256
-CHUNK_BYTES = 4 << 20  # of text; a longer text is a chunk of its own
+CHUNK_BYTES = 8 << 20  # of text; a longer text is a chunk of its own
 BLOCK = 1 << 20  # symbols that are coded at a time
-BUCKETS = 512
-PART_CHUNKS = 256  # chunks that one task merges or answers, of one bucket
-CHUNKS = "chunk long, kind int, bucket int, grams binary, counts binary, word string, n long, ids array<long>, train array<boolean>, sizes array<int>, data binary"
-STRINGS, WORDS, TEXTS = 0, 1, 2  # kinds of rows, in the order in which a chunk reads them
+BUCKETS = 512  # of strings; as many of words follow them
+PART_CHUNKS = 256  # chunks whose strings or words one task adds up or answers, of one bucket
+CHUNKS = "chunk long, bucket int, keys binary, counts binary, ids array<long>, train array<boolean>, sizes array<int>, data binary"
 
 
 def coded(raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -92,6 +92,14 @@ def unpack(x: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.decompress(x), np.int64))
 
 
+def pack_words(words: list[bytes]) -> bytes:
+    return zstandard.compress(b"".join(w + b"\n" for w in words), 3)
+
+
+def unpack_words(x: bytes) -> list[bytes]:
+    return zstandard.decompress(x).split(b"\n")[:-1]
+
+
 def bucket_of(grams: np.ndarray) -> np.ndarray:
     pair = grams // SYMBOLS % SYMBOLS**2
     return (pair * 2_654_435_761 >> 8) % BUCKETS
@@ -104,13 +112,13 @@ def _rows(schema: pa.Schema, size: int, /, **columns) -> pa.RecordBatch:
 
 
 _CHUNK = pa.schema([
-    ("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("word", pa.string()), ("n", pa.int64()),
+    ("chunk", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()),
     ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("data", pa.binary()),
 ])
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each chunk: its distinct strings by bucket and its words, with how often training documents hold them, and its texts."""
+    """Of each chunk: its distinct strings and words by bucket, with how often training documents hold them; and its texts (no bucket)."""
     for number, b in enumerate(slices(batches, "text", CHUNK_BYTES)):
         chunk = TaskContext.get().partitionId() << 32 | number
         train, raw = b["train"].to_numpy(zero_copy_only=False), [t.as_py().encode() for t in b["text"]]
@@ -128,34 +136,67 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(to, kind="stable")
         own, n, to = own[order], n[order], to[order]
         starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-        cuts = list(zip(starts, np.r_[starts[1:], len(to)]))
-        ids = lambda m: np.full(m, chunk)
-        yield _rows(_CHUNK, len(cuts), chunk=ids(len(cuts)), kind=[STRINGS] * len(cuts), bucket=to[starts], grams=[pack(own[x:y]) for x, y in cuts], counts=[pack(n[x:y]) for x, y in cuts])
-        yield _rows(_CHUNK, len(words), chunk=ids(len(words)), kind=[WORDS] * len(words), word=[w.decode() for w in words], n=list(words.values()))
-        yield _rows(_CHUNK, 1, chunk=[chunk], kind=[TEXTS], ids=[b["doc_id"].to_pylist()], train=[train.tolist()], sizes=[[len(r) for r in raw]], data=[zstandard.compress(b"".join(raw), 3)])
+        packs = [(int(to[x]), pack(own[x:y]), pack(n[x:y])) for x, y in zip(starts, np.r_[starts[1:], len(to)])]
+        lists: list[list[bytes]] = [[] for _ in range(BUCKETS)]
+        for w in sorted(words):
+            lists[zlib.crc32(w) % BUCKETS].append(w)
+        # a chunk asks every bucket of words, without words too: the answers add up to the size of the vocabulary
+        packs += [(BUCKETS + i, pack_words(ws), pack(np.array([words[w] for w in ws], np.int64))) for i, ws in enumerate(lists)]
+        bucket, keys, n = zip(*packs)
+        yield _rows(_CHUNK, len(packs), chunk=np.full(len(packs), chunk), bucket=bucket, keys=keys, counts=n)
+        yield _rows(_CHUNK, 1, chunk=[chunk], ids=[b["doc_id"].to_pylist()], train=[train.tolist()], sizes=[[len(r) for r in raw]], data=[zstandard.compress(b"".join(raw), 3)])
+
+
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of two-symbol strings; at -1 that of all words."""
+    for b in batches:
+        keys, counts = [], []
+        for bucket, k, n in zip(*(b[c].to_pylist() for c in ("bucket", "keys", "counts"))):
+            n = unpack(n)
+            keys.append(unpack(k) % SYMBOLS**2 if bucket < BUCKETS else np.full(len(n), -1))
+            counts.append(n)
+        if keys:
+            key, n = totals(np.concatenate(keys), np.concatenate(counts))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
 
+def add_up(bucket: int, packs: list[tuple[bytes, bytes]]):
+    """Strings and counts as two arrays, words as a dictionary."""
+    if bucket < BUCKETS:
+        known, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for i in range(0, len(packs), 64):
+            known, counts = (np.concatenate([x, *(unpack(p[j]) for p in packs[i : i + 64])]) for j, x in enumerate((known, counts)))
+            known, counts = totals(known, counts)
+        return known, counts
+    found: dict[bytes, int] = {}
+    for words, counts in packs:
+        for w, n in zip(unpack_words(words), unpack(counts).tolist()):
+            found[w] = found.get(w, 0) + n
+    return found
 
-_MERGED = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+
+_MERGED = pa.schema([("bucket", pa.int32()), ("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (bucket, part), to one row for each."""
-    held: tuple | None = None
-    for key, b in runs(batches, "bucket", "part"):
-        if held and held[0] != key:
-            yield _rows(_MERGED, 1, bucket=[held[0][0]], part=[held[0][1]], grams=[pack(held[1])], counts=[pack(held[2])])
-            held = None
-        found = [[unpack(x) for x in b[c].to_pylist()] for c in ("grams", "counts")]
-        held = (key, *totals(*(np.concatenate([*([held[1 + i]] if held else []), *found[i]]) for i in (0, 1))))
-    if held:
-        yield _rows(_MERGED, 1, bucket=[held[0][0]], part=[held[0][1]], grams=[pack(held[1])], counts=[pack(held[2])])
 
+    def row(key: tuple, packs: list) -> pa.RecordBatch:
+        found = add_up(key[0], packs)
+        keys, counts = found if key[0] < BUCKETS else (sorted(found), np.array([found[w] for w in sorted(found)], np.int64))
+        return _rows(_MERGED, 1, bucket=[key[0]], part=[key[1]], keys=[pack(keys) if key[0] < BUCKETS else pack_words(keys)], counts=[pack(counts)])
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for grams, counts in zip(b["grams"], b["counts"]):
-            key, n = totals(unpack(grams.as_py()) % SYMBOLS**2, unpack(counts.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+    at, packs = None, []
+    for key, b in runs(batches, "bucket", "part"):
+        if key != at and packs:
+            yield row(at, packs)
+            packs = []
+        at = key
+        packs += zip(b["keys"].to_pylist(), b["counts"].to_pylist())
+        if len(packs) >= PART_CHUNKS:
+            packs = [tuple(row(key, packs).to_pylist()[0][c] for c in ("keys", "counts"))]
+    if packs:
+        yield row(at, packs)
 
 
 def log_probabilities(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -199,19 +240,37 @@ def log_probabilities(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray)
     return lp
 
 
+_ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("values", pa.binary()), ("kinds", pa.int64())])
+
+
 def _answer(pairs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (bucket, part, kind): a bucket's counts, then what chunks ask."""
-        key, known, lp = None, None, None
-        for own, b in runs(batches, "bucket", "part"):
-            chunks, asked, at = b["chunk"].to_pylist(), b["grams"], 0
-            if own != key:
-                key, known, at = own, unpack(asked[0].as_py()), 1
-                lp = log_probabilities(known, unpack(b["counts"][0].as_py()), pairs.value)
-            for i in range(at, len(chunks), 256):
-                grams = asked[i : i + 256].to_pylist()
-                lps = [lp[np.searchsorted(known, unpack(g))].tobytes() for g in grams]
-                yield pa.RecordBatch.from_arrays([pa.array(chunks[i : i + 256], pa.int64()), pa.array(grams, pa.binary()), pa.array(lps, pa.binary())], ["chunk", "grams", "lps"])
+        """Rows sorted by (bucket, part, kind): a bucket's counts if it has several parts, then what chunks ask, which else is all there is."""
+        at, model, asked = None, [], []
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            found = add_up(at[0], model or [(k, n) for _, k, n in asked])
+            if at[0] < BUCKETS:
+                lp, kinds = log_probabilities(*found, pairs.value), 0
+                of = lambda k: lp[np.searchsorted(found[0], unpack(k))].tobytes()
+            else:
+                kinds = sum(n > 0 for n in found.values())
+                of = lambda k: pack(np.array([found[w] for w in unpack_words(k)], np.int64))
+            for i in range(0, len(asked), 64):
+                chunks, keys, _ = zip(*asked[i : i + 64])
+                yield _rows(_ANSWER, len(chunks), chunk=chunks, bucket=[at[0]] * len(chunks), keys=keys, values=[of(k) for k in keys], kinds=[kinds] * len(chunks))
+
+        for (*key, kind), b in runs(batches, "bucket", "part", "kind"):
+            if key != at:
+                if asked:
+                    yield from answers()
+                at, model, asked = key, [], []
+            if kind == 0:
+                model += zip(b["keys"].to_pylist(), b["counts"].to_pylist())
+            else:
+                asked += zip(*(b[c].to_pylist() for c in ("chunk", "keys", "counts")))
+        if asked:
+            yield from answers()
 
     return run
 
@@ -219,32 +278,36 @@ def _answer(pairs):
 _SCORED = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score(scale: float):
+def _score(tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (chunk, kind): strings with log probabilities, words with counts, then the texts."""
-        own, grams, lps, known, index = None, [], [], {}, None
-        for (chunk, kind), b in runs(batches, "chunk", "kind"):
+        """Rows sorted by (chunk, text or not): answers, then the texts."""
+        own, grams, lps, known, vocabulary = None, [], [], {}, 0
+        for (chunk, is_text), b in runs(batches, "chunk", "is_text"):
             if chunk != own:
-                own, grams, lps, known, index = chunk, [], [], {}, None
-            if kind == STRINGS:
-                grams += map(unpack, b["grams"].to_pylist())
-                lps += [np.frombuffer(x, np.float64) for x in b["lps"].to_pylist()]
-            elif kind == WORDS:
-                known.update((w.encode(), (math.log10((c + 1) / scale), c > 0)) for w, c in zip(b["word"].to_pylist(), b["n"].to_pylist()))
-            else:
-                if index is None:
-                    index, lp, grams, lps = pd.Index(np.concatenate(grams)), np.concatenate(lps), [], []
-                for ids, train, sizes, data in zip(*(b[c].to_pylist() for c in ("ids", "train", "sizes", "data"))):
-                    ends, whole = np.cumsum(sizes).tolist(), zstandard.decompress(data)
-                    raw = [whole[e - n : e] for e, n in zip(ends, sizes)]
-                    total, facts = np.zeros(len(raw)), []
-                    for code, owner, first in coded(raw):
-                        np.add.at(total, owner, np.add.reduceat(lp[index.get_indexer(code)], first))
-                    for r in raw:
-                        found = [known[x] for x in r.lower().split()] + [known[b""]]
-                        facts.append((len(found), sum(k for _, k in found), math.fsum(p for p, _ in found)))
-                    n_tokens, n_known, base = zip(*facts)
-                    yield _rows(_SCORED, len(raw), doc_id=ids, train=train, n_tokens=n_tokens, n_known=n_known, base_score=base, score=total)
+                own, grams, lps, known, vocabulary = chunk, [], [], {}, 0
+            if not is_text:
+                for bucket, keys, values, kinds in zip(*(b[c].to_pylist() for c in ("bucket", "keys", "values", "kinds"))):
+                    if bucket < BUCKETS:
+                        grams.append(unpack(keys))
+                        lps.append(np.frombuffer(values, np.float64))
+                    else:
+                        known.update(zip(unpack_words(keys), unpack(values).tolist()))
+                        vocabulary += kinds
+                continue
+            index, lp = pd.Index(np.concatenate(grams)), np.concatenate(lps)
+            scale = float(tokens + vocabulary + 1)
+            of = {w: (math.log10((c + 1) / scale), c > 0) for w, c in known.items()}
+            for ids, train, sizes, data in zip(*(b[c].to_pylist() for c in ("ids", "train", "sizes", "data"))):
+                ends, whole = np.cumsum(sizes).tolist(), zstandard.decompress(data)
+                raw = [whole[e - n : e] for e, n in zip(ends, sizes)]
+                total, facts = np.zeros(len(raw)), []
+                for code, owner, first in coded(raw):
+                    np.add.at(total, owner, np.add.reduceat(lp[index.get_indexer(code)], first))
+                for r in raw:
+                    found = [of[x] for x in r.lower().split()] + [of[b""]]
+                    facts.append((len(found), sum(k for _, k in found), math.fsum(p for p, _ in found)))
+                n_tokens, n_known, base = zip(*facts)
+                yield _rows(_SCORED, len(raw), doc_id=ids, train=train, n_tokens=n_tokens, n_known=n_known, base_score=base, score=total)
 
     return run
 
@@ -255,27 +318,24 @@ def score(docs: DataFrame) -> DataFrame:
     n = tasks(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (fold(F.col("doc_id"), FOLDS) != HELD_OUT).alias("train"))
     found = cut(rows.mapInArrow(_gather, CHUNKS), "chunks")
-    parts = pieces(found.filter(F.col("kind") == TEXTS).count(), PART_CHUNKS)
-    strings = found.filter(F.col("kind") == STRINGS).select("bucket", F.pmod(F.xxhash64("chunk"), F.lit(parts)).alias("part"), "chunk", "grams", "counts")
-    merge = lambda df: df.select(*_MERGED.names).repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_merge, "bucket int, part long, grams binary, counts binary")
-    merged = merge(strings)
-    if parts > 1:  # what the parts have merged is merged again, by bucket
-        merged = merge(merged.withColumn("part", F.lit(0).cast("long")))
-    merged = cut(merged, "counts")
-    pairs = np.zeros(SYMBOLS**2, np.int64)
-    for key, count in merged.mapInArrow(_pairs, "key long, n long").groupBy("key").agg(F.sum("n")).collect():  # SYMBOLS^2 rows at most
-        pairs[key] = count
+    texts, packs = found.filter("bucket is null"), found.filter("bucket is not null")
+    pairs, tokens = np.zeros(SYMBOLS**2, np.int64), 0
+    for key, count in packs.select("bucket", "keys", "counts").mapInArrow(_facts, "key long, n long").groupBy("key").agg(F.sum("n")).collect():  # SYMBOLS^2 + 1 rows at most
+        if key < 0:
+            tokens = count
+        else:
+            pairs[key] = count
     shared = spark.sparkContext.broadcast(pairs.reshape(SYMBOLS, SYMBOLS))
-    model = merged.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("chunk"), "grams", "counts")
-    asked = model.unionByName(strings.select("bucket", "part", F.lit(1).alias("kind"), "chunk", "grams", F.lit(None).cast("binary").alias("counts")))
-    answers = asked.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", "kind").mapInArrow(_answer(shared), "chunk long, grams binary, lps binary")
-    words = found.filter(F.col("kind") == WORDS).select("chunk", "word", "n")
-    counted = cut(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    facts = counted.filter("c > 0").agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
-    tokens, kinds = facts["n"] or 0, facts["v"]
-    met = answers.withColumn("kind", F.lit(STRINGS)).unionByName(words.join(counted, "word").select("chunk", F.lit(WORDS).alias("kind"), "word", F.col("c").alias("n")), True)
-    met = met.unionByName(found.filter(F.col("kind") == TEXTS).select("chunk", "kind", "ids", "train", "sizes", "data"), True)
-    out = met.repartition(n, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_score(float(tokens + kinds + 1)), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    parts = pieces(texts.count(), PART_CHUNKS)
+    asked = packs.select("bucket", F.pmod(F.xxhash64("chunk"), F.lit(parts)).alias("part"), F.lit(1).alias("kind"), "chunk", "keys", "counts")
+    if parts > 1:  # each part adds up its own, the bucket adds up its parts, and each part receives the sums
+        merge = lambda df: df.select(*_MERGED.names).repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_merge, "bucket int, part long, keys binary, counts binary")
+        sums = cut(merge(merge(asked).withColumn("part", F.lit(0).cast("long"))), "counts")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")
+        asked = sums.select("bucket", every, F.lit(0).alias("kind"), F.lit(None).cast("long").alias("chunk"), "keys", "counts").unionAll(asked)
+    answers = asked.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", "kind").mapInArrow(_answer(shared), "chunk long, bucket int, keys binary, values binary, kinds long")
+    met = answers.withColumn("is_text", F.lit(0)).unionByName(texts.select("chunk", F.lit(1).alias("is_text"), "ids", "train", "sizes", "data"), True)
+    out = met.repartition(n, "chunk").sortWithinPartitions("chunk", "is_text").mapInArrow(_score(tokens), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
