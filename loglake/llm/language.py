@@ -3,14 +3,17 @@
 Each language gets a zstandard raw-content dictionary of its own texts. A text is lower-cased and compressed whole with each;
 the smallest output names the language, and the margin to the second is the score. Narrow margins are rejected.
 
-Defined cases: a null text, an empty one and one without a letter are ``und`` with score 0; without any language to
-learn everything is ``und``; ties go to the language that comes first by code point; a null doc_id is held out;
-repeated rows each get a row; other columns are ignored.
+The texts to learn from are cut into segments of SEGMENT characters; all segments of all different texts of a language
+take part alike, and the DICTIONARY_BYTES / SEGMENT of least hash make its dictionary.
+
+Defined cases: a null text, an empty one and one without a letter (Unicode category L) are ``und`` with score 0; without
+any language to learn everything is ``und``; ties go to the language that comes first by code point; a null doc_id is
+held out; repeated rows each get a row and teach once; an empty table gives no rows; other columns are ignored. More than
+MOST_LANGUAGES languages are an error: the dictionaries are broadcast.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,31 +25,38 @@ from loglake.llm.common import fold, table
 
 FOLDS = 5
 DICTIONARY_BYTES = 64 << 10  # of each language's dictionary
-SAMPLE_TEXTS = 1000  # of each language, at most
-SALTS = 256
+SEGMENT = 1024  # characters
+MOST_LANGUAGES = 1000
 MARGIN = 0.02
 LEVEL = 12  # from here on the compressor weighs matches against each other, and the sizes of short texts differ clearly
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"
 
 
-def learn(docs: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, sample_texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
-    """A dictionary for each language, from at most ``sample_texts`` texts outside fold 0 that a hash of their ids chooses."""
+def learn(docs: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, segment: int = SEGMENT) -> dict[str, bytes]:
+    """A dictionary for each language, of segments that a hash chooses from the different texts outside fold 0."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), FOLDS) != 0))
-    # a text longer than its share of the dictionary gives that share's first part to the sample
-    rows = known.select("lang", "doc_id", F.lower(F.substring("text", 1, dictionary_bytes // 64)).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    rows = rows.withColumn("salt", F.pmod("h", F.lit(SALTS)))
-    for keys in (["lang", "salt"], ["lang"]):  # a language's first texts are found in parts, so that none gathers in one task
-        order = Window.partitionBy(*keys).orderBy("h", "doc_id", "text")
-        rows = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample_texts)
+    n = F.ceil(F.length("text") / segment)
+    # copies count once here, so that a language of many copies still fills its dictionary
+    different = known.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.first(n).alias("n"))
+    sizes = different.groupBy("lang").agg(F.sum("n").alias("n")).filter("n > 0").limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    wanted = max(1, dictionary_bytes // segment)
+    # twice as many as wanted are expected under this bound, of 2^30: what is ranked below is small whatever the rows are
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 30, 1 + (wanted << 31) // r["n"])) for r in sizes], "lang string, bound long")
+    places = known.join(F.broadcast(bounds), "lang").select("lang", "text", "bound", F.explode(F.sequence(F.lit(0), n.cast("int") - 1)).alias("i"))
+    chosen = places.withColumn("h", F.pmod(F.xxhash64("text", "i"), F.lit(1 << 30))).filter("h < bound")
+    chosen = chosen.select("lang", "h", F.lower(F.substring("text", F.col("i") * segment + 1, segment)).alias("text")).distinct()
+    order = Window.partitionBy("lang").orderBy("h", "text")
     out: dict[str, list[bytes]] = {}
-    for r in rows.orderBy("lang", "rank").select("lang", "text").collect():
+    for r in chosen.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= wanted).orderBy("lang", "rank").collect():
         out.setdefault(r["lang"], []).append(r["text"].encode())
-    return {lang: b"\n".join(texts)[:dictionary_bytes] for lang, texts in out.items()}
+    return {lang: b"\n".join(texts) for lang, texts in out.items()}
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in ``keep`` with lang_pred, score (margin to the second-best as a share of it) and rejected (score under ``margin``)."""
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # DICTIONARY_BYTES for each language
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # about DICTIONARY_BYTES for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packers = []
@@ -56,9 +66,9 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
             packers.append((lang, zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False)))
         for b in batches:
             names, scores = [], []
-            for t in b["__text"]:
+            for t, letters in zip(b["__text"], b["__letters"].to_pylist()):
                 text = t.as_py()
-                if not packers or not text or not LETTER.search(text):
+                if not packers or not letters:
                     names.append("und")
                     scores.append(0.0)
                     continue
@@ -68,10 +78,10 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
                 names.append(sizes[0][1])
                 scores.append((second - sizes[0][0]) / second)
             low = [s < margin for s in scores]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(low, pa.bool_())], [*keep, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(low, pa.bool_())], [*keep, "lang_pred", "score", "rejected"])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{out}, lang_pred string, score double, rejected boolean")
+    return docs.select(*keep, F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("__letters")).mapInArrow(run, f"{out}, lang_pred string, score double, rejected boolean")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

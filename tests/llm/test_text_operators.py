@@ -316,3 +316,25 @@ def test_language_of_hard_documents(spark, hard_docs):
     got = {(r["doc_id"], r["lang_pred"], 0 <= r["score"] <= 1) for r in language.classify(hard_docs, language.learn(hard_docs)).collect()}
     assert {(3, "und", True), (4, "und", True), (5, "und", True)} <= got and all(x[2] for x in got)
     assert {r["lang_pred"] for r in language.classify(hard_docs, language.learn(hard_docs.limit(0))).collect()} == {"und"}
+
+
+def test_language_of_texts_without_letters(spark):
+    schema = "doc_id long, text string, lang string, source string, score double, lang_pred string"
+    rows = [(1, "the house and the garden", "en", None, 1.0, "x"), (2, "la maison et le jardin", "fr", None, 1.0, "x")]
+    odd = [(10, "² ½ Ⅷ 12", "en", None, 1.0, "x"), (11, "́", "en", None, 1.0, "x"), (12, "ß", None, None, 1.0, "x"), (13, "的", "fr", None, 1.0, "x")]
+    docs = spark.createDataFrame(rows * 20 + odd, schema)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.classify(docs, language.learn(docs)).collect()}
+    assert (got[1], got[2], got[10], got[11]) == ("en", "fr", "und", "und") and got[12] != "und" != got[13]
+    assert language.learn(docs.limit(0)) == {} and language.classify(docs.limit(0), {}).count() == 0
+
+
+def test_dictionaries_come_from_all_of_all_texts(spark):
+    """Every segment counts alike, wherever it lies, and copies count once."""
+    long = " ".join(f"w{i:05d}" for i in range(40_000))  # 280,000 characters
+    docs = spark.createDataFrame([(1, long, "en")] * 50 + [(2, "short text", "en")], "doc_id long, text string, lang string")
+    d = language.learn(docs)["en"].decode()
+    places = sorted(int(x[1:]) for x in d.split() if re.fullmatch(r"w\d{5}", x))
+    assert 0.7 * language.DICTIONARY_BYTES < len(d) <= 1.1 * language.DICTIONARY_BYTES and len(set(places)) == len(places)
+    counts = np.histogram(places, 4, (0, 40_000))[0]
+    assert counts.min() > 0.1 * counts.sum()
+    assert language.learn(spark.createDataFrame([(1, long, "en")], "doc_id long, text string, lang string"), 1 << 20)["en"].count(b"w") == len(re.findall("w", long))
