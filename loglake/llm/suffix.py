@@ -1,14 +1,18 @@
 """Suffix-array dedup with run-length compressed indexes.
 
-Every 200-byte window owns one of its 32-byte strings: the one of least hash. Equal windows own equal strings, so the
-windows of one anchor string can repeat only among themselves. Anchors that occur once end there; anchors whose whole
-surroundings (all windows they own) occur twice are covered there. What is left is dealt by anchor to indexes: a
-suffix array of the surroundings, its Burrows-Wheeler transform in runs, and the suffix and common prefix at the ends of
-each run. Between run ends a match shrinks by one byte at each step, so the samples give the matching statistics of
-every position when the texts are streamed past them, and windows that match for 200 bytes are marked.
+Every 200-byte window owns one of its 32-byte strings, its anchor: the one of least hash. Equal windows own equal strings,
+so the windows of one anchor string can repeat only among themselves; anchors that occur once end there. Anchors deal the
+work out: the different surroundings of an anchor (all windows it owns), each with the number of its copies, go to one
+index. An index is the Burrows-Wheeler transform of its texts in runs, with a text place and a shared length at the two
+ends of each run; the suffix array that it is made of is dropped. Inside a run a match shrinks by one byte at each step, so
+the samples give the matching statistics of every place as the texts are streamed past them, and windows that match
+elsewhere for 200 bytes are marked. What is marked in a surroundings holds for all its copies. An anchor of too many
+surroundings is dealt again: by its distance to the window and the bytes that windows of like distance have in common.
+
+Texts of a row and surroundings are told apart by 128-bit hashes.
 
 Defined cases: a null text has no bytes; texts under 200 bytes never match; repeated rows match each other and each get
-a row; a null doc_id is an id like any other; other columns are ignored.
+a row; a null doc_id is an id like any other; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +33,10 @@ LENGTH = 200
 ANCHOR = 32
 SEGMENT = 1 << 19  # window starts that are hashed at a time
 INDEX_BYTES = 1 << 19  # text of one index, about
-HOT_GROUP = 1000  # surroundings of one anchor that an index takes; more are split by their common bytes
-SPLIT = 21  # starts that a split group's members share
+HOT_GROUP = 1000  # different surroundings of one anchor that an index takes; more are split by their common bytes
+SPLITS = (21, 1)  # distances to the anchor that a split group's windows share, first and again
 _BYTE_HASH = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.array([0x9E3779B97F4A7C15], np.uint64)  # an array: it wraps without a warning
-ROW = "doc_id long, th int"
 
 
 def _window_owners(data: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,13 +72,25 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[new], start[new], (reach - shift)[last]
 
 
+def _hashes(parts: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each, in two numbers."""
+    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in parts), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _row_keys(ids: list[int | None], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return _hashes(b"%d" % i + xxhash.xxh3_128_digest(x) if i is not None else xxhash.xxh3_128_digest(x) for i, x in zip(ids, raw))
+
+
+ANCHORS = "ah long, c1 long, c2 long, n int, p int, size int, k1 long, k2 long, s int, more array<struct<k1:long,k2:long,s:int>>"
+_PLACE = pa.struct([("k1", pa.int64()), ("k2", pa.int64()), ("s", pa.int32())])
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["ah", "ch", "doc_id", "th", "p", "s", "e", "n"]
+    """Of each anchor and surroundings in a piece of the texts: how often they occur, and where."""
     for b in slices(batches, "text", 8 << 20):
         raw = [(t.as_py() or "").encode() for t in b["text"]]
-        th = np.array([np.uint32(xxhash.xxh32_intdigest(x)).astype(np.int32) for x in raw], np.int32)
-        ids, data = b["doc_id"], np.frombuffer(b"".join(raw), np.uint8)
-        ends = np.cumsum([len(x) for x in raw])
+        data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw])
         doc_of, place, hashes, starts = [], [], [], []
         for first in range(0, len(data) - LENGTH + 1, SEGMENT):
             last = min(first + SEGMENT, len(data) - LENGTH + 1)
@@ -94,26 +109,23 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         doc, at, ah, (s, e) = np.concatenate(doc_of), np.concatenate(place), np.concatenate(hashes), np.concatenate(starts, axis=1)
         view = memoryview(data)
-        ch = np.array([xxhash.xxh64_intdigest(view[x : y + LENGTH], z - x) for x, y, z in zip(s.tolist(), e.tolist(), at.tolist())], np.uint64).view(np.int64)
-        order = np.lexsort((ch, ah))
-        same = np.r_[False, (ah[order][1:] == ah[order][:-1]) & (ch[order][1:] == ch[order][:-1])]
-        group = np.cumsum(~same) - 1
-        count, lead = np.bincount(group), order[~same]
-        base = np.r_[0, ends[:-1]]
-        repeated = order[count[group] > 1]
-        # what repeats in the batch is covered here; one row of it goes on
-        d, x, y = _merged(doc[repeated], s[repeated] - base[doc[repeated]], e[repeated] - base[doc[repeated]] + LENGTH)
-
-        def rows(k: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-            types = (pa.int64(), pa.int64(), None, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-            arrays = [columns[0], columns[1], ids.take(pa.array(k)), th[k], *columns[2:]]
-            return pa.RecordBatch.from_arrays([x if t is None else pa.array(x, t) for x, t in zip(arrays, types)], names)
-
-        k = doc[lead]
-        yield rows(k, ah[lead], ch[lead], at[lead] - s[lead], s[lead] - base[k], e[lead] - base[k], np.minimum(count, 2))
-        if len(d):
-            zero = np.zeros(len(d), np.int64)
-            yield rows(d, zero, zero, zero, x, y, zero)  # n = 0: an interval
+        # the anchor's place belongs to the surroundings: equal bytes around it at another place are others
+        c1, c2 = _hashes(b"%d " % (z - x) + view[x : y + LENGTH] for x, y, z in zip(s.tolist(), e.tolist(), at.tolist()))
+        k1, k2 = (k[doc] for k in _row_keys(b["doc_id"].to_pylist(), raw))
+        begin = s - np.r_[0, ends[:-1]][doc]
+        order = np.lexsort((begin, k2, k1, c2, c1, ah))
+        same = np.r_[False, (ah[order][1:] == ah[order][:-1]) & (c1[order][1:] == c1[order][:-1]) & (c2[order][1:] == c2[order][:-1])]
+        lead, count = order[~same], np.bincount(np.cumsum(~same) - 1)
+        firsts = np.flatnonzero(~same)
+        others: list[list | None] = [None] * len(lead)
+        for g in np.flatnonzero(count > 1).tolist():  # repeated rows have one place, and count each
+            own = order[firsts[g] : firsts[g] + count[g]].tolist()
+            places = dict.fromkeys(zip(k1[own].tolist(), k2[own].tolist(), begin[own].tolist()))
+            others[g] = [dict(zip(("k1", "k2", "s"), x)) for x in list(places)[1:]] or None
+        columns = [ah[lead], c1[lead], c2[lead], np.minimum(count, 2), (at - s)[lead], (e - s)[lead] + LENGTH, k1[lead], k2[lead], begin[lead]]
+        types = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.int64()] * 2 + [pa.int32()]
+        arrays = [pa.array(c, t) for c, t in zip(columns, types)] + [pa.array(others, pa.list_(_PLACE))]
+        yield pa.RecordBatch.from_arrays(arrays, ["ah", "c1", "c2", "n", "p", "size", "k1", "k2", "s", "more"])
 
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
@@ -127,7 +139,7 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.nd
         else:
             key = rank * (n + 2 + int(rank.max())) + np.r_[rank[h:] + 1, np.zeros(min(h, n), np.int64)][:n]
             h *= 2
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         new = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
         rank = np.empty(n, np.int64)
@@ -149,96 +161,109 @@ def _common(levels: list[tuple[int, np.ndarray]], symbols: np.ndarray, a: np.nda
     return total
 
 
-def matching_statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """suffix order, and for each place in that order the bytes it shares with the suffix before.
+class RunIndex:
+    """A run-compressed index of texts, of which ``weights`` copies exist.
 
-    Only run ends of the Burrows-Wheeler transform are compared; inside a run the shared length at the next byte of the
-    text is one less, so a pass over the text in order fills the rest.
+    It holds the runs of the Burrows-Wheeler transform (symbols, lengths), and for the suffixes at both ends of each run
+    their places in the texts and what they share with the suffix of the neighbouring run; nothing for the rest.
     """
-    m = len(texts)
-    symbols = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8).astype(np.int64) + m
-    symbols[np.cumsum([len(t) + 1 for t in texts]) - 1] = np.arange(m)
-    order, levels = suffix_array(symbols)
-    bwt = symbols[order - 1]
-    head = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])  # where runs begin: the samples
-    shared = np.zeros(len(head), np.int64)
-    shared[1:] = _common(levels, symbols, order[head[1:] - 1], order[head[1:]])
-    sample_at, sample = order[head], np.full(len(symbols), -1)
-    sample[sample_at] = np.arange(len(head))
-    latest = np.maximum.accumulate(np.where(sample >= 0, np.arange(len(symbols)), -1))
-    by_text = np.maximum(shared[sample[latest]] - (np.arange(len(symbols)) - latest), 0)
-    return order, by_text[order]
-
-
-def marked(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each text the starts of windows of ``length`` bytes that more than one of all the windows equals; all windows of a text are its own."""
-    order, shared = matching_statistics(texts)
-    sizes = np.array([len(t) for t in texts])
-    base = np.r_[0, np.cumsum(sizes + 1)[:-1]]
-    text_of = np.repeat(np.arange(len(texts)), sizes + 1)
-    room = (base + sizes)[text_of] - np.arange(len(text_of))
-    kind = np.cumsum(shared < length)  # suffixes with the same first ``length`` bytes
-    owned = room[order] >= length
-    many = np.bincount(kind[owned], minlength=kind[-1] + 1) > 1
-    hits = np.sort(order[owned & many[kind]])
-    cuts = np.searchsorted(hits, base)
-    return [x - b for x, b in zip(np.split(hits, cuts[1:]), base)]
+
+    def __init__(self, texts: list[bytes], weights: list[int]) -> None:
+        m = len(texts)
+        self.sizes, self.weights = np.array([len(t) for t in texts]), np.array(weights)
+        self.base = np.cumsum(self.sizes + 1) - (self.sizes + 1)
+        symbols = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8).astype(np.int64) + m
+        symbols[self.base + self.sizes] = np.arange(m)  # every text ends in a symbol of its own
+        order, levels = suffix_array(symbols)
+        bwt = symbols[order - 1]
+        head = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
+        tail = np.r_[head[1:] - 1, len(bwt) - 1]
+        shared = _common(levels, symbols, order[tail[:-1]], order[head[1:]])  # over the border between two runs
+        self.run_symbols, self.run_lengths = bwt[head], tail - head + 1
+        self.heads, self.tails = ((place[sort], length[sort]) for place, length in ((order[head], np.r_[0, shared]), (order[tail], np.r_[shared, 0])) for sort in [np.argsort(place)])
+
+    def matches(self, k: int) -> np.ndarray:
+        """Text k streamed past the samples: for each of its places the longest match elsewhere.
+
+        The neighbour of a suffix inside a run is the neighbour of the text's next place too, so from one sampled place
+        to the next the shared length falls by one at each step.
+        """
+        places = np.arange(self.base[k], self.base[k] + self.sizes[k])
+        best = self.base[k] + self.sizes[k] - places if self.weights[k] > 1 else np.zeros(len(places), np.int64)
+        for at, shared in (self.heads, self.tails):
+            last = np.searchsorted(at, places, side="right") - 1
+            best = np.maximum(best, np.where(last >= 0, shared[last] - (places - at[last]), 0))
+        return best
+
+
+def marked(texts: list[bytes], weights: list[int], length: int = LENGTH) -> list[np.ndarray]:
+    """For each text the starts of windows of ``length`` bytes that occur more than once in all copies of all texts."""
+    index = RunIndex(texts, weights)
+    return [np.flatnonzero(index.matches(k) >= length) for k in range(len(texts))]
+
+
+_KIND = pa.schema([("g", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group; emits the intervals of single surroundings (n = 1)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
+    """Rows sorted by group (g, c1, c2, n, ctx); emits the intervals [a, b) of each ctx."""
     held: list[tuple] = []
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
+    def solve() -> pa.RecordBatch:
         out = []
-        for (_, n, text, doc, th, s), starts in zip(rows, marked([r[2] for r in rows])):
-            if n == 1 and len(starts):
-                runs = np.split(starts, np.flatnonzero(np.diff(starts) > LENGTH) + 1)
-                out += [(doc, th, s + int(r[0]), s + int(r[-1]) + LENGTH) for r in runs]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, schema)], schema=schema)
+        for (g, c1, c2, _, _), starts in zip(held, marked([r[4] for r in held], [r[3] for r in held])):
+            if len(starts):
+                parts = np.split(starts, np.flatnonzero(np.diff(starts) > LENGTH) + 1)
+                out += [(g, c1, c2, int(r[0]), int(r[-1]) + LENGTH) for r in parts]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, _KIND)], schema=_KIND)
 
     size = 0
     for b in slices(batches, "ctx", 1 << 19):
-        for row in zip(*(b[c].to_pylist() for c in ("g", "n", "ctx", "doc_id", "th", "s"))):
+        for row in zip(*(b[c].to_pylist() for c in ("g", "c1", "c2", "n", "ctx"))):
             if size >= INDEX_BYTES and row[0] != held[-1][0]:
-                yield solve(held)
+                yield solve()
                 held, size = [], 0
             held.append(row)
-            size += len(row[2]) + 1
+            size += len(row[4]) + 1
     if held:
-        yield solve(held)
+        yield solve()
 
 
 def _packed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The row's key, its text as zstandard bytes (a shuffle of texts is the largest here), and the columns in ``keep``."""
+    """The row's key (k1, k2), its id, its text as zstandard bytes (a shuffle of texts is the largest here), and the columns in ``keep`` as k_<name>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=3)
         for b in slices(batches, "__text"):
             raw = [None if t is None else t.encode() for t in b["__text"].to_pylist()]
-            th = pa.array([int(np.uint32(xxhash.xxh32_intdigest(x or b"")).astype(np.int32)) for x in raw], pa.int32())
+            k1, k2 = _row_keys(b["__id"].to_pylist(), [x or b"" for x in raw])
             z = pa.array([None if x is None else c.compress(x) for x in raw], pa.binary())
-            yield pa.RecordBatch.from_arrays([b["__id"], th, z, *b.columns[2:]], ["doc_id", "th", "z", *[f"k_{x}" for x in keep]])
+            yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), b["__id"], z, *b.columns[2:]], ["k1", "k2", "doc_id", "z", *[f"k_{x}" for x in keep]])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text"), *keep)
     kept = "".join(f", `k_{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(run, f"{ROW}, z binary{kept}")
+    return rows.mapInArrow(run, f"k1 long, k2 long, doc_id long, z binary{kept}")
+
+
+KINDS = "g long, c1 long, c2 long, n int, p int, ctx binary"
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     d = zstandard.ZstdDecompressor()
     for b in slices(batches, "z", 1 << 20):
         out: list[tuple] = []
-        for doc, th, z, wants in zip(*(b[c].to_pylist() for c in ("doc_id", "th", "z", "wants"))):
+        for z, wants in zip(b["z"].to_pylist(), b["wants"].to_pylist()):
             raw = d.decompress(z) if z else b""
-            out += [(w["ah"], w["n"], raw[w["s"] : w["e"] + LENGTH], doc, th, w["s"], w["p"]) for w in wants]
-        types = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], ["g", "n", "ctx", "doc_id", "th", "s", "p"])
+            out += [(w["ah"], w["c1"], w["c2"], w["n"], w["p"], raw[w["s"] : w["s"] + w["size"]]) for w in wants]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, types)], ["g", "c1", "c2", "n", "p", "ctx"])
 
 
 def _split(rows: DataFrame, width: int) -> DataFrame:
-    """Deal windows by their distance to the anchor, ``width`` distances to a group, and by the bytes that those have in common."""
+    """Deal windows by their distance to the anchor, ``width`` distances to a group, and by the bytes that those have in common.
+
+    A row for each part of a surroundings: its new group, and where it lies in what it is a part of (g, c1, c2, at).
+    """
     far, near = F.col("p"), F.col("p") - (F.length("ctx") - LENGTH)  # distance of the anchor from the first start, and from the last
     k = F.explode(F.sequence(F.expr(f"greatest(p - length(ctx) + {LENGTH}, 0) div {width}").cast("int"), F.expr(f"p div {width}").cast("int"))).alias("k")
     rows = rows.select("*", k).withColumns({"hi": F.least(far, F.col("k") * width + width - 1), "lo": F.greatest(near, F.col("k") * width)})
@@ -246,57 +271,49 @@ def _split(rows: DataFrame, width: int) -> DataFrame:
     part = F.substring("ctx", skip + 1, F.col("hi") - F.col("lo") + LENGTH)
     nearest, farthest = F.col("k") * width, F.col("k") * width + width - 1
     common = F.substring("ctx", F.greatest(far - nearest, F.lit(0)) + 1, LENGTH - farthest + nearest)
-    return rows.select(F.xxhash64("g", "k", common).alias("g"), "n", part.alias("ctx"), "doc_id", "th", (F.col("s") + skip).alias("s"), F.col("hi").alias("p"))
+    return rows.select(F.xxhash64("g", "k", common).alias("part_g"), F.md5(F.concat(F.col("hi").cast("string").cast("binary"), part)).alias("h"), "n", F.col("hi").alias("part_p"), part.alias("part"), "g", "c1", "c2", skip.alias("at"))
+
+
+def repeated(kinds: DataFrame, splits: tuple[int, ...] = SPLITS) -> DataFrame:
+    """Intervals (g, c1, c2, a, b) of the surroundings ``kinds`` (KINDS, all different) whose windows occur more than once in their copies."""
+    n = tasks(kinds.sparkSession)
+    cool, found = kinds, None
+    if splits:
+        hot = kinds.groupBy("g").count().filter(F.col("count") > HOT_GROUP).select("g", F.lit(True).alias("hot"))
+        both = kinds.join(hot, "g", "left")
+        cool = both.filter("hot is null").drop("hot")
+        parts = cut(_split(both.filter("hot").drop("hot"), splits[0]), "parts")
+        if not parts.isEmpty():
+            own = parts.groupBy("part_g", "h").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.first("part_p").alias("p"), F.first("part").alias("ctx"))
+            own = cut(own.select(F.col("part_g").alias("g"), *(F.conv(F.substring("h", i, 15), 16, 10).cast("long").alias(c) for c, i in (("c1", 1), ("c2", 17))), "n", "p", "ctx"), "kinds")
+            marks = repeated(own, splits[1:]).select(F.col("g").alias("part_g"), "c1", "c2", "a", "b")
+            parts = parts.select("part_g", *(F.conv(F.substring("h", i, 15), 16, 10).cast("long").alias(f"p{c}") for c, i in (("c1", 1), ("c2", 17))), "g", F.col("c1").alias("own_c1"), F.col("c2").alias("own_c2"), "at")
+            met = parts.join(marks.withColumnsRenamed({"c1": "pc1", "c2": "pc2"}), ["part_g", "pc1", "pc2"])
+            found = met.select("g", F.col("own_c1").alias("c1"), F.col("own_c2").alias("c2"), (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
+    index = cool.select("g", "c1", "c2", "n", "ctx").repartition(n, "g").sortWithinPartitions("g").mapInArrow(_index, "g long, c1 long, c2 long, a int, b int")
+    return index if found is None else index.unionAll(found)
 
 
 def intervals(docs: DataFrame) -> DataFrame:
-    """Byte intervals (doc_id, th, s, e) whose windows occur more than once; they overlap."""
-    schema = "ah long, ch long, doc_id long, th int, p int, s int, e int, n int"
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_anchors, schema), "anchors")
-    once = rows.filter("n = 0").select("doc_id", "th", "s", "e")
-    owned = rows.filter("n > 0")
-    seen = owned.groupBy("ah").agg(F.sum("n").alias("all_n"), F.min("ch").alias("c0"), F.max("ch").alias("c1")).filter("all_n > 1")
-    again = owned.join(seen.select("ah", (F.col("c0") == F.col("c1")).alias("alike")), "ah")
-    again = cut(again, "repeated-anchors")
-    whole = F.col("e") + LENGTH
-    alike = again.filter("alike and n = 1").select("doc_id", "th", "s", whole.alias("e"))
-    mixed = again.filter("not alike").drop("alike")
+    """Byte intervals (k1, k2, s, e) whose windows occur more than once; they overlap."""
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_anchors, ANCHORS), "anchors")
+    seen = rows.groupBy("ah").agg(F.sum("n").alias("all_n")).filter("all_n > 1").select("ah")
+    again = cut(rows.join(seen, "ah"), "repeated-anchors")
     # one of each surroundings stands for its copies
-    kinds = cut(mixed.groupBy("ah", "ch").agg(F.sum("n").alias("all_n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "p", "s", "e")).alias("rep")), "surroundings")
-    copies = mixed.filter("n = 1").join(kinds.filter("all_n > 1").select("ah", "ch"), ["ah", "ch"]).select("doc_id", "th", "s", whole.alias("e"))
-    wants = kinds.select("ah", F.least("all_n", F.lit(2)).cast("int").alias("n"), "rep.doc_id", "rep.th", "rep.p", "rep.s", "rep.e")
-    wants = wants.groupBy("doc_id", "th").agg(F.collect_list(F.struct("ah", "n", "p", "s", "e")).alias("wants"))
-    texts = _packed(docs).alias("t").join(wants.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.th") == F.col("w.th"))).select("t.doc_id", "t.th", "t.z", "w.wants")
-    todo = cut(texts.mapInArrow(_surroundings, "g long, n int, ctx binary, doc_id long, th int, s int, p int"), "texts")
-    n = tasks(docs.sparkSession)
-
-    def divided(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        hot = rows.groupBy("g").count().filter(F.col("count") > HOT_GROUP).select("g", F.lit(True).alias("hot"))
-        both = rows.join(hot, "g", "left")
-        return both.filter("hot is null").drop("hot"), both.filter("hot").drop("hot")
-
-    cool, hot = divided(todo)
-    # most parts of a hot group's surroundings are alike: those are covered, and one of each goes on
-    parts = cut(_split(hot, SPLIT).withColumn("h", F.md5("ctx")), "split")
-    whole_part = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "s")
-    parts = cut(parts.join(parts.groupBy("g", "h").agg(F.sum("n").alias("all_n"), F.min(whole_part).alias("rep")), ["g", "h"]), "split")
-    alike_parts = parts.filter("n = 1 and all_n > 1").select("doc_id", "th", "s", (F.col("s") + F.length("ctx")).alias("e"))
-    one_each = parts.filter(whole_part.eqNullSafe(F.col("rep"))).withColumn("n", F.least("all_n", F.lit(2)).cast("int")).drop("h", "all_n", "rep")
-    cool_2, hot_2 = divided(one_each)
-    few = cool.unionAll(cool_2)
-    indexed = few.select("g", "n", "ctx", "doc_id", "th", "s").repartition(n, "g").sortWithinPartitions("g").mapInArrow(_index, f"{ROW}, s int, e int")
-    windows = _split(hot_2, 1).select(F.md5("ctx").alias("h"), "n", "doc_id", "th", "s")
-    twice = windows.groupBy("h").agg(F.sum("n").alias("all_n")).filter("all_n > 1").select("h")
-    single = windows.filter("n = 1").join(twice, "h").select("doc_id", "th", "s", (F.col("s") + LENGTH).alias("e"))
-    return once.unionAll(alike).unionAll(copies).unionAll(indexed).unionAll(alike_parts).unionAll(single)
+    same = ["ah", "c1", "c2"]
+    kinds = again.groupBy(*same).agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.min(F.struct("k1", "k2", "p", "s", "size")).alias("rep"))
+    wants = kinds.groupBy("rep.k1", "rep.k2").agg(F.collect_list(F.struct(*same, "n", "rep.p", "rep.s", "rep.size")).alias("wants"))
+    texts = _packed(docs).groupBy("k1", "k2").agg(F.first("z").alias("z")).join(wants, ["k1", "k2"]).select("z", "wants")
+    marks = repeated(cut(texts.mapInArrow(_surroundings, KINDS), "texts")).withColumnRenamed("g", "ah")
+    met = again.select(*same, "k1", "k2", "s", "more").join(marks, same)
+    places = F.concat(F.array(F.struct("k1", "k2", "s")), F.coalesce("more", F.array().cast("array<struct<k1:long,k2:long,s:int>>")))
+    return met.select(F.explode(places).alias("x"), "a", "b").select("x.k1", "x.k2", (F.col("x.s") + F.col("a")).alias("s"), (F.col("x.s") + F.col("b")).alias("e"))
 
 
 def dedup(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``with_text`` also text (what is left, whole characters), and the columns in ``keep``."""
-    found = intervals(docs).groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    texts = _packed(docs, keep).alias("t")
-    on = F.col("t.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("t.th") == F.col("f.th"))
-    joined = texts.join(found.alias("f"), on, "left").select("t.doc_id", "t.z", "f.spans", *[f"t.k_{x}" for x in keep])
+    found = intervals(docs).groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    joined = _packed(docs, keep).join(found, ["k1", "k2"], "left").select("doc_id", "z", "spans", *[f"k_{x}" for x in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
@@ -304,11 +321,11 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool = False)
             out: list[list] = [[], [], [], [], []]
             for z, spans in zip(b["z"].to_pylist(), b["spans"].to_pylist()):
                 raw = d.decompress(z) if z else b""
-                s, e = np.array([(x["s"], x["e"]) for x in spans or ()], np.int64).reshape(-1, 2).T
-                _, s, e = _merged(np.zeros(len(s), np.int64), s, e)
-                if len(s):  # runs that touch are one run
-                    apart = np.r_[True, s[1:] > e[:-1]]
-                    s, e = s[apart], e[np.r_[np.flatnonzero(apart)[1:] - 1, len(e) - 1]]
+                s, e = np.array(sorted((x["s"], x["e"]) for x in spans or ()), np.int64).reshape(-1, 2).T
+                if len(s):  # runs that overlap or touch are one run
+                    reach = np.maximum.accumulate(e)
+                    new = np.r_[True, s[1:] > reach[:-1]]
+                    s, e = s[new], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(s) - 1]]
                 kept = b"".join(raw[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(raw)]))
                 values = (len(raw), int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest(), None if z is None else kept.decode(errors="ignore"))
                 for column, v in zip(out, values):

@@ -292,15 +292,23 @@ def test_repeats_of_shared_passages(spark, monkeypatch, hot):
 
 def test_run_ends_give_all_matching_statistics():
     rng = np.random.default_rng(4)
-    texts = [bytes(rng.choice(list(b"ab"), int(n)).astype(np.uint8)) for n in rng.integers(0, 40, 30)] + [b"ab" * 50, b"ab" * 50, b""]
-    order, shared = suffix.matching_statistics(texts)
-    ends, whole = np.cumsum([len(t) + 1 for t in texts]), b"".join(t + b"\0" for t in texts)
-    end_of = lambda i: int(ends[np.searchsorted(ends, i, side="right")]) - 1
-    suffixes = [whole[i : end_of(i)] for i in order]
-    for k in range(1, len(order)):
-        a, b = suffixes[k - 1], suffixes[k]
-        n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        assert shared[k] == n
+    texts = [bytes(rng.choice(list(b"ab"), int(n)).astype(np.uint8)) for n in rng.integers(0, 40, 30)] + [b"ab" * 50, b"ab" * 50, b"", b"xyz" * 9]
+    weights = [1] * (len(texts) - 1) + [2]
+    index = suffix.RunIndex(texts, weights)
+    assert int(index.run_lengths.sum()) == sum(len(t) + 1 for t in texts) > 1.5 * len(index.run_symbols)
+    suffixes = [(k, i, t[i:]) for k, t in enumerate(texts) for i in range(len(t))]
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    for k, t in enumerate(texts):
+        got = index.matches(k)
+        assert len(got) == len(t)
+        for i in range(len(t)):
+            best = max(common(t[i:], x) for j, at, x in suffixes if (j, at) != (k, i))
+            assert got[i] == (len(t) - i if weights[k] > 1 else best)
+
+
+def test_no_byte_is_marked_without_the_index(hard_docs, monkeypatch):
+    monkeypatch.setattr(suffix, "marked", lambda texts, weights: [np.empty(0, np.int64)] * len(texts))
+    assert {r["n_removed"] for r in suffix.dedup(hard_docs).collect()} == {0}
 
 
 # op10
