@@ -1,14 +1,18 @@
 """SimHash near-dedup: vantage-point trees over 64-bit fingerprints.
 
-Fingerprints that differ in at most 4 bits agree on at least one of 5 bit blocks, so a shard for each block value holds
-every link at distance 0 in its block: the ring of radius 0 about the block's value. In a shard, a vantage-point tree
-splits the fingerprints by Hamming distance; the triangle bound leaves only fingerprints near a boundary to be compared
-across it. A shard of too many fingerprints is dealt again by blocks of its other bits. Each shard gives a spanning
-forest of its links, never all pairs, and contraction joins the forests into components.
+Distances between unrelated fingerprints lie close about 32, so a boundary of 4 bits on either side of it would copy over a
+third of all fingerprints at every split and prune next to nothing. The trees that deal all fingerprints out therefore
+measure thirds: two fingerprints within 4 bits are within 1 bit in one of three blocks. For each block a tree of vantage
+points, learned from a bounded sample, splits by the Hamming distance of that block; fingerprints within 1 bit of a
+boundary go to both sides, so every link lies whole in a shard. A shard of too many fingerprints is dealt again by trees
+over the other two blocks, in one of which a link keeps within 2 bits. Inside a shard a vantage-point tree over whole
+fingerprints joins it with itself: the triangle bound leaves only fingerprints near a boundary to be compared across it,
+and all within 4 bits of a vantage point are one class at once, so that dense clouds are not compared pair by pair. Each
+shard gives a spanning forest of its links, never all pairs, and contraction joins the forests into components.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; repeated rows each get a
-row; a null doc_id takes part but never names a component (a component of null ids only has a null component_id);
-other columns are ignored.
+row; a null doc_id takes part but never names a component (a component of null ids only has a null component_id); an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +28,10 @@ from pyspark.sql import functions as F
 from loglake.llm.common import cut, table, tasks
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and bits: one more block than RADIUS
-HOT_SHARD = 4096
+BLOCKS = ((0, 22), (22, 21), (43, 21))  # first bit and bits
+SAMPLE = 131_072  # fingerprints that trees are learned from, at most
+SHARD = 1024  # fingerprints of a shard, about
+HOT_SHARD = 16_384
 LEAF = 256
 
 
@@ -83,44 +89,120 @@ def tree_links(fp: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> np.nda
         if len(a) <= leaf or (b is not None and len(b) <= leaf):
             compare(a, a if b is None else b)
             continue
-        vantage = fp[a[0]]
-        da = np.bitwise_count(fp[a] ^ vantage).astype(np.int64)
-        db = da if b is None else np.bitwise_count(fp[b] ^ vantage).astype(np.int64)
+        da = np.bitwise_count(fp[a] ^ fp[a[0]]).astype(np.int64)
+        db = da if b is None else np.bitwise_count(fp[b] ^ fp[a[0]]).astype(np.int64)
+        for x, d in ((a, da), (b, db)):  # the ball about the vantage point is one class
+            if x is not None:
+                ball = x[d <= radius]
+                merge(label, np.full(len(ball), a[0]), ball)
         mid = int(np.median(da))
-        near, far = da <= mid, da > mid
-        if not far.any():
-            near, far = da < mid, da >= mid
+        if b is None and (da <= radius).mean() >= 0.1:  # a dense cloud: split off the ball, in which nothing is left to compare
+            mid = radius
+        elif not (da > mid).any():
             mid -= 1
-        if not near.any() or not far.any():
+        near, far = da <= mid, da > mid
+        if not near.any() or b is not None and not far.any():
             compare(a, a if b is None else b)
             continue
         edge_near, edge_far = da > mid - radius, da <= mid + radius
         if b is None:
-            todo += [(a[near], None), (a[far], None), (a[near & edge_near], a[far & edge_far])]
+            pairs = [(a[near], None), (a[far], None), (a[near & edge_near], a[far & edge_far])]
         else:
             near_b, far_b, edge_b, edge_far_b = db <= mid, db > mid, db > mid - radius, db <= mid + radius
-            pairs = ((near, near_b), (far, far_b), (near & edge_near, far_b & edge_far_b), (far & edge_far, near_b & edge_b))
-            todo += [(a[x], b[y]) for x, y in pairs if x.any() and y.any()]
+            pairs = [(a[near], b[near_b]), (a[far], b[far_b]), (a[near & edge_near], b[far_b & edge_far_b]), (a[far & edge_far], b[near_b & edge_b])]
+        todo += [(x, y) for x, y in pairs[mid <= radius :] if len(x) and (y is None or len(y))]
     return label
 
 
-def _block(fp: Column, first: int, bits: int) -> Column:
-    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1))
+def learn_tree(values: np.ndarray, edge: int, most: float) -> list[tuple[int, int, int, int]]:
+    """Nodes (vantage point, distance, near child, far child) of a tree over a sample; a child under 0 is the shard -1 - child.
+
+    A node is split while its part of the sample is over ``most``, at the distance that leaves the least to compare,
+    those within ``edge`` beyond it counted on both sides.
+    """
+    nodes: list[list[int]] = []
+    shards = 0
+    todo = [(values, -1, 0)]  # values, parent, which of its children
+    while todo:
+        own, parent, side = todo.pop()
+        best = None
+        if len(own) > max(most, 8):
+            d = np.bitwise_count(own ^ own[len(own) // 2]).astype(np.int64)
+            upto = np.cumsum(np.bincount(d, minlength=65))
+            near, far = upto[np.minimum(np.arange(65) + edge, 64)], len(own) - upto
+            cost = near.astype(float) ** 2 + far.astype(float) ** 2
+            mid = int(cost.argmin())
+            if max(near[mid], far[mid]) < 0.9 * len(own) and far[mid]:
+                best = mid
+        at = len(nodes) if best is not None else -1 - shards
+        if parent >= 0:
+            nodes[parent][2 + side] = at
+        if best is None:
+            shards += 1
+            continue
+        nodes.append([int(own[len(own) // 2]), best, 0, 0])
+        todo += [(own[d <= best + edge], at, 0), (own[d > best], at, 1)]
+    return [tuple(x) for x in nodes]
+
+
+def deal(values: np.ndarray, tree: list[tuple[int, int, int, int]], edge: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The shards of the tree, and the places of the values in each."""
+    todo = [(0 if tree else -1, np.arange(len(values)))]
+    while todo:
+        at, own = todo.pop()
+        if not len(own):
+            continue
+        if at < 0:
+            yield -1 - at, own
+            continue
+        vantage, mid, near, far = tree[at]
+        d = np.bitwise_count(values[own] ^ np.uint64(vantage))
+        todo += [(near, own[d <= mid + edge]), (far, own[d > mid])]
+
+
+def _block(fp: np.ndarray, j: int) -> np.ndarray:
+    first, bits = BLOCKS[j]
+    return fp.view(np.uint64) >> np.uint64(first) & np.uint64((1 << bits) - 1)
+
+
+def _trees(fps: DataFrame, n: int, edge: int) -> list[list[tuple[int, int, int, int]]]:
+    """A tree for each block; fps: fp, of which ``n`` at most can meet in one shard."""
+    sample = np.array([r["fp"] for r in fps.orderBy(F.xxhash64("fp", F.lit("sample"))).limit(SAMPLE).collect()], np.int64)
+    return [learn_tree(_block(sample, j), edge, len(sample) * SHARD / max(n, 1)) for j in range(len(BLOCKS))]
+
+
+def _dealt(rows: DataFrame, trees: list, edge: int, others: bool) -> DataFrame:
+    """rows: shard, fp. To finer shards, by the tree of each block; with ``others`` by those of the blocks that the shard's own isn't."""
+    shared = rows.sparkSession.sparkContext.broadcast(trees)  # nodes are fewer than 3 * SAMPLE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shard, fp = b["shard"].to_numpy(), b["fp"].to_numpy()
+            for j, tree in enumerate(shared.value):
+                own = np.flatnonzero(shard % 3 != j) if others else np.arange(len(fp))
+                leaves = list(deal(_block(fp[own], j), tree, edge))
+                if leaves:
+                    at = own[np.concatenate([x for _, x in leaves])]
+                    leaf = np.repeat([x for x, _ in leaves], [len(x) for _, x in leaves])
+                    # the last digit (of base 3) names the block
+                    finer = (shard[at] * 1_000_003 + leaf) % (1 << 58) * 3 + j
+                    yield pa.RecordBatch.from_arrays([pa.array(finer), pa.array(fp[at])], ["shard", "fp"])
+
+    return rows.mapInArrow(run, "shard long, fp long")
 
 
 def _shards(fps: DataFrame) -> DataFrame:
-    """fp by shard; a shard over HOT_SHARD fingerprints is dealt by 5 blocks of its other bits (they hold all the differing bits)."""
-    dealt = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), _block(F.col("fp"), *b).alias("v")) for j, b in enumerate(BLOCKS)])).alias("s")).select("fp", "s.j", "s.v")
-    hot = dealt.groupBy("j", "v").count().filter(F.col("count") > HOT_SHARD).select("j", "v", F.lit(True).alias("hot"))
-    fp, width = F.col("fp"), 11  # 5 * 11 bits hold what a block leaves
-    rest = F.lit(0).cast("long")
-    for j, (first, bits) in enumerate(BLOCKS):
-        low = fp.bitwiseAND(F.lit((1 << first) - 1))
-        left = low.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, first + bits), first)) if first + bits < 64 else low
-        rest = F.when(F.col("j") == j, left).otherwise(rest)
-    again = F.array(*[F.xxhash64("j", "v", F.lit(k), _block(rest, k * width, width)) for k in range(5)])
-    own = F.array(F.col("j") * F.lit(1 << 20) + F.col("v"))
-    return dealt.join(hot, ["j", "v"], "left").select("fp", F.explode(F.when(F.col("hot"), again).otherwise(own)).alias("shard"))
+    """shard, fp: every link lies whole in at least one shard."""
+    n = fps.count()
+    dealt = cut(_dealt(fps.select(F.lit(0).cast("long").alias("shard"), "fp"), _trees(fps, n, RADIUS // 3), RADIUS // 3, False), "shards")
+    counts = cut(dealt.groupBy("shard").count().filter(F.col("count") > HOT_SHARD), "hot-shards")
+    most = counts.agg(F.max("count")).first()[0]
+    if most is None:
+        return dealt
+    both = dealt.join(counts.select("shard", F.lit(True).alias("hot")), "shard", "left")
+    hot = cut(both.filter("hot").select("shard", "fp"), "hot")
+    finer = _dealt(hot, _trees(hot.select("fp").distinct(), most, RADIUS // 2), RADIUS // 2, True)
+    return both.filter("hot is null").select("shard", "fp").unionAll(finer)
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -134,6 +216,7 @@ def links(fps: DataFrame) -> DataFrame:
             for own in np.split(f, np.flatnonzero(np.diff(s)) + 1):
                 if len(own) < 2:
                     continue
+                own = np.unique(own)
                 label = tree_links(own.view(np.uint64))
                 member = np.flatnonzero(label != np.arange(len(own)))
                 if len(member):
@@ -153,8 +236,7 @@ def links(fps: DataFrame) -> DataFrame:
         if len(held_s):
             yield edges(held_s, held_f)
 
-    n = tasks(fps.sparkSession)
-    dealt = _shards(fps).repartition(n, "shard").sortWithinPartitions("shard", "fp")
+    dealt = _shards(fps).repartition(tasks(fps.sparkSession), "shard").sortWithinPartitions("shard", "fp")
     return dealt.select("shard", "fp").mapInArrow(run, "a long, b long")
 
 
@@ -189,7 +271,8 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
     roots = components(links(fps.select("fp")))
     named = cut(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "named")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written, so that the join can split a component of very many fingerprints
+    least = cut(named.groupBy("root").agg(F.min("first").alias("component_id")), "components")
     of_fp = named.join(least, "root").select("fp", "component_id", "root")
     return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id", "root", *keep)
 

@@ -225,10 +225,40 @@ def test_vantage_point_tree_finds_all_links():
     assert (simhash.tree_links(fp, leaf=16) == brute_classes(fp)).all()
 
 
-def test_hot_shards_are_dealt_again(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "HOT_SHARD", 8)
+def test_dense_clouds_are_one_class_at_once():
+    rng = np.random.default_rng(8)
+    fp = rng.integers(0, 1 << 63, 1, np.uint64)
+    for _ in range(3):  # all within 6 bits of one fingerprint, and a few far away
+        fp = np.unique(np.r_[fp, np.repeat(fp, 12) ^ np.uint64(1) << rng.integers(0, 64, 12 * len(fp), np.uint64)])
+    fp = np.unique(np.r_[fp, near_fingerprints(rng, 30, 5)])
+    assert len(fp) > 1500 and (simhash.tree_links(fp, leaf=8) == brute_classes(fp)).all()
+
+
+def test_trees_split_and_keep_links_whole():
+    rng = np.random.default_rng(9)
+    fp = near_fingerprints(rng, 3000, 4).view(np.int64)
+    a, b = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4)
+    together = np.zeros(len(a), bool)
+    for j in range(3):
+        values = simhash._block(fp, j)
+        tree = simhash.learn_tree(values[::3], 1, len(fp) / 3 * 64 / len(fp))
+        shards = list(simhash.deal(values, tree, 1))
+        assert len(tree) + 1 == len(shards) > 50 and max(len(x) for _, x in shards) < len(fp) / 4
+        assert len(set(np.concatenate([x for _, x in shards]).tolist())) == len(fp)
+        for _, own in shards:
+            inside = np.isin(np.arange(len(fp)), own)
+            together |= inside[a] & inside[b]
+    assert len(a) > len(fp) and together.all()
+
+
+@pytest.mark.parametrize("hot", [20, 1 << 20])
+def test_shards_find_all_links(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_SHARD", hot)
+    monkeypatch.setattr(simhash, "SHARD", 16)
     fp = near_fingerprints(np.random.default_rng(2), 10, 60)
     df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    dealt = simhash._shards(df)
+    assert dealt.select("shard").distinct().count() > 30
     roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df)).collect()}
     place = {int(x): i for i, x in enumerate(fp.view(np.int64))}
     label = np.arange(len(fp))
