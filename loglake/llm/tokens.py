@@ -1,12 +1,15 @@
 """Edit-aware token counts.
 
 A document is cut into pre-tokens by the tokenizer's pattern, and a segment tree over them sums token counts and
-lengths. An edit finds its place by walking the tree, cuts anew from a few pre-tokens before it until the cuts meet the
-old ones again, encodes only the new pre-tokens, and updates the sums on the way to the root.
+lengths. Trees are rows of a table, which is kept between batches of edits: ``build_trees`` makes it, ``apply_edits``
+gives the next one. An edit finds its place by walking the tree, cuts anew from a few pre-tokens before it until the
+cuts meet the old ones again, encodes only the new pre-tokens, and updates the sums on the way to the root. Leaves hold
+their own text, so an edit copies the leaves that it touches only.
 
 Defined cases: a null or empty text has no tokens; edits out of range are clamped to the text; null insertions insert
 nothing; edits of a document apply in order of ``seq``, each to the text that the one before left; repeated documents
-rows each get all edits of their id; edits of unknown documents are ignored; other columns are ignored.
+rows each get all edits of their id; a null doc_id has no edits; edits of unknown documents are ignored; an empty table
+gives no rows; other columns are ignored. All edits of one document in one batch are applied in one task.
 """
 
 from __future__ import annotations
@@ -14,13 +17,15 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.llm.common import table
+from loglake.llm.common import slices, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that this vocabulary's pre-tokens follow.
@@ -48,20 +53,51 @@ class Counter:
 
 
 class Tree:
-    """Leaves of up to 2 * BLOCK pre-tokens under a binary tree of (characters, tokens) sums."""
+    """Leaves (text, sizes, counts) of up to 2 * BLOCK pre-tokens under a binary tree of (characters, tokens) sums."""
 
-    def __init__(self, text: str, counter: Counter) -> None:
-        self.text, self.counter = text, counter
-        tokens = counter.cut.findall(text)
-        sizes, counts = [len(t) for t in tokens], [counter.count(t) for t in tokens]
+    def __init__(self, leaves: list[tuple[str, list[int], list[int]]], counter: Counter) -> None:
+        self.counter = counter
         self.encoded = 0  # characters encoded by edits
-        self._build([(sizes[i : i + BLOCK], counts[i : i + BLOCK]) for i in range(0, len(tokens), BLOCK)] or [([], [])])
-
-    def _build(self, leaves: list[tuple[list[int], list[int]]]) -> None:
+        self._build(leaves or [("", [], [])])
+
+    @staticmethod
+    def leaves_of(text: str, sizes: list[int], counts: list[int]) -> list[tuple[str, list[int], list[int]]]:
+        out, at = [], 0
+        for i in range(0, len(sizes), BLOCK):
+            n = sum(sizes[i : i + BLOCK])
+            out.append((text[at : at + n], sizes[i : i + BLOCK], counts[i : i + BLOCK]))
+            at += n
+        return out
+
+    @classmethod
+    def of(cls, text: str, counter: Counter) -> Tree:
+        tokens = counter.cut.findall(text)
+        return cls(cls.leaves_of(text, [len(t) for t in tokens], [counter.count(t) for t in tokens]), counter)
+
+    def pack(self) -> bytes:
+        """The tree as compressed bytes; ``unpack`` gives it back without encoding anything."""
+        sizes, counts = ([x for leaf in self.leaves for x in leaf[k]] for k in (1, 2))
+        numbers = np.array([len(self.leaves), len(sizes), *(len(leaf[1]) for leaf in self.leaves), *sizes, *counts], "<i4")
+        return zstandard.compress(numbers.tobytes() + "".join(leaf[0] for leaf in self.leaves).encode(), 1)
+
+    @classmethod
+    def unpack(cls, packed: bytes, counter: Counter) -> Tree:
+        raw = zstandard.decompress(packed)
+        m, n = np.frombuffer(raw, "<i4", 2).tolist()
+        numbers = np.frombuffer(raw, "<i4", m + 2 * n, 8).tolist()
+        text, leaves, at, place = raw[4 * (2 + m + 2 * n) :].decode(), [], m, 0
+        for size in numbers[:m]:
+            sizes = numbers[at : at + size]
+            end = place + sum(sizes)
+            leaves.append((text[place:end], sizes, numbers[at + n : at + n + size]))
+            at, place = at + size, end
+        return cls(leaves, counter)
+
+    def _build(self, leaves: list[tuple[str, list[int], list[int]]]) -> None:
         self.leaves, self.width = leaves, 1 << max(0, len(leaves) - 1).bit_length()
         self.sums = [(0, 0)] * (2 * self.width)
-        for i, (sizes, counts) in enumerate(leaves):
-            self.sums[self.width + i] = (sum(sizes), sum(counts))
+        for i, (text, _, counts) in enumerate(leaves):
+            self.sums[self.width + i] = (len(text), sum(counts))
         for i in range(self.width - 1, 0, -1):
             self._sum(i)
 
@@ -69,6 +105,10 @@ class Tree:
         (a, b), (c, d) = self.sums[2 * i], self.sums[2 * i + 1]
         self.sums[i] = (a + c, b + d)
 
+    @property
+    def characters(self) -> int:
+        return self.sums[1][0]
+
     @property
     def tokens(self) -> int:
         return self.sums[1][1]
@@ -84,56 +124,60 @@ class Tree:
         return i - self.width, start
 
     def replace(self, at: int, deleted: int, inserted: str) -> None:
-        at = min(max(at, 0), len(self.text))
-        deleted = min(max(deleted, 0), len(self.text) - at)
-        text = self.text[:at] + inserted + self.text[at + deleted :]
-        shift, settled = len(inserted) - deleted, at + len(inserted)
+        at = min(max(at, 0), self.characters)
+        deleted = min(max(deleted, 0), self.characters - at)
         first, begin = self._leaf_at(max(0, at - MARGIN))
-        kept_sizes, kept_counts = [], []
-        start = begin
-        for size, n in zip(*self.leaves[first]):  # pre-tokens that end well before the edit stay
-            if start + size + MARGIN > at:
-                break
-            kept_sizes.append(size)
-            kept_counts.append(n)
-            start += size
-        # old cuts after the edit, by their new places
-        last, old = self._leaf_at(at + deleted)
-        j = 0
-        new_sizes, new_counts, place = [], [], start
-        old += shift
+        stop, reach = self._leaf_at(at + deleted)[0] + 2, 2
+        while not self._cut_anew(first, begin, min(stop, len(self.leaves)), at, deleted, inserted):
+            stop, reach = stop + reach, 2 * reach  # the cuts didn't meet inside: more leaves
+
+    def _cut_anew(self, first: int, begin: int, stop: int, at: int, deleted: int, inserted: str) -> bool:
+        """The edit inside leaves first..stop-1, whose text begins at ``begin``; False if new cuts don't meet old ones in them."""
+        own = self.leaves[first:stop]
+        old = "".join(leaf[0] for leaf in own)
+        text = old[: at - begin] + inserted + old[at - begin + deleted :]
+        sizes, counts = ([x for leaf in own for x in leaf[k]] for k in (1, 2))
+        kept, place = 0, 0
+        while kept < len(sizes) and place + sizes[kept] + MARGIN <= at - begin:  # pre-tokens that end well before the edit stay
+            place += sizes[kept]
+            kept += 1
+        settled, j, cut = at - begin + len(inserted), kept, place + len(inserted) - deleted  # cut: an old cut by its new place
+        new_sizes, new_counts, encoded = [], [], 0
         while True:
-            while last < len(self.leaves):
-                sizes = self.leaves[last][0]
-                while j < len(sizes) and (old < place or old < settled):
-                    old += sizes[j]
-                    j += 1
-                if j < len(sizes) or last + 1 == len(self.leaves):
-                    break
-                last, j = last + 1, 0
-            if place == old and place >= settled or place >= len(text):
+            while j < len(sizes) and (cut < place or cut < settled):
+                cut += sizes[j]
+                j += 1
+            if place == cut and place >= settled and j < len(sizes):
+                break
+            if place >= len(text):
+                if stop < len(self.leaves):
+                    return False
+                j = len(sizes)
                 break
             m = self.counter.cut.match(text, place)
             token = m[0] if m else text[place:]
+            if place + len(token) + MARGIN > len(text) and stop < len(self.leaves):
+                return False  # what follows the leaves could change this cut
             new_sizes.append(len(token))
             new_counts.append(self.counter.count(token))
-            self.encoded += len(token)
+            encoded += len(token)
             place += len(token)
-        rest = self.leaves[last]
-        sizes, counts = kept_sizes + new_sizes + rest[0][j:], kept_counts + new_counts + rest[1][j:]
-        leaves = [(sizes[i : i + BLOCK], counts[i : i + BLOCK]) for i in range(0, len(sizes), BLOCK)] if len(sizes) > 2 * BLOCK else [(sizes, counts)]
-        self.text = text
-        if len(leaves) == 1:  # sums change on the way up from the leaves that changed
-            for i in range(first, last + 1):
-                self.leaves[i] = leaves[0] if i == first else ([], [])
-                self.sums[self.width + i] = (sum(self.leaves[i][0]), sum(self.leaves[i][1]))
-            changed = {(self.width + i) // 2 for i in range(first, last + 1)}
+        self.encoded += encoded
+        sizes, counts = sizes[:kept] + new_sizes + sizes[j:], counts[:kept] + new_counts + counts[j:]
+        leaves = self.leaves_of(text, sizes, counts)
+        if len(leaves) <= len(own):  # sums change on the way up from the leaves that changed
+            changed = set()
+            for i in range(first, stop):
+                self.leaves[i] = leaves[i - first] if i - first < len(leaves) else ("", [], [])
+                self.sums[self.width + i] = (len(self.leaves[i][0]), sum(self.leaves[i][2]))
+                changed.add((self.width + i) // 2)
             while changed and changed != {0}:
                 for i in changed:
                     self._sum(i)
                 changed = {i // 2 for i in changed}
         else:
-            self._build(self.leaves[:first] + leaves + self.leaves[last + 1 :])
+            self._build(self.leaves[:first] + leaves + self.leaves[stop:])
+        return True
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -141,36 +185,47 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def count_tokens(docs: DataFrame, edits: DataFrame | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens_before, n_tokens (after the edits), n_edits, n_chars (after), chars_encoded (by edits), in one row for each documents row.
+TREES = "doc_id long, n_tokens long, n_chars long, tree binary"
+
+
+def build_trees(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """A tree for each row: doc_id, n_tokens, n_chars, tree."""
+    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))  # one vocabulary: its size is fixed
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(ranks.value)
+        for b in slices(batches, "text"):
+            trees = [Tree.of(t.as_py() or "", counter) for t in b["text"]]
+            columns = [pa.array([f(t) for t in trees], kind) for f, kind in ((lambda t: t.tokens, pa.int64()), (lambda t: t.characters, pa.int64()), (Tree.pack, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *columns], ["doc_id", "n_tokens", "n_chars", "tree"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, TREES)
 
-    edits: doc_id, seq, at, deleted, inserted.
-    """
-    spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))  # one vocabulary: its size is fixed
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if edits is not None:
-        own = edits.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("seq", F.col("at").cast("int").alias("at"), F.col("deleted").cast("int").alias("deleted"), "inserted"))).alias("edits"))
-        rows = rows.join(own, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "edits")
-    else:
-        rows = rows.withColumn("edits", F.array().cast("array<struct<seq:int,at:int,deleted:int,inserted:string>>"))
-    return rows.mapInArrow(_counts(ranks), "doc_id long, n_tokens_before long, n_tokens long, n_edits long, n_chars long, chars_encoded long")
 
+def apply_edits(trees: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The trees after a batch of edits (doc_id, seq, at, deleted, inserted), with n_tokens_before, n_edits and chars_encoded of this batch."""
+    ranks = trees.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
+    edit = F.struct("seq", F.col("at").cast("int").alias("at"), F.col("deleted").cast("int").alias("deleted"), "inserted")
+    own = edits.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.array_sort(F.collect_list(edit)).alias("edits"))
+    rows = trees.select("doc_id", "n_tokens", "n_chars", "tree").join(own, F.col("doc_id") == F.col("__id"), "left").drop("__id")
 
-def _counts(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(ranks.value)
-        for b in batches:
+        for b in slices(batches, "tree", 1 << 20):
             out = []
-            for text, edits in zip(b["text"].to_pylist(), b["edits"].to_pylist()):
-                tree = Tree(text or "", counter)
-                before = tree.tokens
-                for e in edits or ():
+            for tokens, chars, packed, todo in zip(*(b[c].to_pylist() for c in ("n_tokens", "n_chars", "tree", "edits"))):
+                if not todo:
+                    out.append((tokens, chars, packed, tokens, 0, 0))
+                    continue
+                tree = Tree.unpack(packed, counter)
+                for e in todo:
                     tree.replace(e["at"] or 0, e["deleted"] or 0, e["inserted"] or "")
-                out.append((before, tree.tokens, len(edits or ()), len(tree.text), tree.encoded))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *[pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)]], ["doc_id", "n_tokens_before", "n_tokens", "n_edits", "n_chars", "chars_encoded"])
+                out.append((tree.tokens, tree.characters, tree.pack(), tokens, len(todo), tree.encoded))
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, types)]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *columns], ["doc_id", "n_tokens", "n_chars", "tree", "n_tokens_before", "n_edits", "chars_encoded"])
 
-    return run
+    return rows.mapInArrow(run, f"{TREES}, n_tokens_before long, n_edits long, chars_encoded long")
 
 
 def planned_edits(docs: DataFrame) -> DataFrame:
@@ -186,4 +241,5 @@ def planned_edits(docs: DataFrame) -> DataFrame:
 
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return count_tokens(docs, planned_edits(docs))
+    edited = apply_edits(build_trees(docs), planned_edits(docs))
+    return edited.select("doc_id", "n_tokens_before", "n_tokens", "n_edits", "n_chars", "chars_encoded")

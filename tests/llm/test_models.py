@@ -163,3 +163,57 @@ def test_counts_and_base_scores_equal_sql(spark, small):
     got = ppm.op7_ppm(spark, small).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score").collect()
     assert max(r["doc_id"] for r in got) < 400
     assert [(*r[:4], round(r[4], 6)) for r in sorted(map(tuple, got))] == [(*r[:4], round(r[4], 6)) for r in sorted(want)]
+
+
+TEXTS = [None, "", " ", "one two  three\n\n\tfour", "don't won't we're 12345 x" * 40, "a" * 5000, "é́ 的的 \x00 👍🏽" * 30, "word " * 3000, "    " * 500]
+
+
+def edited(text, edits):
+    text = text or ""
+    for _, at, deleted, inserted in edits:
+        at = min(max(at, 0), len(text))
+        text = text[:at] + (inserted or "") + text[at + max(deleted, 0) :]
+    return text
+
+
+def test_trees_are_kept_between_batches(spark, monkeypatch, tmp_path):
+    """Nulls, repeated rows, long texts, edits out of range; a second batch reads the first one's table and encodes what it touches."""
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(tokens, "BLOCK", 8)
+    plain = tiktoken.Encoding("plain", pat_str=tokens.PATTERN, mergeable_ranks=tokens.load_ranks(tokens.VOCABULARY), special_tokens={})
+    rows = [(i, t, 7, "x") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], 7, "x"), (None, "no id", 7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, tree string")
+    pieces = ["", " ", "x", "'re", "\n\n", " new words ", "12", "的", None]
+    batches = [[(i, seq, int(rng.integers(-3, len(t or "") + 4)), int(rng.integers(-1, 30)), pieces[rng.integers(0, len(pieces))]) for i, t in enumerate(TEXTS) for seq in range(6)] for _ in range(2)]
+    trees, texts = tokens.build_trees(docs), {i: t for i, t, *_ in rows}
+    for k, batch in enumerate(batches):
+        edits = spark.createDataFrame([*batch, (99, 1, 0, 0, "x")], "doc_id long, seq int, at int, deleted int, inserted string")
+        tokens.apply_edits(trees, edits).write.parquet(f"{tmp_path}/{k}")
+        trees = spark.read.parquet(f"{tmp_path}/{k}")
+        before = dict(texts)
+        for i in range(len(TEXTS)):
+            texts[i] = edited(texts[i], [e[1:] for e in batch if e[0] == i])
+        for r in trees.collect():
+            text = texts[r["doc_id"]]
+            assert (r["n_tokens"], r["n_chars"]) == (len(plain.encode_ordinary(text or "")), len(text or ""))
+            assert r["n_tokens_before"] == len(plain.encode_ordinary(before[r["doc_id"]] or "")) and r["n_edits"] == (0 if r["doc_id"] is None else 6)
+            assert r["chars_encoded"] <= 6 * (30 + 40) or r["doc_id"] in (5, 8)  # one pre-token fills these texts
+        assert trees.count() == len(rows)
+    assert tokens.build_trees(docs.limit(0)).count() == 0 and tokens.apply_edits(trees, edits.limit(0)).agg({"n_edits": "sum"}).first()[0] == 0
+
+
+def test_random_edits_of_one_tree(monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK", 2)
+    counter, rng = tokens.Counter(tokens.load_ranks(tokens.VOCABULARY)), np.random.default_rng(12)
+    alphabet = list("ab c\n\t'e12. 的")
+    for _ in range(300):
+        text = "".join(rng.choice(alphabet, rng.integers(0, 60)))
+        tree = tokens.Tree.of(text, counter)
+        for _ in range(6):
+            at, deleted, inserted = int(rng.integers(-1, 62)), int(rng.integers(0, 12)), "".join(rng.choice(alphabet, rng.integers(0, 8)))
+            text = edited(text, [(0, at, deleted, inserted)])
+            tree.replace(at, deleted, inserted)
+            assert "".join(leaf[0] for leaf in tree.leaves) == text and tree.characters == len(text)
+            assert [n for leaf in tree.leaves for n in leaf[1]] == [len(t) for t in counter.cut.findall(text)]
+            assert tree.tokens == len(counter.encoding.encode_ordinary(text)) if text else tree.tokens == 0
+            tree = tokens.Tree.unpack(tree.pack(), counter)
