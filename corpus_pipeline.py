@@ -2,6 +2,10 @@
 
 Each stage takes the rows that the stage before kept, written as Parquet, and returns the columns of documents; the
 last adds what the mix takes of each row.
+
+Defined cases, in every stage: an empty table gives an empty table; a null text counts as empty and stays null; ids don't
+tell rows apart, so null and repeated ids are fine, and other columns than those of documents are left out. Repeated rows
+pass together, but near duplicates keep one of them.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglake.llm import decontaminate, mixing, quality, simhash, suffix
-from loglake.llm.common import cut, table
+from loglake.llm.common import cut, drop_work_tables, table, work_tables
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
@@ -59,7 +63,8 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to documents; each stage's rows are written in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), work_tables()
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        drop_work_tables(before, work_tables() - 1)  # all but the stage's result
     return STAGES[-1][1](spark, docs, sf_dir)

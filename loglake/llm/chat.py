@@ -6,8 +6,9 @@ chosen leaves walk back up by the same pointers to name the messages of their pa
 
 Defined cases: null text and null role are empty; a message whose parent is not there is a root; a message of a null
 conversation belongs to the conversation null; an empty table gives no rows; messages with the same id are one message
-(the first by role and text); other columns are ignored. Rows of a conversation are ordered by turn (null last), then
-role, then text.
+(the first by role and text); a message with a null id is a message of its own that none can answer, and gets an id under
+all others of its conversation; parents that form a cycle are an error (ValueError); other columns are ignored. Rows of a
+conversation are ordered by turn (null last), then role, then text. A conversation is one text in the end, and so one row.
 """
 
 from __future__ import annotations
@@ -73,18 +74,25 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
-    """messages: conv, id, parent, role, text, score. A row for each message of a chosen path: conv, leaf, rank, depth, role, text.
+    """messages: conv, id (long), parent, role, text, score. A row for each message of a chosen path: conv, leaf, rank, depth, role, text.
 
     ``branches`` best leaves by path score (ties: smaller leaf id) are chosen in each conversation; None keeps all.
     """
     order = Window.partitionBy("conv", "id").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    one = messages.select("conv", "id", "parent", "role", "text", "score").withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+    messages = messages.select("conv", "id", "parent", "role", "text", "score")
+    nameless = messages.filter("id is null")
+    if not nameless.isEmpty():
+        lows = messages.groupBy("conv").agg(F.least(F.coalesce(F.min("id"), F.lit(0)), F.lit(0)).alias("low")).select(F.col("conv").alias("c"), "low")
+        by = Window.partitionBy("conv").orderBy("parent", "role", "text", "score")
+        named = nameless.join(lows, F.col("conv").eqNullSafe(F.col("c"))).withColumn("id", F.col("low") - F.row_number().over(by))
+        messages = messages.filter("id is not null").unionByName(named.select(*messages.columns))
+    one = messages.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
     one = cut(one, "messages")
     same = lambda a, b, x, y: F.col(f"{a}.conv").eqNullSafe(F.col(f"{b}.conv")) & (F.col(f"{a}.{x}") == F.col(f"{b}.{y}"))
     heads = one.select("conv", "id").alias("p")
     up = one.alias("m").join(heads, same("m", "p", "parent", "id"), "left")
     # up: the message 2^k above, how many messages and how much score lie from here to below it
-    up = cut(up.select("m.conv", "m.id", F.col("p.id").alias("above"), F.lit(1).alias("depth"), F.coalesce("m.score", F.lit(0.0)).cast("double").alias("sum")), "up")
+    up = cut(up.select("m.conv", "m.id", F.col("p.id").alias("above"), F.lit(1).cast("long").alias("depth"), F.coalesce("m.score", F.lit(0.0)).cast("double").alias("sum")), "up")
     # a message at its root is settled; only the others are joined on, so that a few long branches cost few rows
     settled, rising = up.filter("above is null"), up.filter("above is not null")
     levels = [rising.select("conv", "id", "above")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where none is set, a temporary one in local mode, an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="loglake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -43,10 +46,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_work_tables() -> None:
-    """Delete every table that ``cut`` has written; results that are still lazy can't be read afterwards."""
-    while _work:
-        spark, path = _work.pop()
+def work_tables() -> int:
+    """How many tables ``cut`` has written that are still there."""
+    return len(_work)
+
+
+def drop_work_tables(first: int = 0, last: int | None = None) -> None:
+    """Delete the tables first..last-1 that ``cut`` has written; results that are still lazy can't be read afterwards."""
+    gone, _work[first:last] = _work[first:last], []
+    for spark, path in gone:
         try:
             hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)

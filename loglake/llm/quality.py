@@ -4,8 +4,8 @@ The trees are trained here, on the statistics of a bounded sample of labelled do
 (feature, threshold, children, value) that every task walks with numpy, one level of all documents at a time.
 
 Defined cases: a null text counts as empty and both get a score; a null doc_id is held out; labels of one doc_id are
-averaged and null labels ignored; without any label every score is 0.5; repeated rows each get a row; other columns
-are ignored.
+averaged and null labels ignored; of a doc_id with several texts the one of least hash teaches; without any label every
+score is 0.5; repeated rows each get a row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,7 +112,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != 0))
     known = known.groupBy("doc_id").agg(F.avg("quality").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select(F.col("doc_id").alias("__id"), "y")
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("text", "y", F.xxhash64("doc_id", "text").alias("k"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id")).withColumn("k", F.xxhash64("doc_id", "text"))
+    # a label teaches with one text, however many rows its id has
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.struct("k", "text")).alias("text"), F.first("y").alias("y"), F.min("k").alias("k")).select("text", "y", "k")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import duckdb
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -45,6 +46,15 @@ def test_branches_equal_a_plain_walk(spark):
     assert sorted(found, key=repr) == sorted(expected, key=repr)
 
 
+def test_nameless_messages_stay_and_cycles_are_an_error(spark):
+    rows = [(1, 5, None, "user", "a", 1.0), (1, None, 5, "assistant", "b", 2.0), (1, None, 5, "assistant", "b", 2.0), (1, None, None, "user", "c", 9.0), (2, None, 7, "user", "long " * 100_000, 0.0)]
+    found = [tuple(r) for r in chat.paths(spark.createDataFrame(rows, SCHEMA), branches=None).select("conv", "rank", "depth", "text").collect()]
+    assert sorted(found) == [(1, 1, 1, "c"), (1, 2, 1, "a"), (1, 2, 2, "b"), (1, 3, 1, "a"), (1, 3, 2, "b"), (2, 1, 1, "long " * 100_000)]
+    ring = spark.createDataFrame([(1, 1, 3, "user", "x", 0.0), (1, 2, 1, "user", "x", 0.0), (1, 3, 2, "user", "x", 0.0)], SCHEMA)
+    with pytest.raises(ValueError, match="cycle"):
+        chat.paths(ring)
+
+
 def test_no_messages(spark):
     assert chat.read_back(chat.format_paths(chat.paths(spark.createDataFrame([], SCHEMA)))).count() == 0
 
