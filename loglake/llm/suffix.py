@@ -129,24 +129,34 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Order of the suffixes by prefix doubling, and the ranks of their first 4, 8, 16... symbols. Each text ends in a symbol of its own."""
-    n, rank = len(symbols), symbols.astype(np.int64)
-    levels, h = [], 1
-    while True:
-        if h == 1 and rank.max() < (1 << 15) - 1:  # four symbols in one key
-            padded = np.r_[rank + 1, 0, 0, 0]
-            key, h = ((padded[:n] << 15 | padded[1 : n + 1]) << 15 | padded[2 : n + 2]) << 15 | padded[3 : n + 3], 4
-        else:
-            key = rank * (n + 2 + int(rank.max())) + np.r_[rank[h:] + 1, np.zeros(min(h, n), np.int64)][:n]
-            h *= 2
-        order = np.argsort(key)
-        sorted_key = key[order]
-        new = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
+    """Order of the suffixes by prefix doubling, and the ranks of their first h, 2h, 4h... symbols. symbols: small numbers over 0.
+
+    As many symbols as fit make the first key; after that only suffixes that still equal others are sorted on.
+    """
+    n, bits = len(symbols), int(symbols.max()).bit_length()
+    h, key = 63 // bits, np.zeros(n, np.int64)
+    padded = np.r_[symbols, np.zeros(h, np.int64)]
+    for k in range(h):
+        key = key << bits | padded[k : k + n]
+    order = np.argsort(key)
+    key, place, rank = key[order], np.arange(n), np.empty(n, np.int64)
+    new = np.r_[True, key[1:] != key[:-1]]
+    rank[order] = np.maximum.accumulate(np.where(new, place, 0))  # the number of suffixes before its group
+    levels, open_ = [(h, rank.astype(np.int32))], order[~(new & np.r_[new[1:], True])]
+    while len(open_):
+        after = open_ + h
+        key = rank[open_] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        sort = np.argsort(key)
+        open_, key = open_[sort], key[sort]
+        group, place = rank[open_], np.arange(len(open_))
+        new, old = np.r_[True, key[1:] != key[:-1]], np.r_[True, group[1:] != group[:-1]]
+        first = np.maximum.accumulate(np.where(old, place, 0))
+        order[group + place - first] = open_
+        rank[open_] = group + np.maximum.accumulate(np.where(new, place, 0)) - first
+        h *= 2
         levels.append((h, rank.astype(np.int32)))
-        if new.all():
-            return order, levels
+        open_ = open_[~(new & np.r_[new[1:], True])]
+    return order, levels
 
 
 def _common(levels: list[tuple[int, np.ndarray]], symbols: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -169,37 +179,45 @@ class RunIndex:
     """
 
     def __init__(self, texts: list[bytes], weights: list[int]) -> None:
-        m = len(texts)
         self.sizes, self.weights = np.array([len(t) for t in texts]), np.array(weights)
         self.base = np.cumsum(self.sizes + 1) - (self.sizes + 1)
-        symbols = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8).astype(np.int64) + m
-        symbols[self.base + self.sizes] = np.arange(m)  # every text ends in a symbol of its own
+        data = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8)
+        code = np.cumsum(np.bincount(data, minlength=256) > 0) + 1  # few different bytes make short symbols
+        symbols = code[data]
+        symbols[self.base + self.sizes] = 1  # the end of a text; what is shared beyond it does not count
         order, levels = suffix_array(symbols)
-        bwt = symbols[order - 1]
+        bwt = np.where(order > 0, symbols[order - 1], 0)
         head = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
         tail = np.r_[head[1:] - 1, len(bwt) - 1]
         shared = _common(levels, symbols, order[tail[:-1]], order[head[1:]])  # over the border between two runs
         self.run_symbols, self.run_lengths = bwt[head], tail - head + 1
         self.heads, self.tails = ((place[sort], length[sort]) for place, length in ((order[head], np.r_[0, shared]), (order[tail], np.r_[shared, 0])) for sort in [np.argsort(place)])
 
-    def matches(self, k: int) -> np.ndarray:
-        """Text k streamed past the samples: for each of its places the longest match elsewhere.
+    def matches(self, first: int, last: int) -> np.ndarray:
+        """Texts first..last-1, with their ends, streamed past the samples: for each place the longest match elsewhere.
 
         The neighbour of a suffix inside a run is the neighbour of the text's next place too, so from one sampled place
         to the next the shared length falls by one at each step.
         """
-        places = np.arange(self.base[k], self.base[k] + self.sizes[k])
-        best = self.base[k] + self.sizes[k] - places if self.weights[k] > 1 else np.zeros(len(places), np.int64)
-        for at, shared in (self.heads, self.tails):
-            last = np.searchsorted(at, places, side="right") - 1
-            best = np.maximum(best, np.where(last >= 0, shared[last] - (places - at[last]), 0))
-        return best
+        ends = np.repeat(self.base[first:last] + self.sizes[first:last], self.sizes[first:last] + 1)
+        places = np.arange(self.base[first], self.base[first] + len(ends))
+        rest, best = ends - places, np.zeros(len(places), np.int64)
+        for at, shared in (self.heads, self.tails):  # place 0 is a sample
+            latest = np.searchsorted(at, places, side="right") - 1
+            best = np.maximum(best, shared[latest] - (places - at[latest]))
+        copied = np.repeat(self.weights[first:last] > 1, self.sizes[first:last] + 1)
+        return np.where(copied, rest, np.minimum(best, rest))
 
 
-def marked(texts: list[bytes], weights: list[int], length: int = LENGTH) -> list[np.ndarray]:
+def marked(texts: list[bytes], weights: list[int], length: int = LENGTH, at_a_time: int = 256) -> list[np.ndarray]:
     """For each text the starts of windows of ``length`` bytes that occur more than once in all copies of all texts."""
-    index = RunIndex(texts, weights)
-    return [np.flatnonzero(index.matches(k) >= length) for k in range(len(texts))]
+    index, out = RunIndex(texts, weights), []
+    for first in range(0, len(texts), at_a_time):
+        last = min(first + at_a_time, len(texts))
+        hits = np.flatnonzero(index.matches(first, last) >= length)
+        base = index.base[first:last] - index.base[first]
+        out += [x - b for x, b in zip(np.split(hits, np.searchsorted(hits, base[1:])), base)]
+    return out
 
 
 _KIND = pa.schema([("g", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
@@ -262,7 +280,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _split(rows: DataFrame, width: int) -> DataFrame:
     """Deal windows by their distance to the anchor, ``width`` distances to a group, and by the bytes that those have in common.
 
-    A row for each part of a surroundings: its new group, and where it lies in what it is a part of (g, c1, c2, at).
+    A row for each part of a surroundings: its new group, its digest, and where it lies in what it is a part of (g, c1, c2, at, size).
     """
     far, near = F.col("p"), F.col("p") - (F.length("ctx") - LENGTH)  # distance of the anchor from the first start, and from the last
     k = F.explode(F.sequence(F.expr(f"greatest(p - length(ctx) + {LENGTH}, 0) div {width}").cast("int"), F.expr(f"p div {width}").cast("int"))).alias("k")
@@ -271,26 +289,33 @@ def _split(rows: DataFrame, width: int) -> DataFrame:
     part = F.substring("ctx", skip + 1, F.col("hi") - F.col("lo") + LENGTH)
     nearest, farthest = F.col("k") * width, F.col("k") * width + width - 1
     common = F.substring("ctx", F.greatest(far - nearest, F.lit(0)) + 1, LENGTH - farthest + nearest)
-    return rows.select(F.xxhash64("g", "k", common).alias("part_g"), F.md5(F.concat(F.col("hi").cast("string").cast("binary"), part)).alias("h"), "n", F.col("hi").alias("part_p"), part.alias("part"), "g", "c1", "c2", skip.alias("at"))
+    digest = F.md5(F.concat(F.col("hi").cast("string").cast("binary"), part))
+    half = lambda i: F.conv(F.substring(digest, i, 15), 16, 10).cast("long")
+    return rows.select(F.xxhash64("g", "k", common).alias("part_g"), half(1).alias("p1"), half(17).alias("p2"), "n", "g", "c1", "c2", skip.alias("at"), F.length(part).alias("size"), F.col("hi").alias("p"))
 
 
 def repeated(kinds: DataFrame, splits: tuple[int, ...] = SPLITS) -> DataFrame:
     """Intervals (g, c1, c2, a, b) of the surroundings ``kinds`` (KINDS, all different) whose windows occur more than once in their copies."""
     n = tasks(kinds.sparkSession)
-    cool, found = kinds, None
+    own, found = ["g", "c1", "c2"], None
+    cool = kinds
     if splits:
         hot = kinds.groupBy("g").count().filter(F.col("count") > HOT_GROUP).select("g", F.lit(True).alias("hot"))
-        both = kinds.join(hot, "g", "left")
-        cool = both.filter("hot is null").drop("hot")
-        parts = cut(_split(both.filter("hot").drop("hot"), splits[0]), "parts")
+        both = cut(kinds.join(hot, "g", "left"), "dealt")
+        cool, hot = both.filter("hot is null").drop("hot"), both.filter("hot").drop("hot")
+        parts = cut(_split(hot, splits[0]), "parts")
         if not parts.isEmpty():
-            own = parts.groupBy("part_g", "h").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.first("part_p").alias("p"), F.first("part").alias("ctx"))
-            own = cut(own.select(F.col("part_g").alias("g"), *(F.conv(F.substring("h", i, 15), 16, 10).cast("long").alias(c) for c, i in (("c1", 1), ("c2", 17))), "n", "p", "ctx"), "kinds")
-            marks = repeated(own, splits[1:]).select(F.col("g").alias("part_g"), "c1", "c2", "a", "b")
-            parts = parts.select("part_g", *(F.conv(F.substring("h", i, 15), 16, 10).cast("long").alias(f"p{c}") for c, i in (("c1", 1), ("c2", 17))), "g", F.col("c1").alias("own_c1"), F.col("c2").alias("own_c2"), "at")
-            met = parts.join(marks.withColumnsRenamed({"c1": "pc1", "c2": "pc2"}), ["part_g", "pc1", "pc2"])
-            found = met.select("g", F.col("own_c1").alias("c1"), F.col("own_c2").alias("c2"), (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
-    index = cool.select("g", "c1", "c2", "n", "ctx").repartition(n, "g").sortWithinPartitions("g").mapInArrow(_index, "g long, c1 long, c2 long, a int, b int")
+            place = F.min(F.struct(*own, "at", "size", "p")).alias("rep")
+            different = parts.groupBy("part_g", "p1", "p2").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), place)
+            # as with anchors, what occurs once ends here
+            again = parts.groupBy("part_g").agg(F.sum("n").alias("all_n")).filter("all_n > 1").select("part_g")
+            different = different.join(again, "part_g").select("part_g", "p1", "p2", "n", *[f"rep.{c}" for c in (*own, "at", "size", "p")])
+            texts = different.join(hot.select(*own, "ctx"), own)
+            finer = cut(texts.select(F.col("part_g").alias("g"), F.col("p1").alias("c1"), F.col("p2").alias("c2"), "n", "p", F.substring("ctx", F.col("at") + 1, F.col("size")).alias("ctx")), "kinds")
+            marks = repeated(finer, splits[1:]).withColumnsRenamed({"g": "part_g", "c1": "p1", "c2": "p2"})
+            met = parts.select("part_g", "p1", "p2", *own, "at").join(marks, ["part_g", "p1", "p2"])
+            found = met.select(*own, (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
+    index = cool.select(*own, "n", "ctx").repartition(n, "g").sortWithinPartitions("g").mapInArrow(_index, "g long, c1 long, c2 long, a int, b int")
     return index if found is None else index.unionAll(found)
 
 

@@ -329,8 +329,8 @@ def test_run_ends_give_all_matching_statistics():
     suffixes = [(k, i, t[i:]) for k, t in enumerate(texts) for i in range(len(t))]
     common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     for k, t in enumerate(texts):
-        got = index.matches(k)
-        assert len(got) == len(t)
+        got = index.matches(k, k + 1)
+        assert len(got) == len(t) + 1
         for i in range(len(t)):
             best = max(common(t[i:], x) for j, at, x in suffixes if (j, at) != (k, i))
             assert got[i] == (len(t) - i if weights[k] > 1 else best)
