@@ -69,7 +69,10 @@ def normalize(wire: DataFrame, fields: tuple[str, ...] = FIELDS, preserve: bool
     """Wire records (timestamp_ns, message, fields) to log records: allowed fields, template, key, and a column f_<name> for each field."""
     names = (*fields, "_meta") if preserve else fields
     rows = wire.withColumn("fields", allow(F.col("fields"), names))
-    tail = suffix if suffix is not None else F.xxhash64("timestamp_ns", "message", stream_key(F.col("fields")), F.expr("uuid()"))
+    # where a row comes from tells equal rows apart, and a task that is run again gives the same keys (in a stream the
+    # file must do for that: there rows have no numbers)
+    place = (F.input_file_name(), *(() if wire.isStreaming else (F.monotonically_increasing_id(),)))
+    tail = suffix if suffix is not None else F.xxhash64("timestamp_ns", "message", stream_key(F.col("fields")), *place)
     sig = template_signature(F.col("message"))
     return rows.select(
         "timestamp_ns", "message", "fields", doc_id(F.col("timestamp_ns"), tail).alias("doc_id"), sig.alias("template_sig"), F.xxhash64(sig).alias("template_id"),
@@ -82,8 +85,9 @@ def bounded_message(message: Column, most: int = 240) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
+    """Null if either is zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def all_of(conditions: list[Column]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglake.functions.core import FIELDS, BadRequest, all_of, bounded_message
+from loglake.functions.core import FIELDS, BadRequest, NotFound, all_of, bounded_message
 from loglake.plans.logql import ParsedQuery, parse
 
 
@@ -34,11 +34,15 @@ def query_lines(logs: DataFrame, query: str | ParsedQuery, start: int, end: int)
     return rows.filter(F.col("message").contains(q.contains)) if q.contains is not None else rows
 
 
-def query_range(logs: DataFrame, query: str, start: int, end: int) -> DataFrame:
-    """A row for each stream: its key, count, first and last time, and its lines in time order."""
+def query_range(logs: DataFrame, query: str | ParsedQuery, start: int, end: int) -> DataFrame:
+    """The lines of each stream in time order, as rows: stream_key, timestamp_ns, doc_id, message."""
+    return query_lines(logs, query, start, end).select("stream_key", "timestamp_ns", "doc_id", "message").orderBy("stream_key", "timestamp_ns", "doc_id")
+
+
+def query_range_streams(logs: DataFrame, query: str | ParsedQuery, start: int, end: int) -> DataFrame:
+    """A row for each stream: its key, count, first and last time."""
     rows = query_lines(logs, query, start, end).groupBy("stream_key")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("timestamp_ns", "doc_id", "message"))), lambda x: F.array(x["timestamp_ns"].cast("string"), x["message"]))
-    return rows.agg(F.count("*").alias("n"), F.min("timestamp_ns").alias("first_ns"), F.max("timestamp_ns").alias("last_ns"), lines.alias("values")).orderBy("stream_key")
+    return rows.agg(F.count("*").alias("n"), F.min("timestamp_ns").alias("first_ns"), F.max("timestamp_ns").alias("last_ns")).orderBy("stream_key")
 
 
 def point_lookup(logs: DataFrame, key: str) -> DataFrame:
@@ -58,12 +62,28 @@ def bounded(rows: DataFrame, most: int = 240) -> DataFrame:
     return rows.withColumn("truncated", F.char_length("message") > most).withColumn("message", bounded_message(F.col("message"), most))
 
 
-def list_streams(logs: DataFrame, start: int, end: int, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """field, distinct values in the window, and its first ten values. Distinct pairs are made first, so no list grows with the rows."""
-    pairs = time_range(logs, start, end).select(F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"f_{k}").alias("value")) for k in fields])).alias("e")).select("e.*")
-    pairs = pairs.filter("value is not null").distinct()
-    first = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("field").orderBy("value")))
-    return first.groupBy("field").agg(F.count("*").alias("distinct_values"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("rn") <= 10, F.col("value")))), ",").alias("samples"))
+def list_streams(logs: DataFrame, start: int, end: int, fields: tuple[str, ...] = FIELDS, sketches: DataFrame | None = None) -> DataFrame:
+    """field, distinct values in the window, its first ten values, and where the number comes from.
+
+    sketches: a HyperLogLog rollup (bucket_start, field, sketch); its fields get its estimate and no samples, and the
+    records are not read for them. For the others distinct pairs are made first, so no list grows with the rows.
+    """
+    estimated = []
+    if sketches is not None:
+        ns = F.unix_micros("bucket_start") * 1000
+        found = sketches.filter(F.col("field").isin(*fields) & (ns >= start) & (ns < end)).groupBy("field").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
+        estimated = [(r["field"], r["n"], "", "hll_rollup_estimate") for r in found.collect()]  # a row for each field
+    rest = [k for k in fields if k not in {e[0] for e in estimated}]
+    out = logs.sparkSession.createDataFrame(estimated, "field string, distinct_values long, samples string, cardinality_source string")
+    if rest:
+        pairs = time_range(logs, start, end).select(F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"f_{k}").alias("value")) for k in rest])).alias("e")).select("e.*")
+        pairs = pairs.filter("value is not null").distinct()
+        # the limit is known to the plan: every task ranks its own values and passes ten on
+        first = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("field").orderBy("value"))).filter(F.col("rn") <= 10)
+        samples = first.groupBy("field").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("samples"))
+        exact = pairs.groupBy("field").agg(F.count("*").alias("distinct_values")).join(samples, "field")
+        out = out.unionByName(exact.withColumn("cardinality_source", F.lit("exact_in_window")))
+    return out
 
 
 def find_anomalies(logs: DataFrame, start: int, end: int, baseline: tuple[int, int] | None = None, ratio: float = 3.0) -> DataFrame:
@@ -81,10 +101,13 @@ def find_anomalies(logs: DataFrame, start: int, end: int, baseline: tuple[int, i
 
 
 def get_context(logs: DataFrame, key: str, n: int, span_ns: int = 600_000_000_000) -> DataFrame:
-    """n lines of the anchor's stream on either side, within ``span_ns`` of it. The anchor's row is one row: it is broadcast."""
-    anchor = point_lookup(logs, key).select(F.col("timestamp_ns").alias("a_ns"), F.col("stream_key").alias("a_key")).limit(1)
-    rows = logs.join(F.broadcast(anchor), (F.col("stream_key") == F.col("a_key")) & (F.col("timestamp_ns") >= F.col("a_ns") - span_ns) & (F.col("timestamp_ns") < F.col("a_ns") + span_ns))
-    order = Window.partitionBy("stream_key").orderBy("timestamp_ns", "doc_id")
-    placed = rows.withColumn("rn", F.row_number().over(order)).withColumn("is_anchor", F.col("doc_id") == key)
-    at = F.max(F.when(F.col("is_anchor"), F.col("rn"))).over(Window.partitionBy("stream_key"))
-    return placed.withColumn("at", at).filter(F.abs(F.col("rn") - F.col("at")) <= n).select("timestamp_ns", "doc_id", "message", "is_anchor").orderBy("timestamp_ns", "doc_id")
+    """The anchor and n lines of its stream on either side, within ``span_ns`` of it."""
+    anchor = point_lookup(logs, key).select("timestamp_ns", "stream_key").first()
+    if anchor is None:
+        raise NotFound("no record has this doc_id")
+    at = anchor["timestamp_ns"]
+    rows = time_range(logs, at - span_ns, at + span_ns).filter(F.col("stream_key") == anchor["stream_key"])
+    before = (F.col("timestamp_ns") < at) | (F.col("timestamp_ns") == at) & (F.col("doc_id") < key)
+    # the first lines on either side, each a bounded sort
+    sides = rows.filter(before).orderBy(F.desc("timestamp_ns"), F.desc("doc_id")).limit(n).unionAll(rows.filter(~before).orderBy("timestamp_ns", "doc_id").limit(n + 1))
+    return sides.select("timestamp_ns", "doc_id", "message", (F.col("doc_id") == key).alias("is_anchor")).orderBy("timestamp_ns", "doc_id")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglake.functions.core import FIELDS, BadRequest, NotFound, number
@@ -16,6 +17,7 @@ GAMMA = (1 + ALPHA) / (1 - ALPHA)
 LEAST = 1e-9
 HLL_LG_K = 14
 TOP_K = 20
+TRACKED = 10_000  # values that a top-k sketch keeps, at most
 
 
 def samples(logs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -48,12 +50,51 @@ def ddsketch(rows: DataFrame) -> DataFrame:
     return rows.select("bucket_start", "field", v.alias("v")).filter("v is not null").groupBy("bucket_start", "field", bin_of(F.col("v")).alias("bin")).agg(F.count("*").alias("cnt"))
 
 
+def top_sketch(rows: DataFrame) -> DataFrame:
+    """Mergeable top-k summaries, for fields of too many values for exact counts."""
+    return rows.groupBy("bucket_start", "field").agg(F.expr(f"approx_top_k_accumulate(value, {TRACKED})").alias("top"))
+
+
+MAKERS = {"exact": exact, "hll": hll, "topk": top_sketch, "ddsketch": ddsketch}
+_HOLDS = {"exact": {"value", "cnt"}, "hll": {"sketch"}, "topk": {"top"}, "ddsketch": {"bin", "cnt"}}
+
+
+def kind_of(rollup: DataFrame) -> str:
+    """Which kind of rollup a table is; kinds don't mix."""
+    own = set(rollup.columns) - {"bucket_start", "field", "expire_at_ns"}
+    found = [k for k, columns in _HOLDS.items() if columns == own]
+    if not found:
+        raise BadRequest(f"not a rollup: {sorted(own)}")
+    return found[0]
+
+
+def _combined(kind: str) -> Column:
+    return {"hll": F.hll_union_agg("sketch").alias("sketch"), "topk": F.expr(f"approx_top_k_combine(top, {TRACKED})").alias("top")}.get(kind, F.sum("cnt").alias("cnt"))
+
+
 def merge_up(rollup: DataFrame, tier: str) -> DataFrame:
     """A finer tier's table to a coarser one; raw records are not read again."""
-    rows = rollup.withColumn("bucket_start", F.date_trunc(tier, "bucket_start"))
-    keys = [c for c in rows.columns if c not in ("cnt", "sketch", "expire_at_ns")]
-    merged = F.hll_union_agg("sketch").alias("sketch") if "sketch" in rows.columns else F.sum("cnt").alias("cnt")
-    return rows.groupBy(*keys).agg(merged)
+    rows, kind = rollup.withColumn("bucket_start", F.date_trunc(tier, "bucket_start")), kind_of(rollup)
+    return rows.groupBy(*[c for c in rows.columns if c not in ("cnt", "sketch", "top", "expire_at_ns")]).agg(_combined(kind))
+
+
+def union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two rollups of one kind as one; rollups of different kinds are refused."""
+    if kind_of(a) != kind_of(b):
+        raise BadRequest(f"rollups of different kinds: {kind_of(a)} and {kind_of(b)}")
+    return merge_up(a.drop("expire_at_ns").unionByName(b.drop("expire_at_ns")), "minute")
+
+
+def store(rollup: DataFrame, path: str, tier: str) -> None:
+    """Append a tier's table with its time of expiry, in a folder for each field and day."""
+    rows = expiring(rollup, tier).withColumn("day", F.to_date("bucket_start"))
+    rows.repartitionByRange("field", "bucket_start").sortWithinPartitions("field", "bucket_start").write.mode("append").partitionBy("field", "day").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, now_ns: int | None = None) -> DataFrame:
+    """A stored tier; rows that have expired at ``now_ns`` are left out."""
+    rows = spark.read.parquet(path).drop("day")
+    return rows if now_ns is None else rows.filter(F.col("expire_at_ns") > now_ns)
 
 
 def pick_tier(start_ns: int, end_ns: int) -> str:
@@ -62,8 +103,10 @@ def pick_tier(start_ns: int, end_ns: int) -> str:
 
 
 def in_range(rollup: DataFrame, field: str, start_ns: int, end_ns: int) -> DataFrame:
-    ns = F.unix_micros("bucket_start") * 1000
-    return rollup.filter((F.col("field") == field) & (ns >= start_ns) & (ns < end_ns))
+    """Buckets whose start lies in [start, end); compared as times, so that the condition reaches the scan."""
+    at = lambda ns: F.lit(datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(microseconds=-(-ns // 1000)))
+    far = 9_000_000_000_000_000_000  # Python's times end before those of a LONG of nanoseconds do not
+    return rollup.filter((F.col("field") == field) & (F.col("bucket_start") >= at(max(start_ns, -far))) & (F.col("bucket_start") < at(min(end_ns, far))))
 
 
 def counts(rollup: DataFrame) -> DataFrame:
@@ -89,9 +132,10 @@ def quantile(rollup: DataFrame, q: float) -> DataFrame:
     return found if 0 <= q <= 1 else found.select(F.lit(None).cast("double").alias("value"))
 
 
-def approximate_top_k(rows: DataFrame, k: int = TOP_K) -> DataFrame:
-    """For fields of too many values for exact counts: sketches, estimated."""
-    return rows.groupBy("field").agg(F.expr(f"approx_top_k(value, {k}, 10000)").alias("top")).select("field", F.explode("top").alias("t")).select("field", F.col("t.item").alias("value"), F.col("t.count").alias("cnt"))
+def approximate_top_k(rollup: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The k most frequent values by a top-k rollup; counts are estimates."""
+    top = rollup.agg(_combined("topk")).select(F.explode(F.expr(f"approx_top_k_estimate(top, {k})")).alias("t"))
+    return top.select(F.col("t.item").alias("value"), F.col("t.count").alias("cnt"))
 
 
 KINDS = {"count": "exact", "topk": "exact", "cardinality": "hll", "quantile": "ddsketch"}
@@ -102,6 +146,8 @@ def aggregate(tables: dict[tuple[str, str], DataFrame], field: str, start_ns: in
     if op not in KINDS or (op == "quantile" and q is None):
         raise BadRequest(f"unknown op, or q is missing: {op}")
     rollup = tables.get((pick_tier(start_ns, end_ns), KINDS[op]))
+    if rollup is None and op == "topk" and (sketch := tables.get((pick_tier(start_ns, end_ns), "topk"))) is not None:
+        return approximate_top_k(in_range(sketch, field, start_ns, end_ns), k)
     if rollup is None:
         if strict:
             raise BadRequest(f"the field has no {KINDS[op]} rollup")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglake.functions.core import BadRequest, bucket, cosine_distance
-from loglake.operators.query import matching
+from loglake.operators.query import bounded, matching, time_range
 
 BUCKET_NS = 300_000_000_000
 MOST_BUCKETS = 200
@@ -35,57 +37,115 @@ def build_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return postings, words.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def write_index(docs: DataFrame, path: str) -> None:
+    """Append the index of ``docs`` (see ``corpus``): postings and facts, in a folder for each bucket, sorted by term so that a query reads few row groups.
+
+    A bucket's facts are rows that add up, so later records of a bucket are indexed by themselves.
+    """
+    postings, facts = build_index(docs)
+    postings.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
+    facts.select("bucket", "n", (F.col("n") * F.col("avgdl")).cast("long").alias("length")).write.mode("append").partitionBy("bucket").parquet(f"{path}/facts")
+
+
+def read_index(spark: SparkSession, path: str, start: int | None = None, end: int | None = None, width_ns: int = BUCKET_NS) -> tuple[DataFrame, DataFrame]:
+    """postings and facts of the stored index; only of the buckets that touch [start, end) if these are given."""
+
+    def own(name: str) -> DataFrame:
+        rows = spark.read.parquet(f"{path}/{name}")
+        rows = rows if start is None else rows.filter((F.col("bucket") >= start - start % width_ns) & (F.col("bucket") < end))
+        return rows.withColumn("bucket", F.col("bucket").cast("long"))
+
+    facts = own("facts").groupBy("bucket").agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("avgdl"))
+    return own("postings"), facts
+
+
 def check_buckets(start: int, end: int, width_ns: int = BUCKET_NS) -> None:
     if (end - start) // width_ns + 1 > MOST_BUCKETS:
         raise BadRequest("the range spans too many buckets")
 
 
-def bm25(postings: DataFrame, facts: DataFrame, query: str, k: int, per_bucket: bool = True) -> DataFrame:
-    """The k best doc_ids (bucket, doc_id, score to 6 places): the best of each bucket first, then of all."""
-    terms = list(dict.fromkeys("".join(c if c.isalnum() else " " for c in query.lower()).split()))
+def terms_of(query: str) -> list[str]:
+    return list(dict.fromkeys("".join(c if c.isalnum() else " " for c in query.lower()).split()))
+
+
+def scores(postings: DataFrame, facts: DataFrame, query: str) -> DataFrame:
+    """bucket, doc_id and BM25 score (to 6 places) of every document with a term of the query."""
+    terms = terms_of(query)
     hits = postings.filter(F.col("term").isin(terms) if terms else F.lit(False))
     df = hits.groupBy("bucket", "term").agg(F.count("*").alias("df"))
     rows = hits.join(df, ["bucket", "term"]).join(facts, "bucket")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = rows.groupBy("bucket", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return rows.groupBy("bucket", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def bm25(postings: DataFrame, facts: DataFrame, query: str, k: int, per_bucket: bool = True) -> DataFrame:
+    """The k best doc_ids (bucket, doc_id, score to 6 places): the best of each bucket first, then of all."""
+    scored = scores(postings, facts, query)
     if per_bucket:
         best = Window.partitionBy("bucket").orderBy(F.desc("score"), "doc_id")
         scored = scored.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k).drop("rn")
     return scored.orderBy(F.desc("score"), "doc_id").limit(k)
 
 
-def search_logs(logs: DataFrame, query: str, start: int, end: int, k: int = 10, offset: int = 0, labels: dict[str, str] | None = None, width_ns: int = BUCKET_NS, exact_range: bool = True) -> DataFrame:
-    """Best records of a time range. Labels filter before the cut; edge buckets give rows outside the range unless ``exact_range``."""
+def search_logs(logs: DataFrame, query: str | None, start: int, end: int, k: int = 10, offset: int = 0, labels: dict[str, str] | None = None, width_ns: int = BUCKET_NS, exact_range: bool = True, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Best records of a time range: doc_id, score, timestamp_ns, message.
+
+    Labels filter before the cut; edge buckets give rows outside the range unless ``exact_range``. Without a query all
+    records of the range match, in time order, without scores. ``index`` is a stored one; else the range is indexed here.
+    """
+    k = min(k, MOST_HITS)
+    if query is None:
+        rows = matching(time_range(logs, start, end), labels or {})
+        return rows.orderBy("timestamp_ns", "doc_id").offset(offset).limit(k).select("doc_id", F.lit(None).cast("double").alias("score"), "timestamp_ns", "message")
     check_buckets(start, end, width_ns)
-    whole = logs.filter((F.col("timestamp_ns") >= start - start % width_ns) & (F.col("timestamp_ns") < end + (-end) % width_ns))
-    postings, facts = build_index(corpus(whole, width_ns))
-    wanted = matching(whole, labels or {})
-    if exact_range:
-        wanted = wanted.filter((F.col("timestamp_ns") >= start) & (F.col("timestamp_ns") < end))
-    if labels or exact_range:
-        postings_of = postings.join(wanted.select("doc_id"), "doc_id", "left_semi")
-        terms = postings.groupBy("bucket", "term").agg(F.count("*").alias("df"))
-        hits = _scored(postings_of, terms, facts, query)
-    else:
-        hits = _scored(postings, postings.groupBy("bucket", "term").agg(F.count("*").alias("df")), facts, query)
-    top = hits.orderBy(F.desc("score"), "doc_id").offset(offset).limit(min(k, MOST_HITS))
-    return top.join(whole.select("doc_id", "timestamp_ns", "message"), "doc_id", "left").select("doc_id", "score", "timestamp_ns", "message")
-
-
-def _scored(postings: DataFrame, df: DataFrame, facts: DataFrame, query: str) -> DataFrame:
-    terms = list(dict.fromkeys("".join(c if c.isalnum() else " " for c in query.lower()).split()))
-    only = F.col("term").isin(terms) if terms else F.lit(False)
-    rows = postings.filter(only).join(df.filter(only), ["bucket", "term"]).join(facts, "bucket")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return rows.groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    whole = time_range(logs, start - start % width_ns, end + (-end) % width_ns)
+    postings, facts = index or build_index(corpus(whole, width_ns))
+    scored = scores(postings, facts, query).select("doc_id", "score")
+    wanted = matching(time_range(whole, start, end) if exact_range else whole, labels or {}).select("doc_id", "timestamp_ns", "message")
+    if labels or exact_range:  # the records must be looked at before the cut
+        return scored.join(wanted, "doc_id").orderBy(F.desc("score"), "doc_id").offset(offset).limit(k).select("doc_id", "score", "timestamp_ns", "message")
+    top = scored.orderBy(F.desc("score"), "doc_id").offset(offset).limit(k)  # MOST_HITS rows at most
+    return wanted.join(F.broadcast(top), "doc_id").orderBy(F.desc("score"), "doc_id").select("doc_id", "score", "timestamp_ns", "message")
+
+
+def search_page(logs: DataFrame, query: str | None, start: int, end: int, k: int = 10, cursor: str | None = None, **kw) -> tuple[DataFrame, str | None, int]:
+    """One page of ``search_logs`` with bounded messages, the next page's cursor if there is one, and how many records were considered: all before the page, its own, and the one after.
+
+    A cursor that isn't a number starts at 0.
+    """
+    offset, k = int(cursor) if cursor and cursor.isdecimal() else 0, min(k, MOST_HITS - 1)
+    found = search_logs(logs, query, start, end, k + 1, offset, **kw).collect()  # a page and one row
+    rows = logs.sparkSession.createDataFrame(found[:k], "doc_id string, score double, timestamp_ns long, message string")
+    return bounded(rows), str(offset + k) if len(found) > k else None, offset + len(found)
+
+
+def embed(docs: DataFrame, embedder: Callable[[list[str]], list[list[float]]], text: str = "message", batch: int = 256) -> DataFrame:
+    """doc_id and embedding (array<float>) by a function that gives vectors for a list of texts; null texts count as empty."""
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            part = part.fillna("")
+            yield pd.Series([v for i in range(0, len(part), batch) for v in embedder(part.iloc[i : i + batch].tolist())], dtype=object)
+
+    vectors = F.pandas_udf(run, "array<float>", F.PandasUDFType.SCALAR_ITER)
+    return docs.select("doc_id", vectors(F.col(text)).alias("embedding"))
+
+
+def put_vectors(vectors: DataFrame, path: str) -> None:
+    """Append (doc_id, embedding) rows to a vector table; ``vectors_of`` reads the last vector put for each id."""
+    vectors.select("doc_id", "embedding", F.current_timestamp().alias("put_at")).write.mode("append").parquet(path)
+
+
+def vectors_of(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).groupBy("doc_id").agg(F.max_by("embedding", "put_at").alias("embedding"))
 
 
 def knn(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
-    """doc_id and cosine distance, nearest first; the query is one literal."""
+    """doc_id and cosine distance, nearest first; the query is one literal. Zero vectors and null ones are near to nothing."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.select("doc_id", (F.round(cosine_distance(F.col("embedding"), q), 6) + 0.0).alias("distance")).orderBy("distance", "doc_id").limit(k)
+    near = vectors.select("doc_id", (F.round(cosine_distance(F.col("embedding"), q), 6) + 0.0).alias("distance"))
+    return near.filter("distance is not null and not isnan(distance)").orderBy("distance", "doc_id").limit(k)
 
 
 def rrf(lists: list[tuple[DataFrame, list[Column]]], k: int) -> DataFrame:

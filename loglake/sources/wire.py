@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -37,35 +38,10 @@ def loki_json(bodies: DataFrame) -> DataFrame:
 
 def unsnappy(data: bytes, limit: int = SNAPPY_LIMIT) -> bytes:
     """Raw snappy block; a claimed size above ``limit`` is refused before anything is allocated."""
-    size, at = varint(data, 0)
+    size, _ = varint(data, 0)
     if size > limit:
         raise ValueError("the claimed size is above the limit")
-    out = bytearray()
-    while at < len(data):
-        tag = data[at]
-        at += 1
-        kind, n = tag & 3, tag >> 2
-        if kind == 0:
-            if n >= 60:
-                width = n - 59
-                n = int.from_bytes(data[at : at + width], "little")
-                at += width
-            out += data[at : at + n + 1]
-            at += n + 1
-        else:
-            length = (n & 7) + 4 if kind == 1 else n + 1
-            width = (1, 2, 4)[kind - 1]
-            back = int.from_bytes(data[at : at + width], "little") | ((tag >> 5) << 8 if kind == 1 else 0)
-            at += width
-            if not 0 < back <= len(out):
-                raise ValueError("a copy from before the start")
-            for _ in range(length):
-                out.append(out[-back])
-        if len(out) > size:
-            raise ValueError("longer than claimed")
-    if len(out) != size:
-        raise ValueError("shorter than claimed")
-    return bytes(out)
+    return pa.decompress(data, size, "snappy", asbytes=True) if size else b""
 
 
 def varint(data: bytes, at: int) -> tuple[int, int]:
@@ -92,28 +68,54 @@ def wire_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         else:
             n = 8 if kind == 1 else 4
             value, at = int.from_bytes(data[at : at + n], "little"), at + n
+        if at > len(data):
+            raise ValueError("cut off inside a field")
         yield number, value
 
 
+def _parts(data: bytes, kinds: dict[int, type]) -> list[tuple[int, int | bytes]]:
+    """The fields that ``kinds`` names; one of another type is an error."""
+    found = [(n, v) for n, v in wire_fields(data) if n in kinds]
+    if not all(isinstance(v, kinds[n]) for n, v in found):
+        raise ValueError("a field of another type")
+    return found
+
+
 def _push_request(body: bytes) -> list[tuple[int, str, list[tuple[str, str]]]]:
     from loglake.plans.logql import parse_labels
 
     out, top = [], (1 << 63) - 1
-    for number, stream in wire_fields(unsnappy(body)):
-        if number != 1:
-            continue
-        parts = list(wire_fields(stream))
+    signed = lambda x: x - (1 << 64) if x > top else x
+    for _, stream in _parts(unsnappy(body), {1: bytes}):
+        parts = _parts(stream, {1: bytes, 2: bytes})
         labels = list(parse_labels(next((v.decode() for n, v in parts if n == 1), "{}")).items())
         for n, entry in parts:
             if n == 2:
-                e = dict(wire_fields(entry))
-                when = dict(wire_fields(e.get(1, b"")))
-                signed = lambda x: x - (1 << 64) if x > top else x
+                e = dict(_parts(entry, {1: bytes, 2: bytes}))
+                when = dict(_parts(e.get(1, b""), {1: int, 2: int}))
                 ns = signed(when.get(1, 0)) * 1_000_000_000 + signed(when.get(2, 0))
                 out.append((min(max(ns, -top - 1), top), e.get(2, b"").decode(), labels))
     return out
 
 
+def push_request(lines: list[tuple[int, str, str]]) -> bytes:
+    """A push request of (time, line, labels): a stream for each run of equal labels."""
+
+    def number(n: int) -> bytes:
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    field = lambda n, data: number(n << 3 | 2) + number(len(data)) + data
+    when = lambda ns: b"\x08" + number(ns // 1_000_000_000 % (1 << 64)) + b"\x10" + number(ns % 1_000_000_000)
+    streams = []
+    for labels, own in itertools.groupby(lines, lambda x: x[2]):
+        streams.append(field(1, field(1, labels.encode()) + b"".join(field(2, field(1, when(ns)) + field(2, text.encode())) for ns, text, _ in own)))
+    return pa.compress(b"".join(streams), "snappy", asbytes=True)
+
+
 def loki_protobuf(bodies: DataFrame) -> DataFrame:
     """body: binary push requests; a body that can't be read gives no rows."""
 
@@ -123,7 +125,7 @@ def loki_protobuf(bodies: DataFrame) -> DataFrame:
             for body in b["body"].to_pylist():
                 try:
                     rows += _push_request(body or b"\0")
-                except (ValueError, IndexError):
+                except (ValueError, IndexError, OSError):  # pyarrow's errors are ValueError and OSError
                     continue
             columns = list(zip(*rows)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.map_(pa.string(), pa.string()))], ["timestamp_ns", "message", "fields"])
@@ -131,6 +133,28 @@ def loki_protobuf(bodies: DataFrame) -> DataFrame:
     return bodies.select("body").mapInArrow(run, WIRE)
 
 
+def _refuse(name: str) -> None:
+    raise ValueError(f"{name} is not JSON")
+
+
+def _json_object(line: str) -> tuple[dict, str]:
+    """The line's object, and its text, in which every key is there once (the last one holds)."""
+    repeated = []
+
+    def once(pairs: list[tuple[str, object]]) -> dict:
+        found = dict(pairs)
+        if len(found) < len(pairs):
+            repeated.append(True)
+        return found
+
+    found = json.loads(line, object_pairs_hook=once, parse_constant=_refuse)
+    if not isinstance(found, dict):
+        raise ValueError("not an object")
+    text = json.dumps(found, ensure_ascii=False, separators=(",", ":")) if repeated else line.strip()
+    text.encode()  # halves of surrogate pairs are refused here
+    return found, text
+
+
 def es_bulk(bodies: DataFrame) -> DataFrame:
     """body: action and document lines. Lines pair up in order, so a body is read as one; lines before a bad one stay."""
 
@@ -138,53 +162,55 @@ def es_bulk(bodies: DataFrame) -> DataFrame:
         for b in batches:
             docs = []
             for body in b["body"].to_pylist():
-                lines = [x for x in (body or "").split("\n") if x.strip()]
-                at = 0
+                lines = iter([x for x in (body or "").split("\n") if x.strip()])
                 try:
-                    while at < len(lines):
-                        action = next(iter(json.loads(lines[at])))
-                        at += 1
-                        if action == "delete":
-                            continue
-                        doc = json.loads(lines[at])
-                        if not isinstance(doc, dict):
-                            break
-                        inner = doc.get("doc") if action == "update" else None
-                        docs.append(json.dumps(inner, ensure_ascii=False, separators=(",", ":")) if isinstance(inner, dict) else lines[at].strip())
-                        at += 1
-                except (ValueError, IndexError, StopIteration):
+                    for line in lines:
+                        if "delete" not in _json_object(line)[0]:
+                            docs.append(_json_object(next(lines))[1])
+                except (ValueError, RecursionError, StopIteration):
                     continue
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string())], ["doc"])
 
     return es_documents(bodies.select("body").mapInArrow(run, "doc string"))
 
 
+def _parsed(docs: DataFrame) -> DataFrame:
+    """doc with its JSON value, and that value's members as a map (null if it is no object or no JSON)."""
+    return docs.select("doc", F.try_parse_json("doc").alias("v")).withColumn("m", F.expr("try_cast(v AS map<string,variant>)"))
+
+
+def _kind(x: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+
+
+def _text_of(members: Column, key: str) -> Column:
+    """A member that is text, or null."""
+    x = F.element_at(members, key)
+    return F.when(_kind(x) == "STRING", x.cast("string"))
+
+
 def es_documents(docs: DataFrame) -> DataFrame:
     """doc: a JSON object. Scalars become fields; the message is ``message``, else ``msg``, if a string, else the whole document."""
-    v = F.parse_json("doc")
-    is_text = lambda k: F.schema_of_variant(F.variant_get(v, f"$.{k}", "variant")) == "STRING"
-    text = lambda k: F.get_json_object("doc", f"$.{k}")
-    has_message = F.variant_get(v, "$.message", "variant").isNotNull()
-    message = F.when(has_message, F.when(is_text("message"), text("message")).otherwise(F.col("doc"))).when(is_text("msg"), text("msg")).otherwise(F.col("doc"))
-    when = F.coalesce(rfc3339_ns(F.get_json_object("doc", "$['@timestamp']")), now_ns())
-    names = F.json_object_keys("doc")
-    kinds = F.from_json("doc", "map<string,string>")
-    scalar = lambda k: ~F.coalesce(F.element_at(kinds, k), F.lit("{")).rlike(r"^\s*[\[{]") & F.element_at(kinds, k).isNotNull()
-    fields = F.map_from_arrays(*[F.transform(F.filter(names, lambda k: scalar(k) & ~k.isin("message", "msg", "@timestamp")), f) for f in (lambda k: k, lambda k: F.element_at(kinds, k))])
-    return docs.select(when.alias("timestamp_ns"), message.alias("message"), fields.alias("fields"))
+    m, rows = F.col("m"), _parsed(docs)
+    own = F.when(F.map_contains_key(m, "message"), _text_of(m, "message")).otherwise(_text_of(m, "msg"))
+    when = F.coalesce(rfc3339_ns(_text_of(m, "@timestamp")), now_ns())
+    scalars = F.map_filter(m, lambda k, x: ~k.isin("message", "msg", "@timestamp") & ~_kind(x).rlike("^(ARRAY|OBJECT|VOID)"))
+    fields = F.coalesce(F.transform_values(scalars, lambda _, x: x.cast("string")), F.create_map().cast(EMPTY))
+    return rows.select(when.alias("timestamp_ns"), F.coalesce(own, F.to_json("v"), "doc").alias("message"), fields.alias("fields"))
 
 
 def es_import(docs: DataFrame, fields: tuple[str, ...], preserve: bool = False) -> DataFrame:
-    """doc: exported ``_source`` objects. Times are RFC 3339 or epoch milliseconds; other values than text keep their JSON form; with ``preserve`` the rest goes to ``_meta``."""
-    get = lambda k: F.get_json_object("doc", f"$['{k}']")
-    when = F.coalesce(rfc3339_ns(get("@timestamp")), F.try_multiply(get("@timestamp").try_cast("long"), F.lit(1_000_000)), now_ns())
-    message = F.coalesce(get("message"), F.get_json_object("doc", "$.log.message"), F.lit(""))
-    entries = F.from_json("doc", "map<string,string>")
-    null_text = F.transform_values(entries, lambda _, v: F.coalesce(v, F.lit("null")))
-    kept = F.map_filter(null_text, lambda k, _: k.isin(*fields))
-    rest = F.map_filter(null_text, lambda k, _: ~k.isin(*fields, "@timestamp", "message"))
-    with_meta = F.map_concat(kept, F.create_map(F.lit("_meta"), F.to_json(rest)))
-    return docs.select(when.alias("timestamp_ns"), message.alias("message"), (with_meta if preserve else kept).alias("fields"))
+    """doc: exported ``_source`` objects. Times are RFC 3339 texts or numbers of epoch milliseconds; other values than text keep their JSON form; with ``preserve`` the rest, if any, goes to ``_meta`` as JSON."""
+    m, rows = F.coalesce("m", F.create_map().cast("map<string,variant>")), _parsed(docs)
+    at = F.element_at(m, "@timestamp")
+    millis = F.when(_kind(at) == "BIGINT", at.try_cast("long"))
+    when = F.coalesce(rfc3339_ns(_text_of(m, "@timestamp")), F.try_multiply(millis, F.lit(1_000_000)), now_ns())
+    inner = F.element_at(m, "log").try_cast("map<string,variant>")
+    message = F.coalesce(_text_of(m, "message"), _text_of(inner, "message"), F.lit(""))
+    kept = F.transform_values(F.map_filter(m, lambda k, _: k.isin(*fields)), lambda _, x: F.when(_kind(x) == "STRING", x.cast("string")).otherwise(F.to_json(x)))
+    rest = F.map_filter(m, lambda k, _: ~k.isin(*fields, "@timestamp", "message"))
+    with_meta = F.when(F.size(F.map_keys(rest)) > 0, F.map_concat(kept, F.create_map(F.lit("_meta"), F.to_json(rest)))).otherwise(kept)
+    return rows.select(when.alias("timestamp_ns"), message.alias("message"), (with_meta if preserve else kept).alias("fields"))
 
 
 # Names of the severities 0 to 7, as logs name them.
@@ -195,7 +221,7 @@ _DATA = r'^(?:-|(?:\[(?:[^"\]\\]|"(?:\\.|[^"\\])*")*\])+)(?: |$)'
 
 def syslog(lines: DataFrame) -> DataFrame:
     """line: RFC 5424 messages; all adjacent structured data is skipped, and a line that isn't one is kept raw."""
-    trimmed = F.rtrim(F.regexp_replace("line", r"[\r\n]+$", ""))
+    trimmed = F.regexp_replace("line", r"[\r\n]+\z", "")
     part = lambda k: F.regexp_extract(trimmed, _HEAD, k)
     pri = part(1).try_cast("int")
     fine = trimmed.rlike(_HEAD) & (pri <= 191) & part(7).rlike(_DATA)
@@ -217,6 +243,35 @@ OTLP = (
 )
 
 
+def any_value(json_text: Column) -> Column:
+    """An OTLP value, as JSON, to text: containers keep their JSON form, bytes are hex digits; null where no kind is set."""
+    of = lambda kind: F.get_json_object(json_text, f"$.{kind}")
+    scalars = [of(k) for k in ("stringValue", "boolValue", "intValue", "doubleValue")]
+    return F.coalesce(*scalars, F.lower(F.hex(F.try_to_binary(of("bytesValue"), F.lit("base64")))), of("arrayValue.values"), of("kvlistValue.values"))
+
+
+_JSON_VALUES = "array<struct<key:string,value:string>>"
+OTLP_JSON = (
+    f"resourceLogs array<struct<resource:struct<attributes:{_JSON_VALUES}>,scopeLogs:array<struct<logRecords:array<struct<"
+    f"timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,body:string,attributes:{_JSON_VALUES},traceId:string,spanId:string>>>>>>"
+)
+
+
+def otlp_json(bodies: DataFrame) -> DataFrame:
+    """body: log export requests in OTLP's JSON form; a body that isn't JSON gives no rows, an attribute without a value no field."""
+    none = lambda of: F.coalesce(of, F.array().cast("array<struct<key:string,value:string>>"))
+    values = lambda of: F.transform(F.filter(none(of), lambda a: a["value"].isNotNull()), lambda a: F.struct(a["key"].alias("key"), F.coalesce(any_value(a["value"]), F.lit("")).alias("value")))
+    ns = lambda x: x.try_cast("decimal(20,0)")
+    record = lambda r: F.struct(
+        ns(r["timeUnixNano"]).alias("time_unix_nano"), ns(r["observedTimeUnixNano"]).alias("observed_time_unix_nano"), r["severityNumber"].alias("severity_number"), r["severityText"].alias("severity_text"),
+        any_value(r["body"]).alias("body"), values(r["attributes"]).alias("attributes"), r["traceId"].alias("trace_id"), r["spanId"].alias("span_id"),
+    )
+    scope = lambda x: F.struct(F.transform(x["logRecords"], record).alias("log_records"))
+    resource = lambda r: F.struct(F.struct(values(r["resource"]["attributes"]).alias("attributes")).alias("resource"), F.transform(r["scopeLogs"], scope).alias("scope_logs"))
+    parsed = bodies.select(F.from_json("body", OTLP_JSON).alias("b"))
+    return otlp(parsed.select(F.transform("b.resourceLogs", resource).alias("resource_logs")))
+
+
 def otlp(requests: DataFrame) -> DataFrame:
     """Log requests (structs of OTLP; values are text already) to records; of equal names the innermost holds."""
     r = requests.select(F.explode("resource_logs").alias("r")).select("r.resource", F.explode("r.scope_logs").alias("s")).select("resource", F.explode("s.log_records").alias("l"))
