@@ -6,8 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 import xxhash
-from conftest import SMALL
+import zstandard
+from conftest import SMALL, fold_of
 
 from loglake.llm import decontaminate, language, mixing, quality, simhash, suffix
 from loglake.llm.common import table
@@ -168,6 +170,33 @@ def test_flat_trees_equal_a_plain_walk():
     assert np.allclose(got, [plain(r) for r in x]) and np.mean((got > 0.5) == y) > 0.9
 
 
+def test_quality_equals_a_plain_version(spark):
+    """Every score of the query by the statistics of the whole text and a plain walk of the same trees."""
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    model = quality.train(docs, labels)
+    got = {r["doc_id"]: r for r in quality.op3_quality(spark, SMALL).collect()}
+    for doc_id, text in texts_of(docs):
+        x, total = quality.statistics(text), model["base"]
+        for feature, threshold, value in zip(model["feature"], model["threshold"], model["value"]):
+            node = 0
+            for _ in range(model["depth"]):
+                node = 2 * node + 1 + int(x[feature[node]] > threshold[node])
+            total += value[node]
+        score = 1 / (1 + np.exp(-total))
+        r = got[doc_id]
+        assert abs(r["score"] - score) < 1e-12 and r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == (fold_of(doc_id, 5) == 0)
+    assert len(got) == docs.count()
+
+
+def test_labels_teach_with_one_text_each(spark, hard_docs):
+    """Neither held-out labels nor repeated rows of an id change the trees."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 11)], "doc_id long, quality int")
+    model = quality.train(hard_docs, labels)
+    held = spark.createDataFrame([(i, 1 - i % 2) for i in range(1, 11) if fold_of(i, 5) == 0], "doc_id long, quality int")
+    other = quality.train(hard_docs.unionAll(hard_docs.filter("doc_id = 7")), labels.join(held, "doc_id", "left_anti").unionAll(held))
+    assert all(np.array_equal(model[k], other[k]) for k in ("feature", "threshold", "value")) and model["base"] == other["base"]
+
+
 # op4
 
 
@@ -356,6 +385,23 @@ def test_language_of_hard_documents(spark, hard_docs):
     assert {r["lang_pred"] for r in language.classify(hard_docs, language.learn(hard_docs.limit(0))).collect()} == {"und"}
 
 
+def test_language_equals_a_plain_version(spark):
+    """Every prediction of the query by compressing the whole text with each dictionary, one after another."""
+    docs = table(spark, SMALL, "documents")
+    dictionaries = language.learn(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["held_out"]) for r in language.op10_language(spark, SMALL).collect()}
+    for doc_id, text in texts_of(docs):
+        want = ("und", 0.0)
+        if regex.search(r"\p{L}", text or ""):
+            sizes = []
+            for lang, content in sorted(dictionaries.items()):
+                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                sizes.append((len(zstandard.ZstdCompressor(dict_data=d, level=language.LEVEL, write_content_size=False).compress(text.lower().encode())), lang))
+            best, second = sorted(sizes)[:2]
+            want = (best[1], (second[0] - best[0]) / second[0])
+        assert got[doc_id] == (*want, fold_of(doc_id, 5) == 0)
+
+
 def test_language_of_texts_without_letters(spark):
     schema = "doc_id long, text string, lang string, source string, score double, lang_pred string"
     rows = [(1, "the house and the garden", "en", None, 1.0, "x"), (2, "la maison et le jardin", "fr", None, 1.0, "x")]
