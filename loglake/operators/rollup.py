@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglake.functions.core import FIELDS, BadRequest, NotFound, number
+from loglake.operators.storage import drop_folders
 
 TIERS = ("minute", "hour", "day", "month")
 TTL_SECS = {"minute": 3600, "hour": 7 * 86400, "day": 90 * 86400, "month": 3650 * 86400}
@@ -97,6 +98,14 @@ def stored(spark: SparkSession, path: str, now_ns: int | None = None) -> DataFra
     return rows if now_ns is None else rows.filter(F.col("expire_at_ns") > now_ns)
 
 
+def prune_tier(spark: SparkSession, path: str, now_ns: int) -> int:
+    """Delete the folders (a field's day) of a stored tier in which every row has expired; gives their number."""
+    last = spark.read.parquet(path).groupBy("field", F.col("day").cast("string").alias("day")).agg(F.max("expire_at_ns").alias("last"))
+    gone = [f"{path}/field={r['field']}/day={r['day']}" for r in last.filter(F.col("last") <= now_ns).collect()]  # a row for each folder
+    drop_folders(spark, gone)
+    return len(gone)
+
+
 def pick_tier(start_ns: int, end_ns: int) -> str:
     hours = (end_ns - start_ns) / 3_600_000_000_000
     return "minute" if hours <= 1 else "hour" if hours <= 24 else "day" if hours <= 31 * 24 else "month"

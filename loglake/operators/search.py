@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loglake.functions.core import BadRequest, bucket, cosine_distance
 from loglake.operators.query import bounded, matching, time_range
+from loglake.operators.storage import drop_folders
 
 BUCKET_NS = 300_000_000_000
 MOST_BUCKETS = 200
@@ -59,6 +60,21 @@ def read_index(spark: SparkSession, path: str, start: int | None = None, end: in
     return own("postings"), facts
 
 
+def strip_index(spark: SparkSession, path: str, start: int, end: int, width_ns: int = BUCKET_NS) -> int:
+    """Delete the postings and facts of the buckets that lie whole in [start, end), as after archiving; gives their number."""
+    whole = (F.col("bucket") >= start) & (F.col("bucket") + width_ns <= end)
+    gone = [r[0] for r in spark.read.parquet(f"{path}/facts").select("bucket").distinct().filter(whole).collect()]
+    drop_folders(spark, [f"{path}/{name}/bucket={b}" for b in gone for name in ("postings", "facts")])
+    return len(gone)
+
+
+def rebuild_index(spark: SparkSession, logs: DataFrame, path: str, start: int, end: int, width_ns: int = BUCKET_NS) -> None:
+    """Index the buckets that lie whole in [start, end) anew from the records: nothing stays unsearchable after a loss."""
+    strip_index(spark, path, start, end, width_ns)
+    first, last = start + (-start) % width_ns, end - end % width_ns
+    write_index(corpus(time_range(logs, first, last), width_ns), path)
+
+
 def check_buckets(start: int, end: int, width_ns: int = BUCKET_NS) -> None:
     if (end - start) // width_ns + 1 > MOST_BUCKETS:
         raise BadRequest("the range spans too many buckets")
@@ -109,6 +125,16 @@ def search_logs(logs: DataFrame, query: str | None, start: int, end: int, k: int
     return wanted.join(F.broadcast(top), "doc_id").orderBy(F.desc("score"), "doc_id").select("doc_id", "score", "timestamp_ns", "message")
 
 
+def search_records(records: DataFrame, postings: DataFrame, facts: DataFrame, query: str, k: int = 10) -> DataFrame:
+    """The k best hits (doc_id, score) with their record's columns. Twice as many are fetched, so that hits whose record is gone can give way; those come last, with nulls."""
+    if not query.strip():
+        raise BadRequest("a query is missing")
+    k = min(k, MOST_HITS)
+    hits = F.broadcast(bm25(postings, facts, query, 2 * k).select("doc_id", "score"))  # 2 * MOST_HITS rows at most
+    found = records.withColumn("found", F.lit(True)).join(hits, "doc_id", "right")
+    return found.orderBy(F.col("found").asc_nulls_last(), F.desc("score"), "doc_id").limit(k).drop("found")
+
+
 def search_page(logs: DataFrame, query: str | None, start: int, end: int, k: int = 10, cursor: str | None = None, **kw) -> tuple[DataFrame, str | None, int]:
     """One page of ``search_logs`` with bounded messages, the next page's cursor if there is one, and how many records were considered: all before the page, its own, and the one after.
 

@@ -96,8 +96,7 @@ def archive(spark: SparkSession, local: str, target: str, manifest: str, day: in
 
     The day's folder is written whole before the note, so a run that dies between the two is repeated without doubles.
     """
-    noted = read_or_none(spark, manifest)
-    if noted is not None and not noted.filter(F.col("day") == day).isEmpty():
+    if not archived_days(spark, manifest).filter(F.col("day") == day).isEmpty():
         return
     rows = spark.read.parquet(local).filter(F.col("day") == day)
     rows.drop("day").write.mode("overwrite").parquet(f"{target}/day={day}")
@@ -105,6 +104,12 @@ def archive(spark: SparkSession, local: str, target: str, manifest: str, day: in
     facts.select(F.lit(day).cast("long").alias("day"), "min_ns", "max_ns", F.lit(now_ns).cast("long").alias("archived_at_ns")).coalesce(1).write.mode("append").parquet(manifest)
 
 
+def archived_days(spark: SparkSession, manifest: str) -> DataFrame:
+    """The manifest: day, min_ns, max_ns, archived_at_ns; empty where nothing has been archived."""
+    noted = read_or_none(spark, manifest)
+    return spark.createDataFrame([], "day long, min_ns long, max_ns long, archived_at_ns long") if noted is None else noted
+
+
 def read_through(local: DataFrame, archived: DataFrame, manifest: DataFrame, start: int, end: int) -> DataFrame:
     """Rows of [start, end), local and archived, each key once.
 

@@ -269,6 +269,11 @@ for _name, _words in (("bm25_single_corpus", "licensed"), ("bm25_multi_term", "l
         return S.bm25(*index(spark, d, "documents"), words, 10, per_bucket=False).select("doc_id", "score")
 
 
+@query("search_records", _DOCS + _BM.format(terms=_terms("licensed tion")) + "SELECT doc_id, score, source FROM s JOIN documents USING (doc_id) ORDER BY score DESC, doc_id LIMIT 10", False)
+def _(spark, d):
+    return S.search_records(table(spark, d, "documents").select("doc_id", "source"), *index(spark, d, "documents"), "licensed tion")
+
+
 _WIDE = DAY
 _EV = f"WITH {LOGS}, c AS (SELECT doc_id, timestamp_ns - timestamp_ns % {_WIDE} AS bucket, message AS text FROM logs)"
 

@@ -38,3 +38,10 @@ def read_minutes(spark: SparkSession, path: str) -> DataFrame:
     held = [c for c in ("cnt", "sketch", "top") if c in rows.columns]
     keys = [c for c in rows.columns if c not in (*held, "batch")]
     return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in held])
+
+
+def progress(query: StreamingQuery) -> dict[str, int]:
+    """Rows that a query has read so far and still remembers, and those that came later than the watermark."""
+    batches = query.recentProgress
+    late = sum(state["numRowsDroppedByWatermark"] for p in batches for state in p["stateOperators"])
+    return {"rows": sum(p["numInputRows"] for p in batches), "late": late}

@@ -100,6 +100,9 @@ def test_exact_counts_merge_up_and_expire(spark, tmp_path):
     kept = lambda now: R.stored(spark, f"{tmp_path}/minute", now).count()
     assert (kept(None), kept(3600 * SECOND - 1), kept(3600 * SECOND), kept(3660 * SECOND)) == (3, 3, 1, 0)
     assert R.in_range(R.stored(spark, f"{tmp_path}/minute"), "level", 1, 61 * SECOND).count() == 1
+    assert R.prune_tier(spark, f"{tmp_path}/minute", 3659 * SECOND) == 0 and kept(None) == 3
+    R.store(R.exact(rollup_rows(spark, [(90_000 * SECOND, "m", {"level": "warn"})])), f"{tmp_path}/minute", "minute")
+    assert R.prune_tier(spark, f"{tmp_path}/minute", 3660 * SECOND) == 1 and kept(None) == 1
 
 
 def test_kinds_of_rollups_do_not_mix(spark):
@@ -146,6 +149,13 @@ def test_search(spark, tmp_path):
     own = lambda q, end: sorted((r["doc_id"], r["score"]) for r in S.search_logs(logs, q, 0, end, index=S.read_index(spark, str(tmp_path), 0, end, 60 * SECOND), **at).collect())
     built = lambda q, end: sorted((r["doc_id"], r["score"]) for r in S.search_logs(logs, q, 0, end, **at).collect())
     assert own("otter gulls", 180 * SECOND) == built("otter gulls", 180 * SECOND) and len(own("otter", 60 * SECOND)) == 1
+    assert S.strip_index(spark, str(tmp_path), 0, 120 * SECOND, 60 * SECOND) == 1 and len(own("otter", 180 * SECOND)) == 1
+    S.rebuild_index(spark, logs, str(tmp_path), 0, 180 * SECOND, 60 * SECOND)
+    assert own("otter gulls", 180 * SECOND) == built("otter gulls", 180 * SECOND)
+    gone = S.search_records(logs.filter("timestamp_ns > 0"), *S.read_index(spark, str(tmp_path)), "otter", 2).collect()
+    assert [r["message"] for r in gone] == ["otter gone", None] and all(r["score"] for r in gone)
+    with pytest.raises(BadRequest):
+        S.search_records(logs, *S.read_index(spark, str(tmp_path)), " ")
     rows, cursor, considered = S.search_page(logs, None, 0, 180 * SECOND, 2, "junk")
     assert (rows.count(), cursor, considered) == (2, "2", 3)
     rows, cursor, considered = S.search_page(logs, "otter", 0, 180 * SECOND, 2, "1", **at)
@@ -256,8 +266,10 @@ def test_life_of_stored_rows(spark, tmp_path):
     day, root = K.DAY_NS, str(tmp_path)
     logs = lambda *rows: spark.createDataFrame([(t, m, f"{m}-{t}") for t, m in rows], "timestamp_ns long, message string, doc_id string")
     assert K.commit(logs((1, "a"), (day + 1, "b"), (2 * day, "c")), f"{root}/local") == {"records": 3, "first_ns": 1, "last_ns": 2 * day}
+    assert K.archived_days(spark, f"{root}/manifest").isEmpty()
     for _ in range(2):
         K.archive(spark, f"{root}/local", f"{root}/archive", f"{root}/manifest", 0, 100)
+    assert [tuple(r) for r in K.archived_days(spark, f"{root}/manifest").collect()] == [(0, 1, 1, 100)]
     # a run that died before its note: the folder is there, the manifest knows nothing, and the day is written whole again
     spark.read.parquet(f"{root}/local").filter("day = 1").drop("day").write.parquet(f"{root}/archive/day=1")
     K.archive(spark, f"{root}/local", f"{root}/archive", f"{root}/manifest", 1, 100)
@@ -285,13 +297,18 @@ def test_compaction_drops_and_rewrites(spark, tmp_path):
 def test_late_rows_of_a_stream_are_counted_until_the_watermark(spark, tmp_path):
     schema = "timestamp_ns long, f_level string"
     put = lambda name, *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in") or name
-    run = lambda: ingest.write_minutes(ingest.minute_rollup(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "level"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+
+    def run():
+        query = ingest.write_minutes(ingest.minute_rollup(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "level"), f"{tmp_path}/out", f"{tmp_path}/state")
+        query.awaitTermination()
+        return ingest.progress(query)
+
     put("first", (0, "warn"), (61 * SECOND, "warn"))
     run()
     put("late, but not too late", (59 * SECOND, "warn"), (600 * SECOND, "info"))
-    run()
+    assert run() == {"rows": 2, "late": 0}
     put("too late", (1, "warn"), (601 * SECOND, "info"))
-    run()
+    assert run() == {"rows": 2, "late": 1}
     got = sorted((r["bucket_start"].timestamp(), r["value"], r["cnt"]) for r in ingest.read_minutes(spark, f"{tmp_path}/out").collect())
     assert got == [(0.0, "warn", 2), (60.0, "warn", 1), (600.0, "info", 2)]
 
