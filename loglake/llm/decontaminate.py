@@ -15,10 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.llm.common import UPPER, lower_ascii, pieces, table
+from loglake.llm.common import UPPER, cut, lower_ascii, pieces, table
 
 WINDOW = 13
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 48 << 20  # of windows in a block
+MOST_BLOCKS = 4
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -28,20 +29,19 @@ def words(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """Distinct windows: hash, length, words, and the ids of the items that hold them."""
+    """A row for each window of each item: window, len, key (128 bits of its words), item."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w"))
     items = items.filter(F.size("w") > 0).withColumn("len", F.least(F.size("w"), F.lit(n)))
     starts = items.select("item", "w", "len", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("at"))
-    return (
-        starts.select("item", "len", F.slice("w", F.col("at"), F.col("len")).alias("window"))
-        .groupBy("window", "len")
-        .agg(F.collect_set("item").alias("items"))
-        .withColumn("h", F.xxhash64("window"))
-    )
+    return starts.select(F.slice("w", F.col("at"), F.col("len")).alias("window"), "len", "item").distinct().withColumn("key", _key(F.col("window")))
 
 
-def _probe(docs: DataFrame, windows: DataFrame, lengths: list[int], header: bool) -> DataFrame:
-    """Rows of each document: its header (at = -1), and a row for each verified window."""
+def _key(window: Column) -> Column:
+    return F.md5(F.array_join(window, " "))  # words hold no blanks
+
+
+def _places(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """Rows of each document: its header (at = -1), and a row for each place and length of a window."""
     # everything from the explode to the probe is one stage of generated code: windows are hashed in place, and the
     # words that each row refers to are never copied (lambdas would run outside it, and copy the array at every slice)
     n = F.size("w")
@@ -52,39 +52,63 @@ def _probe(docs: DataFrame, windows: DataFrame, lengths: list[int], header: bool
     for m in lengths:
         mine = (F.col("p") >= before) & (F.col("p") < before + count[m])
         at, size, before = F.when(mine, F.col("p") - before).otherwise(at), F.when(mine, F.lit(m)).otherwise(size), before + count[m]
-    rows = rows.withColumns({"at": at, "size": size})
-    window = F.slice("w", F.greatest("at", F.lit(0)) + 1, F.greatest("size", F.lit(1)))
-    rows = rows.withColumn("h", F.when(F.col("at") >= 0, F.xxhash64(window)))
-    b = windows.select(F.col("h").alias("b_h"), F.col("len").alias("b_len"), F.col("window").alias("b_window"), "items")
+    return rows.withColumns({"at": at, "size": size})
+
+
+def _window() -> Column:
+    return F.slice("w", F.greatest("at", F.lit(0)) + 1, F.greatest("size", F.lit(1)))
+
+
+def _probe(docs: DataFrame, windows: DataFrame, lengths: list[int], header: bool) -> DataFrame:
+    """The header of each document, and a row for each window that the broadcast ``windows`` hold, its words compared."""
+    rows = _places(docs, lengths).withColumn("h", F.when(F.col("at") >= 0, F.xxhash64(_window())))
+    b = windows.select(F.xxhash64("window").alias("b_h"), F.col("len").alias("b_len"), F.col("window").alias("b_window"), "key")
     joined = rows.join(F.broadcast(b), F.col("h") == F.col("b_h"), "left")
-    verified = F.col("b_h").isNotNull() & (F.col("size") == F.col("b_len")) & (window == F.col("b_window"))
-    return joined.filter(verified | ((F.col("at") < 0) & F.lit(header))).select("doc_id", "text_key", "n_words", "at", "size", "items")
+    verified = F.col("b_h").isNotNull() & (F.col("size") == F.col("b_len")) & (_window() == F.col("b_window"))
+    return joined.filter(verified | ((F.col("at") < 0) & F.lit(header))).select("doc_id", "text_key", "n_words", "at", "size", F.when(F.col("at") >= 0, F.col("key")).alias("key"))
+
+
+def _meet(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same rows by a shuffle of keys, for benchmarks of too many blocks."""
+    rows = _places(docs, lengths)
+    headers = rows.filter("at < 0").select("doc_id", "text_key", "n_words", "at", "size", F.lit(None).cast("string").alias("key"))
+    places = rows.filter("at >= 0").select("doc_id", "text_key", "n_words", "at", "size", _key(_window()).alias("key"))
+    return headers.unionAll(places.join(windows.select("key"), "key").select(*headers.columns))
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row for each documents row: doc_id, text_key, n_words, n_hit, items, covered (places of the hit words), contaminated.
+def mark(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, with_items: bool = True) -> DataFrame:
+    """One row for each documents row: doc_id, text_key, n_words, n_hit, items (unless ``with_items`` is off), covered (places of the hit words), contaminated.
 
-    The benchmark's windows are measured first; beyond ``broadcast_bytes`` they are probed in several blocks.
+    The benchmark's windows are measured first; beyond ``broadcast_bytes`` they are probed in several blocks, each of
+    which reads the documents, and beyond MOST_BLOCKS blocks by a shuffle. Items join the hits afterwards, by window.
     """
-    windows = benchmark_windows(benchmark, n)
-    facts = windows.agg(
-        F.sum(F.length(F.array_join("window", " ")) + F.length(F.array_join("items", " ")) + 200).alias("bytes"),
-        F.sort_array(F.collect_set("len")).alias("lengths"),
-    ).first()
+    held = cut(benchmark_windows(benchmark, n), "windows")
+    windows = held.select("window", "len", "key").distinct()
+    facts = windows.agg(F.sum(F.length(F.array_join("window", " ")) + 200).alias("bytes"), F.sort_array(F.collect_set("len")).alias("lengths")).first()
     lengths = facts["lengths"] or [n]
     blocks = pieces(facts["bytes"] or 0, broadcast_bytes)
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w")).withColumn("n_words", F.size("w").cast("long"))
-    parts = [_probe(texts, windows.filter(F.pmod("h", F.lit(blocks)) == b), lengths, b == 0) for b in range(blocks)]
-    hits = reduce(DataFrame.unionAll, parts)
-    verdicts = hits.groupBy("doc_id", "text_key", "n_words").agg(
+    if blocks > MOST_BLOCKS:
+        hits = _meet(texts, windows, lengths)
+    else:
+        hits = reduce(DataFrame.unionAll, [_probe(texts, windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b), lengths, b == 0) for b in range(blocks)])
+    own = ["doc_id", "text_key", "n_words"]
+    verdicts = hits.groupBy(*own).agg(
         F.sum((F.col("at") < 0).cast("int")).alias("copies"),
         F.sort_array(F.collect_set(F.when(F.col("at") >= 0, F.struct("at", (F.col("at") + F.col("size")).alias("end"))))).alias("hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.collect_set("key").alias("keys"),
     )
+    if with_items:
+        verdicts = cut(verdicts, "verdicts")  # read twice
+        found = verdicts.select(*own, F.explode("keys").alias("key")).join(held.filter("item is not null").select("key", "item"), "key")
+        items = found.groupBy(*own).agg(F.array_sort(F.collect_set("item")).alias("items"))
+        v, i = verdicts.alias("v"), items.alias("i")
+        on = F.col("v.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("v.text_key") == F.col("i.text_key")) & (F.col("v.n_words") == F.col("i.n_words"))
+        verdicts = v.join(i, on, "left").select("v.*", F.coalesce("i.items", F.array().cast("array<string>")).alias("items"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("hit", lambda x: F.sequence(x["at"], x["end"] - 1)))))
     verdicts = verdicts.withColumn("covered", covered).withColumn("n_hit", F.size("covered").cast("long"))
     return verdicts.select(
-        "doc_id", "text_key", "n_words", "n_hit", "items", "covered",
+        *own, "n_hit", *(["items"] if with_items else []), "covered",
         ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"),
         F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
     ).drop("copy")
@@ -92,13 +116,13 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_bytes
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """The rows of documents that are not contaminated, with all their columns."""
-    bad = mark(docs, benchmark, n).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    bad = mark(docs, benchmark, n, with_items=False).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     return docs.join(bad, F.col("__id").eqNullSafe(docs["doc_id"]) & (F.col("__key") == F.xxhash64(docs["text"])), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """All documents; hit words and the separators right after them leave the text."""
-    found = mark(docs, benchmark, n).filter("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("covered").alias("__hit")).distinct()
+    found = mark(docs, benchmark, n, with_items=False).filter("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("covered").alias("__hit")).distinct()
     joined = docs.join(found, F.col("__id").eqNullSafe(docs["doc_id"]) & (F.col("__key") == F.xxhash64(docs["text"])), "left")
     before, after = (lambda i: F.get("__hit", i - 1)), (lambda i: F.get("__hit", i + 1))
     starts = F.filter("__hit", lambda p, i: F.coalesce(before(i) != p - 1, F.lit(True)))

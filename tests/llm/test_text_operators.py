@@ -66,7 +66,15 @@ def test_marks_of_hard_documents(spark, hard_docs):
     bench = spark.createDataFrame([(*x, 7) for x in ITEMS], "item_id long, text string, n_words int")
     want = brute_marks(texts_of(hard_docs), ITEMS)
     assert rows_of(op1(hard_docs, bench), "*") == want
-    assert rows_of(op1(hard_docs, bench, broadcast_bytes=300), "*") == want  # several blocks
+    assert rows_of(op1(hard_docs, bench, broadcast_bytes=600), "*") == want  # several blocks
+    assert rows_of(op1(hard_docs, bench, broadcast_bytes=100), "*") == want  # so many that a shuffle takes their place
+
+
+def test_items_of_one_short_text(spark):
+    """Very many items that are the same text: the broadcast table holds it once."""
+    bench = spark.range(3000).selectExpr("id AS item_id", "'Hot phrase' AS text")
+    docs = spark.createDataFrame([(1, "a hot phrase here"), (2, "cold")], "doc_id long, text string")
+    assert rows_of(op1(docs, bench), "*") == brute_marks(texts_of(docs), [(i, "Hot phrase") for i in range(3000)])
 
 
 def test_marks_of_the_small_table(spark):
