@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.OP1_SQL, "op2_mix": mixing.OP2_SQL, "op5_chat": chat.OP5_SQL}
+    return {"op1_decontaminate": decontaminate.OP1_SQL, "op2_mix": mixing.OP2_SQL, "op5_chat": chat.OP5_SQL, "op6_suffix": suffix.OP6_SQL}

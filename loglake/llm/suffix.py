@@ -366,3 +366,18 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool = False)
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
+
+
+# Bytes as hexadecimal digits; windows are cut from pieces of 500 places, as a place far inside a long text is slow to find.
+OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, i * 500 AS pos, substr(h, 1000 * i + 1, {998 + 2 * LENGTH}) AS x FROM d, unnest(generate_series(0, (len(h) - {2 * LENGTH}) // 1000)) t(i) WHERE len(h) >= {2 * LENGTH}),
+w AS (SELECT r, pos + j AS s, md5(substr(x, 2 * j + 1, {2 * LENGTH})) AS k FROM p, unnest(generate_series(0, least(499, len(x) // 2 - {LENGTH}))) t(j)),
+twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + {LENGTH} THEN 0 ELSE 1 END AS new FROM w SEMI JOIN twice USING (k)),
+span AS (SELECT r, min(s) AS a, max(s) + {LENGTH} AS b FROM (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS g FROM hit) GROUP BY r, g),
+gap AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM span),
+kept AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS e, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS k FROM gap JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+ sha256(unhex(CASE WHEN e IS NULL THEN h ELSE k || substr(h, 2 * e + 1) END)) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""

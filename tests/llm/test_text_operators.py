@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import regex
@@ -338,6 +339,11 @@ def test_repeats_of_the_small_table(spark, monkeypatch):
     assert rows_of(suffix.dedup(docs), "*") == brute_removed(texts_of(docs))
 
 
+def test_repeats_by_sql_equal_brute_force(spark):
+    documents = table(spark, SMALL, "documents").toPandas()  # noqa: F841  read by duckdb
+    assert sorted(duckdb.sql(suffix.OP6_SQL).fetchall(), key=repr) == brute_removed(texts_of(table(spark, SMALL, "documents")))
+
+
 @pytest.mark.parametrize("hot", [1000, 3])
 def test_repeats_of_shared_passages(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT_GROUP", hot)
