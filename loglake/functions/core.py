@@ -38,10 +38,13 @@ def lower_ascii(x: Column) -> Column:
 
 
 def template_signature(message: Column) -> Column:
-    """Tokens of Unicode white space: 8 or more hex digits, then any digit, then ASCII lower case."""
-    tokens = F.filter(F.split(message, r"(?U)\s+"), lambda t: t != "")
-    masked = F.transform(tokens, lambda t: F.when(t.rlike("^[0-9a-fA-F]{8,}$"), "<HEX>").when(t.rlike("[0-9]"), "<NUM>").otherwise(lower_ascii(t)))
-    return F.array_join(masked, " ")
+    """Tokens of Unicode white space: 8 or more hex digits, then any digit, then ASCII lower case.
+
+    The text is rewritten whole, in few passes of generated code; tokens are never made an array.
+    """
+    text = F.regexp_replace(lower_ascii(message), r"(?U)(?<!\S)[0-9a-f]{8,}+(?!\S)", "<HEX>")
+    text = F.regexp_replace(text, r"(?U)(?<!\S)[^\s0-9]*+[0-9]\S*+", "<NUM>")
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def stream_key(fields: Column) -> Column:
