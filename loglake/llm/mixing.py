@@ -13,12 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loglake.llm.common import cut, table
+from loglake.llm.common import cut, pieces, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2.0
-RANGES = 1024
+RANGES, RANGE_ROWS = 1024, 100_000  # ranges of keys, at least; rows of all sources that share a range, about
 SEED = "mix-1"
 
 
@@ -44,12 +44,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return rows.select("source", "source_size", F.least("ceiling", F.col("weight") * F.col("level")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most_epochs: float = MOST_EPOCHS, ranges: int = RANGES, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most_epochs: float = MOST_EPOCHS, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target, taken (words taken, repeats counted), and the columns in ``keep``."""
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))), 1, 15), 16, 10).cast("long")
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), *keep)
-    sized = sized.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("range", F.floor(F.col("key") / F.lit((1 << 60) / ranges)).cast("int"))
-    sized = cut(sized, "mix")
+    sized = cut(sized.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mix")
+    ranges = pieces(sized.count(), RANGE_ROWS, RANGES)  # they grow with the rows, so a range's rows fit a task at every size
+    sized = sized.withColumn("range", F.floor(F.col("key") / F.lit((1 << 60) / ranges)).cast("int"))
     sums = sized.groupBy("skey", "source", "range").agg(F.sum("size").alias("range_size"))
     sums = cut(sums, "mix-ranges")
     of_source = targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most_epochs)

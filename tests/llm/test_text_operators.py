@@ -124,6 +124,15 @@ def test_mix_sizes_and_budgets(spark, hard_docs):
     assert mixing.mix(hard_docs.limit(0)).count() == 0
 
 
+def test_mix_does_not_depend_on_its_ranges(spark, monkeypatch):
+    documents = table(spark, SMALL, "documents")
+    want = sorted(duckdb.sql(mixing.OP2_SQL.replace("FROM documents)", f"FROM '{SMALL}/documents.parquet')")).fetchall())
+    for ranges, rows in ((1, 100_000), (1, 3), (1024, 100_000)):
+        monkeypatch.setattr(mixing, "RANGES", ranges)
+        monkeypatch.setattr(mixing, "RANGE_ROWS", rows)
+        assert sorted(tuple(r) for r in mixing.mix(documents).select("doc_id", "size", "source_size", "target", "taken").collect()) == want
+
+
 def test_targets_fill_to_ceilings(spark):
     sizes = {"a": 100, "b": 1000, "c": 10, "d": 0, None: 400}
     got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
