@@ -31,9 +31,9 @@ from loglake.llm.common import cut, slices, table, tasks
 
 LENGTH = 200
 ANCHOR = 32
-SEGMENT = 1 << 19  # window starts that are hashed at a time
-INDEX_BYTES = 1 << 19  # text of one index, about
-HOT_GROUP = 1000  # different surroundings of one anchor that an index takes; more are split by their common bytes
+SEGMENT = 1 << 18  # window starts that are hashed at a time
+INDEX_BYTES = 1 << 18  # text of one index, about
+HOT_GROUP = 500  # different surroundings of one anchor that an index takes; more are split by their common bytes
 SPLITS = (21, 1)  # distances to the anchor that a split group's windows share, first and again
 _BYTE_HASH = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.array([0x9E3779B97F4A7C15], np.uint64)  # an array: it wraps without a warning
@@ -88,7 +88,7 @@ _PLACE = pa.struct([("k1", pa.int64()), ("k2", pa.int64()), ("s", pa.int32())])
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each anchor and surroundings in a piece of the texts: how often they occur, and where."""
-    for b in slices(batches, "text", 8 << 20):
+    for b in slices(batches, "text", 4 << 20):
         raw = [(t.as_py() or "").encode() for t in b["text"]]
         data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw])
         doc_of, place, hashes, starts = [], [], [], []
@@ -236,7 +236,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, _KIND)], schema=_KIND)
 
     size = 0
-    for b in slices(batches, "ctx", 1 << 19):
+    for b in slices(batches, "ctx", 1 << 18):
         for row in zip(*(b[c].to_pylist() for c in ("g", "c1", "c2", "n", "ctx"))):
             if size >= INDEX_BYTES and row[0] != held[-1][0]:
                 yield solve()

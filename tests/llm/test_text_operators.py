@@ -353,7 +353,7 @@ def test_repeats_by_sql_equal_brute_force(spark):
     assert sorted(duckdb.sql(suffix.OP6_SQL).fetchall(), key=repr) == brute_removed(texts_of(table(spark, SMALL, "documents")))
 
 
-@pytest.mark.parametrize("hot", [1000, 3])
+@pytest.mark.parametrize("hot", [suffix.HOT_GROUP, 3])
 def test_repeats_of_shared_passages(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT_GROUP", hot)
     rng = np.random.default_rng(3)
