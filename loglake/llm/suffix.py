@@ -322,7 +322,8 @@ def repeated(kinds: DataFrame, splits: tuple[int, ...] = SPLITS) -> DataFrame:
 def intervals(docs: DataFrame) -> DataFrame:
     """Byte intervals (k1, k2, s, e) whose windows occur more than once; they overlap."""
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_anchors, ANCHORS), "anchors")
-    seen = rows.groupBy("ah").agg(F.sum("n").alias("all_n")).filter("all_n > 1").select("ah")
+    # written, so that the join can split an anchor of very many rows
+    seen = cut(rows.groupBy("ah").agg(F.sum("n").alias("all_n")).filter("all_n > 1").select("ah"), "seen")
     again = cut(rows.join(seen, "ah"), "repeated-anchors")
     # one of each surroundings stands for its copies
     same = ["ah", "c1", "c2"]
