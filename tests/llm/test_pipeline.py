@@ -86,3 +86,18 @@ def test_pipeline_equals_brute_force(spark, planted):
     assert Counter((r["doc_id"], size(r["text"]), r["taken"]) for r in got) == Counter(mixed)
     left = Counter((None if r[0] is None else int(r[0]), r[1]) for i, r in enumerate(rows) if i not in bad)
     assert not Counter((r["doc_id"], r["text"]) for r in got) - left
+
+
+@pytest.mark.parametrize("rows", [0, 100])
+def test_stages_of_hard_documents_and_of_none(spark, hard_docs, rows):
+    docs = hard_docs.limit(rows)
+    ids = Counter(r["doc_id"] for r in docs.select("doc_id").collect())
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SMALL)
+        assert set(corpus_pipeline.COLUMNS) <= set(got.columns) and (name == "mix" or got.columns == list(corpus_pipeline.COLUMNS))
+        kept = Counter(r["doc_id"] for r in got.select("doc_id").collect())
+        assert not kept - ids
+        if name == "suffix":  # it shortens texts and keeps every row
+            assert kept == ids and {r["text"] for r in got.filter("doc_id = 3").collect()} <= {None}
+        if name == "simhash":  # 1 and 10 are one text but for its case and last word, 4, 5, 3 and a null id have fingerprint zero
+            assert kept[2] + kept[1] + kept[10] <= 2 and kept[4] + kept[5] + kept[3] + kept[None] <= 2
