@@ -300,7 +300,7 @@ def repeated(kinds: DataFrame, splits: tuple[int, ...] = SPLITS) -> DataFrame:
     own, found = ["g", "c1", "c2"], None
     cool = kinds
     if splits:
-        hot = kinds.groupBy("g").count().filter(F.col("count") > HOT_GROUP).select("g", F.lit(True).alias("hot"))
+        hot = cut(kinds.groupBy("g").count().filter(F.col("count") > HOT_GROUP).select("g", F.lit(True).alias("hot")), "hot")
         both = kinds.join(hot, "g", "left")
         cool, hot = both.filter("hot is null").drop("hot"), both.filter("hot").drop("hot")
         parts = cut(_split(hot, splits[0]), "parts")
