@@ -320,7 +320,7 @@ def repeated(kinds: DataFrame, splits: tuple[int, ...] = SPLITS) -> DataFrame:
 
 
 def intervals(docs: DataFrame) -> DataFrame:
-    """Byte intervals (k1, k2, s, e) whose windows occur more than once; they overlap."""
+    """Lists of byte intervals (k1, k2, spans of s, e) whose windows occur more than once; they overlap."""
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_anchors, ANCHORS), "anchors")
     # written, so that the join can split an anchor of very many rows
     seen = cut(rows.groupBy("ah").agg(F.sum("n").alias("all_n")).filter("all_n > 1").select("ah"), "seen")
@@ -331,14 +331,16 @@ def intervals(docs: DataFrame) -> DataFrame:
     wants = kinds.groupBy("rep.k1", "rep.k2").agg(F.collect_list(F.struct(*same, "n", "rep.p", "rep.s", "rep.size")).alias("wants"))
     texts = _packed(docs).groupBy("k1", "k2").agg(F.first("z").alias("z")).join(wants, ["k1", "k2"]).select("z", "wants")
     marks = repeated(cut(texts.mapInArrow(_surroundings, KINDS), "texts")).withColumnRenamed("g", "ah")
+    marks = marks.groupBy(*same).agg(F.collect_set(F.struct("a", "b")).alias("ab"))  # a row for each surroundings, so that each place is one row too
     met = again.select(*same, "k1", "k2", "s", "more").join(marks, same)
     places = F.concat(F.array(F.struct("k1", "k2", "s")), F.coalesce("more", F.array().cast("array<struct<k1:long,k2:long,s:int>>")))
-    return met.select(F.explode(places).alias("x"), "a", "b").select("x.k1", "x.k2", (F.col("x.s") + F.col("a")).alias("s"), (F.col("x.s") + F.col("b")).alias("e"))
+    own = F.transform("ab", lambda r: F.struct((F.col("x.s") + r["a"]).alias("s"), (F.col("x.s") + r["b"]).alias("e")))
+    return met.select(F.explode(places).alias("x"), "ab").select("x.k1", "x.k2", own.alias("spans"))
 
 
 def dedup(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``with_text`` also text (what is left, whole characters), and the columns in ``keep``."""
-    found = intervals(docs).groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    found = intervals(docs).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     joined = _packed(docs, keep).join(found, ["k1", "k2"], "left").select("doc_id", "z", "spans", *[f"k_{x}" for x in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
